@@ -8,36 +8,52 @@ rounding error (Veltkamp/Dekker), and both take part in the comparison with one
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SPLIT = float(2**27 + 1)
 
 
+def _round_magnitude(a: Column, digits: int, ties: str = "even") -> Column:
+    """Rounding of a non-negative double. Every part occurs as few times as possible, because
+    Catalyst analyses each repetition."""
+    scale = F.lit(float(10**digits))
+    shifted = a * F.lit(_SPLIT)
+    high = shifted - (shifted - a)
+    product = a * scale
+    error = (high * scale - product) + (a - high) * scale
+    below = F.floor(product)
+    # product - below - 0.5 has no rounding error, so its sum with error has the right sign.
+    excess = F.signum((product - below - F.lit(0.5)) + error)
+    tie = F.lit(0.5) if ties == "away" else (below % 2) - F.lit(0.5)
+    return (below + F.when(excess + tie > 0, 1).otherwise(0)) / scale
+
+
 def exact_round(x: Column, digits: int, ties: str = "even") -> Column:
     """Round the stored double to ``digits`` decimals; exact ties go to even or away from zero."""
     if ties not in ("even", "away"):
         raise ValueError(ties)
-    scale = float(10**digits)
-    a = F.abs(x.cast("double"))
-    high = a * F.lit(_SPLIT) - (a * F.lit(_SPLIT) - a)
-    product = a * F.lit(scale)
-    error = (high * F.lit(scale) - product) + (a - high) * F.lit(scale)
-    below = F.floor(product).cast("double")
-    # Comparing product - below - 0.5 with -error is exact: the left side has no rounding.
-    excess = (product - below - F.lit(0.5)) + error
-    tie_up = F.lit(True) if ties == "away" else (below % F.lit(2.0)) == 1.0
-    up = (excess > 0) | ((excess == 0) & tie_up)
-    rounded = (below + F.when(up, F.lit(1.0)).otherwise(F.lit(0.0))) / F.lit(scale)
-    return F.when(x < 0, -rounded).otherwise(rounded)
+    x = x.cast("double")
+    return _round_magnitude(F.abs(x), digits, ties) * F.signum(x)
 
 
 def safe_ratio(numerator: Column, denominator: Column, digits: int = 4) -> Column:
-    """numerator / denominator rounded, 0.0 when the denominator is zero or missing."""
-    quotient = F.try_divide(numerator.cast("double"), denominator.cast("double"))
-    return F.coalesce(exact_round(quotient, digits), F.lit(0.0))
+    """numerator / denominator rounded, 0.0 when the denominator is zero or missing.
 
-
-def mean_or_zero(total: Column, n: Column, digits: int = 2) -> Column:
-    """Mean from a sum and a count; 0.0 when nothing was counted."""
-    return safe_ratio(total, n, digits)
+    The rounding repeats its argument; pass columns, not aggregates (see ``with_ratios``)."""
+    quotient = F.try_divide(numerator.cast("double"), denominator.cast("double"))
+    return F.coalesce(_round_magnitude(quotient, digits), F.lit(0.0))
+
+
+def with_ratios(
+    df: DataFrame, by: list[str], totals: dict[str, Column], ratios: dict[str, tuple[str, str, int]]
+) -> DataFrame:
+    """Aggregate ``totals`` in one pass, then divide them: name -> (numerator, denominator,
+    digits). Dividing after the aggregate keeps the generated aggregate code small. Totals
+    whose names start with an underscore are not returned."""
+    summed = df.groupBy(*by).agg(*[c.alias(name) for name, c in totals.items()])
+    return summed.select(
+        *by,
+        *[name for name in totals if not name.startswith("_")],
+        *[safe_ratio(F.col(n), F.col(d), digits).alias(name) for name, (n, d, digits) in ratios.items()],
+    )

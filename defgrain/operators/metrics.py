@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DROP_REASON, DROP_STAGE, FN_ORD, IS_AUGMENTED, ColumnRoles, PrepOptions, as_list
-from ..functions.numbers import mean_or_zero, safe_ratio
+from ..functions.numbers import safe_ratio, with_ratios
 from ..functions.text import char_length, is_blank, is_present
 from .augment import AUGMENT_DUPLICATE
 from .dedup import AST, DEDUP_STAGE, EXACT
-from .pairs import pair_count_columns
+from .pairs import pair_totals
 from .tags import INVALID_REASONS, INVALID_STAGE, JUDGED_LOW, LOW_QUALITY_REASONS, LOW_QUALITY_STAGE, alive
 
 # Columns looked at for documentation after the role column and the code's own.
@@ -62,19 +62,6 @@ def has_documentation(df: DataFrame, roles: ColumnRoles) -> Column:
     return ~is_blank(F.coalesce(*[F.when(is_present(c), F.col(c)) for c in present]))
 
 
-def mean_length(column: str, among: Column | None = None) -> Column:
-    """Mean length of the non-empty texts, two decimals, 0.0 if there are none."""
-    counted = is_present(column) if among is None else among & is_present(column)
-    length = F.when(counted, char_length(column))
-    return mean_or_zero(F.sum(length), F.count(length))
-
-
-def rate(condition: Column, among: Column | None = None) -> Column:
-    if among is None:
-        return safe_ratio(F.count_if(condition), F.count(F.lit(1)))
-    return safe_ratio(F.count_if(among & condition), F.count_if(among))
-
-
 def parsed(df: DataFrame) -> Column:
     return F.col("parse_ok").eqNullSafe(True) if "parse_ok" in df.columns else F.lit(False)
 
@@ -89,24 +76,32 @@ def annotated(df: DataFrame) -> Column:
     return is_present("return_annotation") & (F.col("return_annotation") != "None")
 
 
+def _share(df: DataFrame, name: str, condition: Column, by: list[str] | str) -> DataFrame:
+    totals = {"_hit": F.count_if(condition), "_n": F.count(F.lit(1))}
+    return with_ratios(df, as_list(by), totals, {name: ("_hit", "_n", 4)})
+
+
 def avg_text_length(df: DataFrame, column: str, by: list[str] | str = ()) -> DataFrame:
-    return df.groupBy(*as_list(by)).agg(mean_length(column).alias("avg_text_length"))
+    """Mean length of the non-empty texts, two decimals, 0.0 if there are none."""
+    length = F.when(is_present(column), char_length(column))
+    totals = {"_sum": F.sum(length), "_n": F.count(length)}
+    return with_ratios(df, as_list(by), totals, {"avg_text_length": ("_sum", "_n", 2)})
 
 
 def docstring_coverage(df: DataFrame, roles: ColumnRoles, by: list[str] | str = ()) -> DataFrame:
-    return df.groupBy(*as_list(by)).agg(rate(has_documentation(df, roles)).alias("docstring_coverage"))
+    return _share(df, "docstring_coverage", has_documentation(df, roles), by)
 
 
 def syntax_pass_rate(df: DataFrame, by: list[str] | str = ()) -> DataFrame:
-    return df.groupBy(*as_list(by)).agg(rate(parsed(df)).alias("syntax_pass_rate"))
+    return _share(df, "syntax_pass_rate", parsed(df), by)
 
 
 def function_name_rate(df: DataFrame, by: list[str] | str = ()) -> DataFrame:
-    return df.groupBy(*as_list(by)).agg(rate(named(df)).alias("function_name_match_rate"))
+    return _share(df, "function_name_match_rate", named(df), by)
 
 
 def return_annotation_rate(df: DataFrame, by: list[str] | str = ()) -> DataFrame:
-    return df.groupBy(*as_list(by)).agg(rate(annotated(df)).alias("return_annotation_rate"))
+    return _share(df, "return_annotation_rate", annotated(df), by)
 
 
 def _original(df: DataFrame) -> Column:
@@ -129,43 +124,56 @@ def tag_metrics(
 
     parse_ok = parsed(tagged)
     parse_bad = F.col("parse_ok").eqNullSafe(False) if "parse_ok" in tagged.columns else F.lit(False)
-    raw = F.count_if(original & first_function)
-    expanded = F.count_if(original)
-    final = F.count_if(kept)
-    survivors_before_augment = F.count_if(original & kept)
-    aug_success = F.count_if(augmented & kept)
-    aug_dropped = reason(AUGMENT_DUPLICATE)
-    attempts = survivors_before_augment if opts.enable_augmentation else F.lit(0).cast("long")
     pairs_on = opts.enable_instruction_pairs and "signature" in tagged.columns
-    pair_columns = pair_count_columns(roles, kept if pairs_on else F.lit(False)) if "signature" in tagged.columns else []
-    return tagged.groupBy(*as_list(by)).agg(
-        raw.alias("raw_sample_count"),
-        expanded.alias("expanded_sample_count"),
-        final.alias("final_sample_count"),
-        safe_ratio(final, raw).alias("retain_rate"),
-        F.count_if(original & parse_ok).alias("ast_parse_success_count"),
-        reason("ast_parse_failed").alias("ast_parse_failed_count"),
-        F.count_if(original & parse_bad).alias("parse_failed_rows"),
-        *[reason(r).alias(f"{r}_count") for r in INVALID_REASONS if r != "ast_parse_failed"],
-        stage(INVALID_STAGE).alias("invalid_removed_count"),
-        *[reason(r).alias(f"{r}_count") for r in LOW_QUALITY_REASONS],
-        reason(JUDGED_LOW).alias("judged_removed_count"),
-        stage(LOW_QUALITY_STAGE).alias("low_quality_docstring_count"),
-        stage(DEDUP_STAGE).alias("dedup_removed_count"),
-        reason(EXACT).alias("exact_dedup_removed_count"),
-        reason(AST).alias("ast_dedup_removed_count"),
-        attempts.alias("augmentation_attempt_count"),
-        aug_success.alias("augmentation_success_count"),
-        (attempts - aug_success - aug_dropped).alias("augmentation_failed_count"),
-        aug_dropped.alias("augmentation_duplicate_dropped_count"),
-        mean_length(roles.code, kept).alias("avg_code_length"),
-        (mean_length(roles.docstring, kept) if roles.docstring else F.lit(0.0)).alias("avg_docstring_length"),
-        rate(has_documentation(tagged, roles), kept).alias("docstring_coverage"),
-        rate(parse_ok, kept).alias("syntax_pass_rate"),
-        rate(named(tagged), kept).alias("function_name_match_rate"),
-        rate(annotated(tagged), kept).alias("return_annotation_rate"),
-        *(pair_columns or [F.lit(0).cast("long").alias("instruction_pair_count")]),
+    pair_rows = kept if pairs_on else F.lit(False)
+    pairs = pair_totals(roles, pair_rows) if "signature" in tagged.columns else {}
+    code_length = F.when(kept & is_present(roles.code), char_length(roles.code))
+    doc_length = F.lit(None).cast("int")
+    if roles.docstring:
+        doc_length = F.when(kept & is_present(roles.docstring), char_length(roles.docstring))
+    totals = {
+        "raw_sample_count": F.count_if(original & first_function),
+        "expanded_sample_count": F.count_if(original),
+        "final_sample_count": F.count_if(kept),
+        "ast_parse_success_count": F.count_if(original & parse_ok),
+        "ast_parse_failed_count": reason("ast_parse_failed"),
+        "parse_failed_rows": F.count_if(original & parse_bad),
+        **{f"{r}_count": reason(r) for r in INVALID_REASONS if r != "ast_parse_failed"},
+        "invalid_removed_count": stage(INVALID_STAGE),
+        **{f"{r}_count": reason(r) for r in LOW_QUALITY_REASONS},
+        "judged_removed_count": reason(JUDGED_LOW),
+        "low_quality_docstring_count": stage(LOW_QUALITY_STAGE),
+        "dedup_removed_count": stage(DEDUP_STAGE),
+        "exact_dedup_removed_count": reason(EXACT),
+        "ast_dedup_removed_count": reason(AST),
+        "augmentation_attempt_count": F.count_if(original & kept & F.lit(opts.enable_augmentation)),
+        "augmentation_success_count": F.count_if(augmented & kept),
+        "augmentation_duplicate_dropped_count": reason(AUGMENT_DUPLICATE),
+        **(pairs or {"instruction_pair_count": F.lit(0).cast("long")}),
+        "_code_chars": F.sum(code_length),
+        "_code_n": F.count(code_length),
+        "_doc_chars": F.sum(doc_length),
+        "_doc_n": F.count(doc_length),
+        "_documented": F.count_if(kept & has_documentation(tagged, roles)),
+        "_parsed": F.count_if(kept & parse_ok),
+        "_named": F.count_if(kept & named(tagged)),
+        "_annotated": F.count_if(kept & annotated(tagged)),
+    }
+    ratios = {
+        "retain_rate": ("final_sample_count", "raw_sample_count", 4),
+        "avg_code_length": ("_code_chars", "_code_n", 2),
+        "avg_docstring_length": ("_doc_chars", "_doc_n", 2),
+        "docstring_coverage": ("_documented", "final_sample_count", 4),
+        "syntax_pass_rate": ("_parsed", "final_sample_count", 4),
+        "function_name_match_rate": ("_named", "final_sample_count", 4),
+        "return_annotation_rate": ("_annotated", "final_sample_count", 4),
+    }
+    failed = (
+        F.col("augmentation_attempt_count")
+        - F.col("augmentation_success_count")
+        - F.col("augmentation_duplicate_dropped_count")
     )
+    return with_ratios(tagged, as_list(by), totals, ratios).withColumn("augmentation_failed_count", failed)
 
 
 def dataset_profile(metrics: DataFrame, by: list[str] | str = ()) -> DataFrame:

@@ -41,20 +41,24 @@ def _pair(pair_type: str, source: Column, target: Column) -> Column:
     )
 
 
+def _conditions(roles: ColumnRoles) -> dict[str, Column]:
+    """When a row yields a pair of each type, in output order."""
+    usable = _usable() & is_present(roles.code)
+    body = usable & ~is_blank("body_without_docstring") & is_present("signature")
+    if not roles.docstring:
+        return {SIGNATURE_TO_BODY: body}
+    documented = usable & _doc_text(roles).isNotNull()
+    return {DOC_TO_CODE: documented, SIGNATURE_TO_BODY: body, CODE_TO_DOC: documented}
+
+
 def _candidates(roles: ColumnRoles) -> dict[str, Column]:
     """Pair struct or NULL, per type, in output order."""
     code = F.col(roles.code)
-    body = F.col("body_without_docstring")
-    has_body = _usable() & ~is_blank(body) & is_present("signature") & is_present(code)
-    found = {}
-    if roles.docstring:
-        doc = _doc_text(roles)
-        has_doc = _usable() & is_present(code) & doc.isNotNull()
-        found[DOC_TO_CODE] = F.when(has_doc, _pair(DOC_TO_CODE, doc, code))
-    found[SIGNATURE_TO_BODY] = F.when(has_body, _pair(SIGNATURE_TO_BODY, F.col("signature"), strip(body)))
+    ends = {SIGNATURE_TO_BODY: (F.col("signature"), strip("body_without_docstring"))}
     if roles.docstring:
-        found[CODE_TO_DOC] = F.when(has_doc, _pair(CODE_TO_DOC, code, doc))
-    return found
+        ends[DOC_TO_CODE] = (_doc_text(roles), code)
+        ends[CODE_TO_DOC] = (code, _doc_text(roles))
+    return {t: F.when(condition, _pair(t, *ends[t])) for t, condition in _conditions(roles).items()}
 
 
 def build_pairs(df: DataFrame, roles: ColumnRoles, types: list[str] | None = None) -> DataFrame:
@@ -80,18 +84,17 @@ def pair_code_to_doc(df: DataFrame, roles: ColumnRoles) -> DataFrame:
     return build_pairs(df, roles, [CODE_TO_DOC])
 
 
-def pair_count_columns(roles: ColumnRoles, among: Column) -> list[Column]:
+def pair_totals(roles: ColumnRoles, among: Column) -> dict[str, Column]:
     """Aggregates over sample rows; no pair text is built to count pairs."""
-    made = {t: among & c.isNotNull() for t, c in _candidates(roles).items()}
-    flags = {t: made.get(t, F.lit(False)) for t in PAIR_TYPES}
-    none = among & ~flags[DOC_TO_CODE] & ~flags[SIGNATURE_TO_BODY] & ~flags[CODE_TO_DOC]
-    counts = [F.count_if(flags[t]) for t in PAIR_TYPES]
-    return [
-        *[n.alias(f"{t}_count") for n, t in zip(counts, PAIR_TYPES)],
-        (counts[0] + counts[1] + counts[2]).alias("instruction_pair_count"),
-        F.count_if(none).alias("skipped_instruction_pair_count"),
-    ]
+    conditions = _conditions(roles)
+    made = {t: F.coalesce(among & conditions.get(t, F.lit(False)), F.lit(False)) for t in PAIR_TYPES}
+    per_row = sum((made[t].cast("int") for t in PAIR_TYPES[1:]), made[PAIR_TYPES[0]].cast("int"))
+    return {
+        **{f"{t}_count": F.count_if(flag) for t, flag in made.items()},
+        "instruction_pair_count": F.coalesce(F.sum(per_row), F.lit(0)).cast("long"),
+        "skipped_instruction_pair_count": F.count_if(among & (per_row == 0)),
+    }
 
 
 def pair_counts(df: DataFrame, roles: ColumnRoles, by: list[str] | str = ()) -> DataFrame:
-    return df.groupBy(*as_list(by)).agg(*pair_count_columns(roles, F.lit(True)))
+    return df.groupBy(*as_list(by)).agg(*[c.alias(n) for n, c in pair_totals(roles, F.lit(True)).items()])

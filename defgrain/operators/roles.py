@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..config import ROW_ID, ColumnRoles, PrepOptions, as_list
-from ..functions.numbers import exact_round, safe_ratio
+from ..functions.numbers import safe_ratio
 from ..functions.text import char_length, is_blank, is_present, looks_like_functions, strip
 
 # Known column names per role, in order of preference.
@@ -64,9 +64,10 @@ def column_role_profile(df: DataFrame) -> DataFrame:
         text = F.lit(None).cast("string") if nested else c.cast("string")
         filled = c.isNotNull() if nested else ~is_blank(text)
         aggregates += [
-            safe_ratio(F.count_if(filled), F.count(F.lit(1))).alias(f"fill_{i}"),
-            F.coalesce(exact_round(F.avg(char_length(text)), 2), F.lit(0.0)).alias(f"mean_{i}"),
-            safe_ratio(F.count_if(looks_like_functions(text)), F.count(F.lit(1))).alias(f"fn_{i}"),
+            F.count_if(filled).alias(f"filled_{i}"),
+            F.sum(char_length(text)).alias(f"chars_{i}"),
+            F.count(text).alias(f"texts_{i}"),
+            F.count_if(looks_like_functions(text)).alias(f"fn_{i}"),
         ]
         role, rank = _role_of(field.name)
         rows.append(
@@ -74,12 +75,22 @@ def column_role_profile(df: DataFrame) -> DataFrame:
                 F.lit(field.name).alias("column"),
                 F.lit(role).cast("string").alias("role"),
                 F.lit(rank).cast("int").alias("name_rank"),
-                F.col(f"fill_{i}").alias("fill"),
-                F.col(f"mean_{i}").alias("mean_len"),
-                F.col(f"fn_{i}").alias("fn_share"),
+                F.col("n"),
+                F.col(f"filled_{i}").alias("filled"),
+                F.col(f"chars_{i}").alias("chars"),
+                F.col(f"texts_{i}").alias("texts"),
+                F.col(f"fn_{i}").alias("fn"),
             )
         )
-    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
+    counts = df.agg(F.count(F.lit(1)).alias("n"), *aggregates).select(F.inline(F.array(*rows)))
+    return counts.select(
+        "column",
+        "role",
+        "name_rank",
+        safe_ratio(F.col("filled"), F.col("n")).alias("fill"),
+        safe_ratio(F.col("chars"), F.col("texts"), 2).alias("mean_len"),
+        safe_ratio(F.col("fn"), F.col("n")).alias("fn_share"),
+    )
 
 
 def role_candidates(profile: DataFrame) -> DataFrame:
@@ -146,18 +157,25 @@ def top_languages(df: DataFrame, column: str, k: int = TOP_LANGUAGES, key: str =
     return best.where("language != ''").select("language", "n")
 
 
-def _observation(df: DataFrame, roles: ColumnRoles, function_like: Column) -> list[Column]:
-    n = F.count(F.lit(1))
-    documented = F.count_if(~is_blank(roles.docstring)) if roles.docstring else F.lit(0)
-    return [
-        n.alias("sample_count"),
-        safe_ratio(documented, n, 2).alias("docstring_coverage_estimate"),
-        F.floor(F.coalesce(F.try_divide(F.sum(F.coalesce(char_length(roles.code), F.lit(0))), n), F.lit(0.0)))
-        .cast("long")
-        .alias("avg_code_length"),
-        F.coalesce(F.bool_or(function_like), F.lit(False)).alias("code_looks_like_functions"),
+def _observation(df: DataFrame, roles: ColumnRoles, by: list[str], function_like: Column, **more: Column) -> DataFrame:
+    documented = F.count_if(~is_blank(roles.docstring)) if roles.docstring else F.lit(0).cast("long")
+    totals = df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("sample_count"),
+        documented.alias("_documented"),
+        F.coalesce(F.sum(char_length(roles.code)), F.lit(0)).alias("_chars"),
+        F.bool_or(function_like).alias("_fn_like"),
+        *[c.alias(name) for name, c in more.items()],
+    )
+    mean = F.try_divide(F.col("_chars").cast("double"), F.col("sample_count"))
+    return totals.select(
+        *by,
+        "sample_count",
+        safe_ratio(F.col("_documented"), F.col("sample_count"), 2).alias("docstring_coverage_estimate"),
+        F.floor(F.coalesce(mean, F.lit(0.0))).cast("long").alias("avg_code_length"),
+        F.coalesce("_fn_like", F.lit(False)).alias("code_looks_like_functions"),
         F.lit(roles.code not in ROLE_NAMES["code"]).alias("non_standard_fields"),
-    ]
+        *more,
+    )
 
 
 def observe_sample(df: DataFrame, roles: ColumnRoles, n: int = SAMPLE_ROWS, key: str = ROW_ID) -> DataFrame:
@@ -182,14 +200,14 @@ def observe_sample(df: DataFrame, roles: ColumnRoles, n: int = SAMPLE_ROWS, key:
         )
         top = F.slice(F.array_sort(ranked), 1, TOP_LANGUAGES)
         languages = F.array_join(F.filter(F.transform(top, lambda e: e["l"]), lambda x: x != ""), ",")
-    return flagged.agg(*_observation(flagged, roles, F.col("_fn_like")), languages.alias("detected_languages"))
+    return _observation(flagged, roles, [], F.col("_fn_like"), detected_languages=languages)
 
 
 def observe(df: DataFrame, roles: ColumnRoles, by: list[str] | str, key: str = ROW_ID) -> DataFrame:
     """The same observation over all rows, one row per data set, so that counts are true
     counts. Languages are reduced to (data set, language) counts before they are ranked."""
     by = as_list(by)
-    facts = df.groupBy(*by).agg(*_observation(df, roles, looks_like_functions(roles.code)))
+    facts = _observation(df, roles, by, looks_like_functions(roles.code))
     if not roles.language:
         return facts.withColumn("detected_languages", F.lit(None).cast("string"))
     named = df.where(is_present(roles.language)).select(*by, F.lower(strip(roles.language)).alias("l"), key)
