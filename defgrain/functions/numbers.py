@@ -18,14 +18,14 @@ def _round_magnitude(a: Column, digits: int, ties: str = "even") -> Column:
     """Rounding of a non-negative double. Every part occurs as few times as possible, because
     Catalyst analyses each repetition."""
     scale = F.lit(float(10**digits))
-    shifted = a * F.lit(_SPLIT)
+    shifted = a * _SPLIT
     high = shifted - (shifted - a)
     product = a * scale
     error = (high * scale - product) + (a - high) * scale
     below = F.floor(product)
     # product - below - 0.5 has no rounding error, so its sum with error has the right sign.
-    excess = F.signum((product - below - F.lit(0.5)) + error)
-    tie = F.lit(0.5) if ties == "away" else (below % 2) - F.lit(0.5)
+    excess = F.signum((product - below - 0.5) + error)
+    tie = F.lit(0.5) if ties == "away" else (below % 2) - 0.5
     return (below + F.when(excess + tie > 0, 1).otherwise(0)) / scale
 
 

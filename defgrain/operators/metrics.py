@@ -117,10 +117,10 @@ def tag_metrics(
     first_function = F.col(FN_ORD) == 0 if FN_ORD in tagged.columns else F.lit(True)
 
     def reason(name: str) -> Column:
-        return F.count_if(F.col(DROP_REASON).eqNullSafe(name))
+        return F.expr(f"count_if({DROP_REASON} = '{name}')")
 
     def stage(name: str) -> Column:
-        return F.count_if(F.col(DROP_STAGE).eqNullSafe(name))
+        return F.expr(f"count_if({DROP_STAGE} = '{name}')")
 
     parse_ok = parsed(tagged)
     parse_bad = F.col("parse_ok").eqNullSafe(False) if "parse_ok" in tagged.columns else F.lit(False)

@@ -237,11 +237,9 @@ def refer_metrics(long: DataFrame, topics: DataFrame, by: Names) -> DataFrame:
     ``topics`` has the run columns and an array ``topics``; each metric row looks its own
     topics up, so there is one equi-join and no row per (question, topic) pair."""
     by = as_list(by)
-    topics_of = {m: [t for t, names in TOPIC_METRICS.items() if m in names] for names in TOPIC_METRICS.values() for m in names}
-    lookup = F.create_map(
-        *[x for m, ts in topics_of.items() for x in (F.lit(m), F.array(*[F.lit(t) for t in ts]))]
+    own = F.array_compact(
+        F.array(*[F.when(F.col("metric").isin(names), F.lit(topic)) for topic, names in TOPIC_METRICS.items()])
     )
-    own = F.coalesce(F.try_element_at(lookup, F.col("metric")), F.array().cast("array<string>"))
     asked = long.join(topics, by)
     other = F.array_remove(own, "filter")
     wanted = F.arrays_overlap(other, F.col("topics")) | (
