@@ -71,23 +71,20 @@ def _body_text(fn) -> str:
         return UNPRINTABLE_BODY
 
 
-def _bound_targets(node: ast.AST) -> list:
-    """Expressions a statement binds, for the four statement kinds that count as locals."""
-    match node:
-        case ast.Assign(targets=targets):
-            return targets
-        case ast.For(target=target) | ast.AugAssign(target=target):
-            return [target]
-        case ast.With(items=items):
-            return [item.optional_vars for item in items]
-    return []
-
-
 def local_names(fn) -> list[str]:
-    """Plain names the function binds, without its positional, * and ** parameters."""
-    bound = {t.id for node in ast.walk(fn) for t in _bound_targets(node) if isinstance(t, ast.Name)}
+    """Plain names the function binds by assignment, ``for``, ``with`` or augmented assignment,
+    without its positional, * and ** parameters."""
+    targets: list = []
+    for node in ast.walk(fn):
+        kind = type(node)
+        if kind is ast.Assign:
+            targets += node.targets
+        elif kind is ast.For or kind is ast.AugAssign:
+            targets.append(node.target)
+        elif kind is ast.With:
+            targets += [item.optional_vars for item in node.items]
     stars = [a for a in (fn.args.vararg, fn.args.kwarg) if a is not None]
-    return sorted(bound - {a.arg for a in fn.args.args + stars})
+    return sorted({t.id for t in targets if type(t) is ast.Name} - {a.arg for a in fn.args.args + stars})
 
 
 def _signature(fn) -> str:
@@ -145,22 +142,45 @@ def functions_of(source: str | None) -> list[dict]:
     return [describe(fn, rewrite=len(found) > 1) for fn in found]
 
 
+class Memo:
+    """Results by text, emptied when full; long texts are not kept."""
+
+    def __init__(self):
+        self.entries: dict = {}
+
+    def get(self, key, source: str | None, make):
+        known = self.entries.get(key)
+        if known is None:
+            known = make()
+            if source is not None and len(source) <= MEMO_TEXT_CHARS:
+                if len(self.entries) >= MEMO_ENTRIES:
+                    self.entries.clear()
+                self.entries[key] = known
+        return known
+
+
+def _struct_array(entries: list[dict | None]) -> pa.StructArray:
+    """Column by column, which Arrow builds far faster than from one dict per row."""
+    columns = [
+        pa.array([None if e is None else e.get(name) for e in entries], type=arrow)
+        for name, _, arrow in FUNCTION_FIELDS
+    ]
+    missing = pa.array([e is None for e in entries], type=pa.bool_())
+    return pa.StructArray.from_arrays(columns, fields=list(FUNCTION_ARROW), mask=missing)
+
+
 def parse_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    memo: dict[str, list[dict]] = {}
+    memo = Memo()
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         for batch in batches:
-            rows = []
+            entries, offsets = [], [0]
             for source in batch.to_pylist():
-                entry = memo.get(source) if source else None
-                if entry is None:
-                    entry = functions_of(source)
-                    if source and len(source) <= MEMO_TEXT_CHARS:
-                        if len(memo) >= MEMO_ENTRIES:
-                            memo.clear()
-                        memo[source] = entry
-                rows.append(entry)
-            yield pa.array(rows, type=pa.list_(FUNCTION_ARROW))
+                entries.extend(memo.get(source, source, lambda: functions_of(source)))
+                offsets.append(len(entries))
+            yield pa.ListArray.from_arrays(
+                pa.array(offsets, type=pa.int32()), _struct_array(entries), type=pa.list_(FUNCTION_ARROW)
+            )
 
 
 class _RenameNames(ast.NodeTransformer):
@@ -216,8 +236,15 @@ def rename_one(source: str | None, old: list[str] | None, new: list[str] | None)
 
 
 def rename_batches(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    memo = Memo()
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        for source, old, new in batches:
-            rows = map(rename_one, source.to_pylist(), old.to_pylist(), new.to_pylist())
-            yield pa.array(list(rows), type=RENAME_ARROW)
+        for source_column, old_column, new_column in batches:
+            results = [
+                memo.get((source, tuple(old or ())), source, lambda: rename_one(source, old, new))
+                for source, old, new in zip(source_column.to_pylist(), old_column.to_pylist(), new_column.to_pylist())
+            ]
+            yield pa.StructArray.from_arrays(
+                [pa.array([r["status"] for r in results]), _struct_array([r["function"] for r in results])],
+                fields=list(RENAME_ARROW),
+            )

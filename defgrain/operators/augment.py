@@ -51,7 +51,9 @@ def augment_attempts(df: DataFrame, roles: ColumnRoles) -> DataFrame:
     reach names bound outside plain Name nodes are ``unsafe`` and give no new row."""
     applicable = F.col("parse_ok").eqNullSafe(True) & is_present("function_name") & is_present(roles.code)
     entries = F.when(applicable, rename_entries())
-    udf = F.arrow_udf(pysource.rename_batches, pysource.RENAME_DDL)
+    # Marked so that a filter on the status is not pushed below the projection, where it would
+    # rename every row a second time.
+    udf = F.arrow_udf(pysource.rename_batches, pysource.RENAME_DDL).asNondeterministic()
     mapped = df.withColumn("_entries", entries)
     attempted = mapped.withColumn(
         "_attempt",
