@@ -68,14 +68,15 @@ def read_csv(
     multi_line: bool = True,
 ) -> DataFrame:
     """CSV with a header, every column a string. Quoted cells may span lines; a corpus whose
-    cells never do should pass ``multi_line=False`` so that large files can be split."""
+    cells never do should pass ``multi_line=False`` so that large files can be split. Empty
+    unquoted cells and the missing cells of short rows are NULL, which every rule treats like
+    the empty string. In a file with CRLF records, line ends inside cells become LF."""
     reader = (
         spark.read.option("header", True)
         .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .option("inferSchema", False)
-        .option("lineSep", "\n")
     )
     if columns:
         reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
