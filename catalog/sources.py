@@ -56,8 +56,8 @@ def sample_head(spark, sf_dir):
 
 def sink_cleaned(spark, sf_dir):
     tagged = tag_invalid(keyed(spark, sf_dir, "documents", "doc_id").select("_row_id", "doc_id", "text"), DOCS_TEXT)
-    path = sinks.write_cleaned(tagged, new_folder(spark, "processed_dataset.jsonl"))
-    return readers.read_jsonl(spark, path, schema="doc_id bigint, text string", strict=True).select("doc_id", "text")
+    out = sinks.write_cleaned(tagged, new_folder(spark, "processed_dataset.jsonl"))
+    return readers.read_jsonl(spark, out.path, schema="doc_id bigint, text string", strict=True).select("doc_id", "text")
 
 
 DOCS_TEXT = ColumnRoles("text")
@@ -71,8 +71,8 @@ PAIR_SCHEMA = "pair_type string, instruction string, input string, output string
 
 
 def sink_pairs(spark, sf_dir):
-    path = sinks.write_pairs(_corpus(spark, sf_dir).pairs, new_folder(spark, "instruction_pairs.jsonl"))
-    rows = readers.read_jsonl(spark, path, schema=PAIR_SCHEMA, strict=True)
+    out = sinks.write_pairs(_corpus(spark, sf_dir).pairs, new_folder(spark, "instruction_pairs.jsonl"))
+    rows = readers.read_jsonl(spark, out.path, schema=PAIR_SCHEMA, strict=True)
     return rows.select("pair_type", "input", "output", "source_function_name")
 
 
@@ -90,7 +90,7 @@ def output_manifest(spark, sf_dir):
     done = _corpus(spark, sf_dir)
     cleaned = sinks.write_cleaned(done.tagged, new_folder(spark, "processed_dataset.jsonl"))
     pairs = sinks.write_pairs(done.pairs, new_folder(spark, "instruction_pairs.jsonl"))
-    found = sinks.output_manifest(spark, {sinks.CLEANED: cleaned, sinks.PAIRS: pairs})
+    found = sinks.output_manifest(spark, [cleaned, pairs])
     return found.select("file_role", "file_name", "row_count")
 
 

@@ -40,12 +40,15 @@ def extract_functions(
     ``enabled=False`` passes rows through with NULL derived columns.
     """
     roles.check(df)
-    df = df.drop(*[c for c in (*DERIVED, FN_ORD) if c in df.columns and c != roles.code])
     if not enabled:
         blanks = {
-            name: F.lit(None).cast(ddl) for name, ddl, _ in pysource.FUNCTION_FIELDS if name != "code"
+            name: F.lit(None).cast(ddl)
+            for name, ddl, _ in pysource.FUNCTION_FIELDS
+            if name != "code" and name not in df.columns
         }
         return df.withColumns({FN_ORD: F.lit(0), **blanks})
+    # Derived columns replace user columns of the same name.
+    df = df.drop(*[c for c in (*DERIVED, FN_ORD) if c in df.columns and c not in (roles.code, roles.docstring)])
     if parse_distinct:
         parsed = _parse_each_text_once(df, roles.code)
     else:

@@ -10,8 +10,8 @@ from ..functions.numbers import safe_ratio, with_ratios
 from ..functions.text import char_length, is_blank, is_present
 from .augment import AUGMENT_DUPLICATE
 from .dedup import AST, DEDUP_STAGE, EXACT
-from .pairs import pair_totals
-from .tags import INVALID_REASONS, INVALID_STAGE, JUDGED_LOW, LOW_QUALITY_REASONS, LOW_QUALITY_STAGE, alive
+from .pairs import PAIR_TYPES, pair_conditions
+from .tags import INVALID_REASONS, INVALID_STAGE, JUDGED_LOW, LOW_QUALITY_REASONS, LOW_QUALITY_STAGE
 
 # Columns looked at for documentation after the role column and the code's own.
 FALLBACK_DOC_COLUMNS = ["docstring", "comment"]
@@ -104,40 +104,58 @@ def return_annotation_rate(df: DataFrame, by: list[str] | str = ()) -> DataFrame
     return _share(df, "return_annotation_rate", annotated(df), by)
 
 
-def _original(df: DataFrame) -> Column:
-    return ~F.col(IS_AUGMENTED) if IS_AUGMENTED in df.columns else F.lit(True)
+FACTS = "_facts"
+
+
+def row_facts(df: DataFrame, roles: ColumnRoles) -> Column:
+    """What the metrics need to know of a row's texts, as one narrow struct. Stored with the
+    tagged rows it lets every later metrics pass skip the text columns."""
+    doc = F.col(roles.docstring) if roles.docstring else F.lit(None).cast("string")
+    pairs = pair_conditions(df, roles)
+    return F.struct(
+        F.when(is_present(roles.code), char_length(roles.code)).alias("code_chars"),
+        F.when(is_present(doc), char_length(doc)).alias("doc_chars"),
+        has_documentation(df, roles).alias("documented"),
+        named(df).alias("named"),
+        annotated(df).alias("annotated"),
+        *[F.coalesce(pairs.get(t, F.lit(False)), F.lit(False)).alias(t) for t in PAIR_TYPES],
+    )
 
 
 def tag_metrics(
     tagged: DataFrame, roles: ColumnRoles, opts: PrepOptions = PrepOptions(), by: list[str] | str = ()
 ) -> DataFrame:
-    """Every count and rate a run reports: one aggregate over the tagged rows, grouped by
-    data set if ``by`` is given."""
-    original, augmented, kept = _original(tagged), ~_original(tagged), alive()
-    first_function = F.col(FN_ORD) == 0 if FN_ORD in tagged.columns else F.lit(True)
+    """Every count and rate a run reports: one map-side combined aggregate over the tagged
+    rows, grouped by data set if ``by`` is given."""
+    by = as_list(by)
+    columns = [*by, DROP_STAGE, DROP_REASON]
+    narrow = tagged.select(
+        *columns,
+        (F.col(FACTS) if FACTS in tagged.columns else row_facts(tagged, roles)).alias(FACTS),
+        (F.col("parse_ok") if "parse_ok" in tagged.columns else F.lit(None).cast("boolean")).alias("parse_ok"),
+        (F.col(IS_AUGMENTED) if IS_AUGMENTED in tagged.columns else F.lit(False)).alias("new"),
+        (F.col(FN_ORD) == 0 if FN_ORD in tagged.columns else F.lit(True)).alias("first"),
+    )
+
+    def count(condition: str) -> Column:
+        return F.expr(f"count_if({condition})")
 
     def reason(name: str) -> Column:
-        return F.expr(f"count_if({DROP_REASON} = '{name}')")
+        return count(f"{DROP_REASON} = '{name}'")
 
     def stage(name: str) -> Column:
-        return F.expr(f"count_if({DROP_STAGE} = '{name}')")
-
-    parse_ok = parsed(tagged)
-    parse_bad = F.col("parse_ok").eqNullSafe(False) if "parse_ok" in tagged.columns else F.lit(False)
-    pairs_on = opts.enable_instruction_pairs and "signature" in tagged.columns
-    pair_rows = kept if pairs_on else F.lit(False)
-    pairs = pair_totals(roles, pair_rows) if "signature" in tagged.columns else {}
-    code_length = F.when(kept & is_present(roles.code), char_length(roles.code))
-    doc_length = F.lit(None).cast("int")
-    if roles.docstring:
-        doc_length = F.when(kept & is_present(roles.docstring), char_length(roles.docstring))
+        return count(f"{DROP_STAGE} = '{name}'")
+
+    kept = f"{DROP_REASON} IS NULL"
+    paired = kept if opts.enable_instruction_pairs else "false"
+    made = [f"{FACTS}.{t}" for t in PAIR_TYPES]
     totals = {
-        "raw_sample_count": F.count_if(original & first_function),
-        "expanded_sample_count": F.count_if(original),
-        "final_sample_count": F.count_if(kept),
-        "ast_parse_success_count": F.count_if(original & parse_ok),
+        "raw_sample_count": count("NOT new AND first"),
+        "expanded_sample_count": count("NOT new"),
+        "final_sample_count": count(kept),
+        "ast_parse_success_count": count("NOT new AND parse_ok"),
         "ast_parse_failed_count": reason("ast_parse_failed"),
-        "parse_failed_rows": F.count_if(original & parse_bad),
+        "parse_failed_rows": count("NOT new AND NOT parse_ok"),
         **{f"{r}_count": reason(r) for r in INVALID_REASONS if r != "ast_parse_failed"},
         "invalid_removed_count": stage(INVALID_STAGE),
         **{f"{r}_count": reason(r) for r in LOW_QUALITY_REASONS},
@@ -146,18 +164,19 @@ def tag_metrics(
         "dedup_removed_count": stage(DEDUP_STAGE),
         "exact_dedup_removed_count": reason(EXACT),
         "ast_dedup_removed_count": reason(AST),
-        "augmentation_attempt_count": F.count_if(original & kept & F.lit(opts.enable_augmentation)),
-        "augmentation_success_count": F.count_if(augmented & kept),
+        "augmentation_attempt_count": count(f"NOT new AND {kept} AND {str(opts.enable_augmentation).lower()}"),
+        "augmentation_success_count": count(f"new AND {kept}"),
         "augmentation_duplicate_dropped_count": reason(AUGMENT_DUPLICATE),
-        **(pairs or {"instruction_pair_count": F.lit(0).cast("long")}),
-        "_code_chars": F.sum(code_length),
-        "_code_n": F.count(code_length),
-        "_doc_chars": F.sum(doc_length),
-        "_doc_n": F.count(doc_length),
-        "_documented": F.count_if(kept & has_documentation(tagged, roles)),
-        "_parsed": F.count_if(kept & parse_ok),
-        "_named": F.count_if(kept & named(tagged)),
-        "_annotated": F.count_if(kept & annotated(tagged)),
+        **{f"{t}_count": count(f"{paired} AND {m}") for t, m in zip(PAIR_TYPES, made)},
+        "skipped_instruction_pair_count": count(" AND ".join([paired, *[f"NOT {m}" for m in made]])),
+        "_code_chars": F.expr(f"sum({FACTS}.code_chars) FILTER (WHERE {kept})"),
+        "_code_n": count(f"{kept} AND {FACTS}.code_chars IS NOT NULL"),
+        "_doc_chars": F.expr(f"sum({FACTS}.doc_chars) FILTER (WHERE {kept})"),
+        "_doc_n": count(f"{kept} AND {FACTS}.doc_chars IS NOT NULL"),
+        "_documented": count(f"{kept} AND {FACTS}.documented"),
+        "_parsed": count(f"{kept} AND parse_ok"),
+        "_named": count(f"{kept} AND {FACTS}.named"),
+        "_annotated": count(f"{kept} AND {FACTS}.annotated"),
     }
     ratios = {
         "retain_rate": ("final_sample_count", "raw_sample_count", 4),
@@ -168,12 +187,12 @@ def tag_metrics(
         "function_name_match_rate": ("_named", "final_sample_count", 4),
         "return_annotation_rate": ("_annotated", "final_sample_count", 4),
     }
-    failed = (
-        F.col("augmentation_attempt_count")
-        - F.col("augmentation_success_count")
-        - F.col("augmentation_duplicate_dropped_count")
-    )
-    return with_ratios(tagged, as_list(by), totals, ratios).withColumn("augmentation_failed_count", failed)
+    sums = {
+        "augmentation_failed_count": "augmentation_attempt_count - augmentation_success_count "
+        "- augmentation_duplicate_dropped_count",
+        "instruction_pair_count": " + ".join(f"{t}_count" for t in PAIR_TYPES),
+    }
+    return with_ratios(narrow, by, totals, ratios).withColumns({n: F.expr(e) for n, e in sums.items()})
 
 
 def dataset_profile(metrics: DataFrame, by: list[str] | str = ()) -> DataFrame:

@@ -41,8 +41,10 @@ def _pair(pair_type: str, source: Column, target: Column) -> Column:
     )
 
 
-def _conditions(roles: ColumnRoles) -> dict[str, Column]:
-    """When a row yields a pair of each type, in output order."""
+def pair_conditions(df: DataFrame, roles: ColumnRoles) -> dict[str, Column]:
+    """When a row yields a pair of each type, in output order; none without extraction."""
+    if "signature" not in df.columns:
+        return {}
     usable = _usable() & is_present(roles.code)
     body = usable & ~is_blank("body_without_docstring") & is_present("signature")
     if not roles.docstring:
@@ -51,20 +53,20 @@ def _conditions(roles: ColumnRoles) -> dict[str, Column]:
     return {DOC_TO_CODE: documented, SIGNATURE_TO_BODY: body, CODE_TO_DOC: documented}
 
 
-def _candidates(roles: ColumnRoles) -> dict[str, Column]:
+def _candidates(df: DataFrame, roles: ColumnRoles) -> dict[str, Column]:
     """Pair struct or NULL, per type, in output order."""
     code = F.col(roles.code)
     ends = {SIGNATURE_TO_BODY: (F.col("signature"), strip("body_without_docstring"))}
     if roles.docstring:
         ends[DOC_TO_CODE] = (_doc_text(roles), code)
         ends[CODE_TO_DOC] = (code, _doc_text(roles))
-    return {t: F.when(condition, _pair(t, *ends[t])) for t, condition in _conditions(roles).items()}
+    return {t: F.when(condition, _pair(t, *ends[t])) for t, condition in pair_conditions(df, roles).items()}
 
 
 def build_pairs(df: DataFrame, roles: ColumnRoles, types: list[str] | None = None) -> DataFrame:
     """All pairs of the rows, keyed by row and ``pair_ord``. Without a docstring role only
     signature pairs are made."""
-    found = [c for t, c in _candidates(roles).items() if types is None or t in types]
+    found = [c for t, c in _candidates(df, roles).items() if types is None or t in types]
     if not found:
         raise ValueError(f"no pair type of {types} can be built without a docstring column")
     pairs = F.array_compact(F.array(*found))
@@ -84,17 +86,15 @@ def pair_code_to_doc(df: DataFrame, roles: ColumnRoles) -> DataFrame:
     return build_pairs(df, roles, [CODE_TO_DOC])
 
 
-def pair_totals(roles: ColumnRoles, among: Column) -> dict[str, Column]:
-    """Aggregates over sample rows; no pair text is built to count pairs."""
-    conditions = _conditions(roles)
-    made = {t: F.coalesce(among & conditions.get(t, F.lit(False)), F.lit(False)) for t in PAIR_TYPES}
-    per_row = sum((made[t].cast("int") for t in PAIR_TYPES[1:]), made[PAIR_TYPES[0]].cast("int"))
-    return {
-        **{f"{t}_count": F.count_if(flag) for t, flag in made.items()},
-        "instruction_pair_count": F.coalesce(F.sum(per_row), F.lit(0)).cast("long"),
-        "skipped_instruction_pair_count": F.count_if(among & (per_row == 0)),
-    }
-
-
 def pair_counts(df: DataFrame, roles: ColumnRoles, by: list[str] | str = ()) -> DataFrame:
-    return df.groupBy(*as_list(by)).agg(*[c.alias(n) for n, c in pair_totals(roles, F.lit(True)).items()])
+    """Pairs per type, all pairs, and rows without any; no pair text is built to count them."""
+    conditions = pair_conditions(df, roles)
+    made = {t: F.coalesce(conditions.get(t, F.lit(False)), F.lit(False)) for t in PAIR_TYPES}
+    counts = df.groupBy(*as_list(by)).agg(
+        *[F.count_if(flag).alias(f"{t}_count") for t, flag in made.items()],
+        F.count_if(~made[DOC_TO_CODE] & ~made[SIGNATURE_TO_BODY] & ~made[CODE_TO_DOC]).alias(
+            "skipped_instruction_pair_count"
+        ),
+    )
+    total = F.expr(" + ".join(f"{t}_count" for t in PAIR_TYPES))
+    return counts.withColumn("instruction_pair_count", total)

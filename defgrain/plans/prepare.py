@@ -33,11 +33,11 @@ class Prepared:
 
     @property
     def cleaned(self) -> DataFrame:
-        return survivors(self.tagged)
+        return survivors(self.tagged).drop(met.FACTS)
 
     @property
     def badcases(self) -> DataFrame:
-        return badcases(self.tagged)
+        return badcases(self.tagged).drop(met.FACTS)
 
     @property
     def pairs(self) -> DataFrame | None:
@@ -72,8 +72,9 @@ def prepare(
 
     Two tables are written: the parsed rows, because parsing is the dear step and the
     duplicate search reads them twice (first only keys and hashes), and the tagged rows,
-    because cleaned rows, bad cases, pairs and metrics are all scans of them. ``save`` does
-    the writing and returns a scan of what it wrote."""
+    because cleaned rows, bad cases, pairs and metrics are all scans of them. They carry a
+    narrow struct of facts, so metrics and log read no text column. ``save`` does the writing
+    and returns a scan of what it wrote."""
     by = as_list(by)
     if ROW_ID not in df.columns:
         df = with_row_id(df)
@@ -90,10 +91,11 @@ def prepare(
         rows = apply_verdicts(rows, verdicts)
     parsed = timed("extract_functions", rows)
     tagged = tag_duplicates(parsed, roles, opts.enable_dedup, opts.enable_dedup and opts.enable_ast_dedup, by)
-    tagged = tagged.withColumn(aug.IS_AUGMENTED, F.lit(False))
+    tagged = tagged.withColumns({aug.IS_AUGMENTED: F.lit(False), met.FACTS: met.row_facts(tagged, roles)})
     tagged = timed(DEDUP_STAGE, tagged)
     if opts.enable_augmentation:
         kept = survivors(tagged)
-        new = timed(aug.AUGMENT_STAGE, aug.augment_rename(kept, roles))
+        renamed = aug.augment_rename(kept, roles)
+        new = timed(aug.AUGMENT_STAGE, renamed.withColumn(met.FACTS, met.row_facts(renamed, roles)))
         tagged = tagged.unionByName(timed("augment_tags", aug.tag_augmented(kept, new, roles, by)))
     return Prepared(tagged, roles, opts, by, clock)

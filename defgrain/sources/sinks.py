@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DROP_REASON
@@ -19,39 +20,43 @@ def public_columns(df: DataFrame) -> DataFrame:
     return df.select(*[f"`{c}`" for c in df.columns if not c.startswith("_")])
 
 
-def write_cleaned(df: DataFrame, path: str, mode: str = "error") -> str:
+@dataclass(frozen=True)
+class Output:
+    """A written result and the number of rows that went into it."""
+
+    role: str
+    path: str
+    row_count: int
+
+    @property
+    def name(self) -> str:
+        return self.path.rstrip("/").rsplit("/", 1)[-1]
+
+
+def _write_json(df: DataFrame, role: str, path: str, mode: str) -> Output:
+    """Write and count in the same pass, so that a manifest never reads the output again."""
+    seen = Observation()
+    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+    counted.write.mode(mode).option("ignoreNullFields", False).json(path)
+    return Output(role, path, seen.get["rows"])
+
+
+def write_cleaned(df: DataFrame, path: str, mode: str = "error") -> Output:
     """Surviving rows as JSONL; tagged input is reduced to its survivors first."""
     kept = survivors(df) if DROP_REASON in df.columns else df
-    public_columns(kept).write.mode(mode).option("ignoreNullFields", False).json(path)
-    return path
+    return _write_json(public_columns(kept), CLEANED, path, mode)
 
 
-def write_pairs(pairs: DataFrame, path: str, mode: str = "error") -> str | None:
+def write_pairs(pairs: DataFrame, path: str, mode: str = "error") -> Output | None:
     """Pairs as JSONL; nothing is written, and None returned, if there are none."""
     if pairs.isEmpty():
         return None
     columns = ["pair_type", "instruction", "input", "output", "source_function_name"]
-    pairs.select(*columns).write.mode(mode).option("ignoreNullFields", False).json(path)
-    return path
-
-
-def output_manifest(spark: SparkSession, outputs: dict[str, str | None]) -> DataFrame:
-    """One row per produced output: role, name, path, number of part files and rows.
-
-    ``outputs`` maps a role to a written folder; roles without output are left out. Rows are
-    counted from the written lines, so the manifest describes what is really there."""
-    written = {role: path for role, path in outputs.items() if path}
-    if not written:
-        return spark.createDataFrame([], "file_role string, file_name string, file_path string, parts long, row_count long")
-
-    def describe(role: str, path: str) -> DataFrame:
-        lines = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("part")).agg(F.count(F.lit(1)).alias("n"))
-        return lines.agg(F.count("part").alias("parts"), F.coalesce(F.sum("n"), F.lit(0)).alias("row_count")).select(
-            F.lit(role).alias("file_role"),
-            F.lit(path.rstrip("/").rsplit("/", 1)[-1]).alias("file_name"),
-            F.lit(path).alias("file_path"),
-            "parts",
-            "row_count",
-        )
-
-    return reduce(DataFrame.unionByName, [describe(r, p) for r, p in written.items()])
+    return _write_json(pairs.select(*columns), PAIRS, path, mode)
+
+
+def output_manifest(spark: SparkSession, outputs: Iterable[Output | None]) -> DataFrame:
+    """One row per written output: role, name, path and rows. Steps without output give None
+    and are left out."""
+    rows = [(o.role, o.name, o.path, o.row_count) for o in outputs if o is not None]
+    return spark.createDataFrame(rows, "file_role string, file_name string, file_path string, row_count long")

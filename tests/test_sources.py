@@ -98,8 +98,9 @@ def test_stage_writes_to_the_shared_folder(spark):
 
 def test_cleaned_output(spark, samples, tmp_path):
     tagged = tag_invalid(samples([(1, "x" * 10, None), (2, " ", "d")]), ColumnRoles("code", "doc"))
-    path = sinks.write_cleaned(tagged, str(tmp_path / "cleaned"))
-    (row,) = spark.read.json(path).collect()
+    out = sinks.write_cleaned(tagged, str(tmp_path / "cleaned"))
+    assert out.row_count == 1
+    (row,) = spark.read.json(out.path).collect()
     assert row.asDict() == {"code": "x" * 10, "doc": None}
 
 
@@ -108,9 +109,9 @@ def test_manifest_counts_what_is_written(spark, tmp_path):
     written = sinks.write_pairs(pairs, str(tmp_path / "pairs.jsonl"))
     nothing = sinks.write_pairs(pairs.where("false"), str(tmp_path / "none.jsonl"))
     assert nothing is None and not (tmp_path / "none.jsonl").exists()
-    rows = sinks.output_manifest(spark, {sinks.PAIRS: written, sinks.CLEANED: nothing}).collect()
+    rows = sinks.output_manifest(spark, [written, nothing]).collect()
     assert [(r.file_role, r.file_name, r.row_count) for r in rows] == [("instruction_pairs", "pairs.jsonl", 7)]
-    assert sinks.output_manifest(spark, {sinks.CLEANED: None}).isEmpty()
+    assert sinks.output_manifest(spark, [None]).isEmpty()
 
 
 def test_run_history(spark, tmp_path):
