@@ -56,18 +56,21 @@ def tag_duplicates(
     ast = ast and "parse_ok" in df.columns
     if not exact and not ast:
         return add_tag(df, DEDUP_STAGE, F.lit(None).cast("string"))
-    marked, reason = df, F.lit(None).cast("string")
-    has_code = is_present(roles.code)
     if exact:
         texts = _first_by_text(df, roles.code, by, with_tree=ast)
-        marked = marked.join(texts.select(*keys, F.lit(True).alias("_text_first")), keys, "left")
-        reason = F.when(has_code & F.col("_text_first").isNull(), EXACT)
     else:
         tree = F.when(F.col("parse_ok"), F.unhex("ast_hash")).alias("_tree")
         texts = _live(df).select(*by, *keys, tree)
+    # The narrow tables meet on the key first, so the wide rows are joined once.
+    marks = texts.select(*keys, F.lit(True).alias("_text_first"))
+    if ast:
+        trees = _first_by_tree(texts, keys, by).withColumn("_tree_first", F.lit(True))
+        marks = marks.join(trees, keys, "left") if exact else trees
+    marked = df.join(marks, keys, "left")
+    reason = F.lit(None).cast("string")
+    if exact:
+        reason = F.when(is_present(roles.code) & F.col("_text_first").isNull(), EXACT)
     if ast:
-        trees = _first_by_tree(texts, keys, by)
-        marked = marked.join(trees.select(*keys, F.lit(True).alias("_tree_first")), keys, "left")
         copied = F.col("parse_ok").eqNullSafe(True) & F.col("ast_hash").isNotNull() & F.col("_tree_first").isNull()
         reason = F.coalesce(reason, F.when(copied, AST))
     return add_tag(marked, DEDUP_STAGE, reason).drop("_text_first", "_tree_first")
