@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ast
 import hashlib
+import inspect
 import warnings
 from collections.abc import Iterator
 
@@ -59,10 +60,8 @@ def _first_line(error: BaseException) -> str:
     return f"{type(error).__name__}: {error}"
 
 
-def _body_text(fn) -> str:
-    statements = fn.body
-    if ast.get_docstring(fn, clean=False) is not None:
-        statements = statements[1:]
+def _body_text(fn, has_docstring: bool) -> str:
+    statements = fn.body[1:] if has_docstring else fn.body
     if not statements:
         return "pass"
     try:
@@ -71,20 +70,44 @@ def _body_text(fn) -> str:
         return UNPRINTABLE_BODY
 
 
-def local_names(fn) -> list[str]:
-    """Plain names the function binds by assignment, ``for``, ``with`` or augmented assignment,
-    without its positional, * and ** parameters."""
+# How each statement kind that makes a local name lists its targets.
+BINDERS = {
+    ast.Assign: lambda node: node.targets,
+    ast.For: lambda node: [node.target],
+    ast.AugAssign: lambda node: [node.target],
+    ast.With: lambda node: [item.optional_vars for item in node.items],
+}
+
+
+def _outline(node: ast.AST, targets: list) -> str:
+    """Text that is equal for equal trees and for no others: kinds, fields in order and
+    constants, without positions. The bound targets are gathered on the way."""
+    binder = BINDERS.get(type(node))
+    if binder is not None:
+        targets += binder(node)
+    fields = []
+    for name in node._fields:
+        value = getattr(node, name, None)
+        if isinstance(value, ast.AST):
+            fields.append(_outline(value, targets))
+        elif isinstance(value, list):
+            fields.append(f"[{','.join([_outline(v, targets) if isinstance(v, ast.AST) else repr(v) for v in value])}]")
+        else:
+            fields.append(repr(value))
+    return f"{type(node).__name__}({','.join(fields)})"
+
+
+def outline_and_locals(fn) -> tuple[str | None, list[str]]:
+    """Hash of the tree, and the plain names the function binds by assignment, ``for``,
+    ``with`` or augmented assignment without its positional, * and ** parameters."""
     targets: list = []
-    for node in ast.walk(fn):
-        kind = type(node)
-        if kind is ast.Assign:
-            targets += node.targets
-        elif kind is ast.For or kind is ast.AugAssign:
-            targets.append(node.target)
-        elif kind is ast.With:
-            targets += [item.optional_vars for item in node.items]
+    try:
+        digest = hashlib.sha256(_outline(fn, targets).encode("utf-8")).hexdigest()
+    except Exception:  # a tree too deep to walk this way still has its names
+        digest, targets = None, [t for n in ast.walk(fn) if type(n) in BINDERS for t in BINDERS[type(n)](n)]
     stars = [a for a in (fn.args.vararg, fn.args.kwarg) if a is not None]
-    return sorted({t.id for t in targets if type(t) is ast.Name} - {a.arg for a in fn.args.args + stars})
+    names = {t.id for t in targets if type(t) is ast.Name} - {a.arg for a in fn.args.args + stars}
+    return digest, sorted(names)
 
 
 def _signature(fn) -> str:
@@ -101,26 +124,24 @@ def _or_none(make, *args):
         return None
 
 
-def _tree_hash(fn) -> str:
-    return hashlib.sha256(ast.dump(fn).encode("utf-8")).hexdigest()
-
-
 def describe(fn, rewrite: bool) -> dict:
     """Facts about one function node; ``code`` is set only when its text replaces the row's."""
     try:
+        docstring = ast.get_docstring(fn, clean=False)
+        digest, names = outline_and_locals(fn)
         return {
             "code": _utf8(_or_none(ast.unparse, fn)) if rewrite else None,
             "function_name": fn.name,
             "parameters": [a.arg for a in fn.args.args],
             "return_annotation": _utf8(ast.unparse(fn.returns)) if fn.returns is not None else None,
-            "docstring_in_code": _utf8(ast.get_docstring(fn)),
-            "body_without_docstring": _utf8(_body_text(fn)),
+            "docstring_in_code": None if docstring is None else _utf8(inspect.cleandoc(docstring)),
+            "body_without_docstring": _utf8(_body_text(fn, docstring is not None)),
             "is_async": isinstance(fn, ast.AsyncFunctionDef),
             "parse_ok": True,
             "error_message": None,
             "signature": _utf8(_or_none(_signature, fn)),
-            "local_names": _or_none(local_names, fn) or [],
-            "ast_hash": _or_none(_tree_hash, fn),
+            "local_names": names,
+            "ast_hash": digest,
         }
     except Exception as error:
         return failed(f"function not readable: {_first_line(error)}")
@@ -183,34 +204,39 @@ def parse_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             )
 
 
-class _RenameNames(ast.NodeTransformer):
-    def __init__(self, mapping: dict[str, str]):
-        self.mapping = mapping
-
-    def visit_Name(self, node: ast.Name) -> ast.Name:
-        return ast.Name(id=self.mapping.get(node.id, node.id), ctx=node.ctx)
-
-
-def _names_bound_elsewhere(tree: ast.AST) -> set[str]:
-    """Names that occur in places a Name rewrite does not reach."""
-    found: set[str] = set()
+# Names that a rewrite of Name nodes does not reach, per node kind that holds some.
+OUTSIDE_NAMES = {
+    ast.Global: lambda node: node.names,
+    ast.Nonlocal: lambda node: node.names,
+    ast.arg: lambda node: [node.arg],
+    ast.alias: lambda node: [node.asname or node.name.split(".")[0]],
+    ast.MatchMapping: lambda node: [node.rest],
+    **dict.fromkeys(
+        [
+            ast.FunctionDef,
+            ast.AsyncFunctionDef,
+            ast.ClassDef,
+            ast.ExceptHandler,
+            ast.MatchAs,
+            ast.MatchStar,
+            ast.TypeVar,
+            ast.ParamSpec,
+            ast.TypeVarTuple,
+        ],
+        lambda node: [node.name],
+    ),
+}
+
+
+def _names_in(tree: ast.AST) -> tuple[list[ast.Name], set[str]]:
+    """Name nodes, and the names that stand anywhere else."""
+    nodes, outside = [], set()
     for node in ast.walk(tree):
-        match node:
-            case ast.Global(names=names) | ast.Nonlocal(names=names):
-                found.update(names)
-            case ast.arg(arg=name):
-                found.add(name)
-            case ast.FunctionDef(name=name) | ast.AsyncFunctionDef(name=name) | ast.ClassDef(name=name):
-                found.add(name)
-            case ast.alias(name=name, asname=asname):
-                found.add(asname or name.split(".")[0])
-            case ast.ExceptHandler(name=str(name)) | ast.MatchAs(name=str(name)) | ast.MatchStar(name=str(name)):
-                found.add(name)
-            case ast.MatchMapping(rest=str(name)):
-                found.add(name)
-            case ast.TypeVar(name=name) | ast.ParamSpec(name=name) | ast.TypeVarTuple(name=name):
-                found.add(name)
-    return found
+        if type(node) is ast.Name:
+            nodes.append(node)
+        elif type(node) in OUTSIDE_NAMES:
+            outside.update(OUTSIDE_NAMES[type(node)](node))
+    return nodes, outside
 
 
 def rename_one(source: str | None, old: list[str] | None, new: list[str] | None) -> dict:
@@ -220,13 +246,15 @@ def rename_one(source: str | None, old: list[str] | None, new: list[str] | None)
     mapping = dict(zip(old, new))
     try:
         tree = ast.parse(source)
-        outside = _names_bound_elsewhere(tree)
-        used = {node.id for node in ast.walk(tree) if isinstance(node, ast.Name)}
+        nodes, outside = _names_in(tree)
+        used = {node.id for node in nodes}
         # A target that is already in use would merge two variables, and a source bound
         # outside Name nodes would be renamed only in part.
         if (used | outside) & set(mapping.values()) or outside & set(mapping):
             return {"status": "unsafe", "function": None}
-        text = ast.unparse(ast.fix_missing_locations(_RenameNames(mapping).visit(tree)))
+        for node in nodes:
+            node.id = mapping.get(node.id, node.id)
+        text = ast.unparse(tree)
         entry = dict(functions_of(text)[0], code=_utf8(text))
     except Exception:
         return {"status": "failed", "function": None}

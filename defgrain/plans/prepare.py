@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,13 +24,14 @@ from ..sources.staging import stage
 
 @dataclass
 class Prepared:
-    """Views of the tagged table; nothing here is computed until it is used."""
+    """Views of the tagged table; nothing is computed until it is used."""
 
     tagged: DataFrame
     roles: ColumnRoles
     opts: PrepOptions
     by: list[str]
     durations_ms: dict[str, int] = field(default_factory=dict)
+    save: Callable[[DataFrame, str], DataFrame] = stage
 
     @property
     def cleaned(self) -> DataFrame:
@@ -45,9 +47,11 @@ class Prepared:
             return None
         return build_pairs(self.cleaned, self.roles)
 
-    @property
+    @cached_property
     def metrics(self) -> DataFrame:
-        return met.tag_metrics(self.tagged, self.roles, self.opts, self.by)
+        """One row per data set, written on first use: every report starts from it, and none
+        should scan the tagged rows again."""
+        return self.save(met.tag_metrics(self.tagged, self.roles, self.opts, self.by), "metrics")
 
     @property
     def log(self) -> DataFrame:
@@ -98,4 +102,4 @@ def prepare(
         renamed = aug.augment_rename(kept, roles)
         new = timed(aug.AUGMENT_STAGE, renamed.withColumn(met.FACTS, met.row_facts(renamed, roles)))
         tagged = tagged.unionByName(timed("augment_tags", aug.tag_augmented(kept, new, roles, by)))
-    return Prepared(tagged, roles, opts, by, clock)
+    return Prepared(tagged, roles, opts, by, clock, save)

@@ -148,3 +148,46 @@ def test_memo_is_bounded():
         memo.get(str(i), str(i), lambda: [i])
     memo.get("long", "x" * (pysource.MEMO_TEXT_CHARS + 1), lambda: ["y"])
     assert len(memo.entries) <= pysource.MEMO_ENTRIES and "long" not in memo.entries
+
+
+def test_outline_tells_apart_exactly_what_the_dump_tells_apart():
+    import ast
+    import itertools
+
+    sources = [
+        "def f(): return 1",
+        "def f():\n    return (1)",
+        "def f(): return 1.0",
+        "def f(): return True",
+        "def f(): return '1'",
+        "def f(): return b'1'",
+        "def f(): return u'1'",
+        "def f(): return None",
+        "def f(): return",
+        "def f(): pass",
+        "def f(a): pass",
+        "def f(*a): pass",
+        "def f(a, /): pass",
+        "def f(*, a): pass",
+        "def f(*, a=1): pass",
+        "def f(a=1): pass",
+        "def f() -> None: pass",
+        "async def f(): pass",
+        "@d\ndef f(): pass",
+        "def f(): x = [1, 2]",
+        "def f(): x = [1], 2",
+        "def f(): x = [(1, 2)]",
+        "def f(): x: int",
+        "def f(): x: int = 1",
+        "def f(): return f'{a}' 'b'",
+        "def f(): return f'{a!r}b'",
+        "def f(): return a < b < c",
+        "def f(): return {**a, 'b': c}",
+        "def f(): return {'b': c, **a}",
+        "def f(): '[a],b'",
+        "def f(): '[a', ']b'",
+    ]
+    trees = [ast.parse(s).body[0] for s in sources]
+    for a, b in itertools.combinations(trees, 2):
+        same_dump = ast.dump(a) == ast.dump(b)
+        assert (pysource._outline(a, []) == pysource._outline(b, [])) == same_dump, (ast.unparse(a), ast.unparse(b))
