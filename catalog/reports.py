@@ -9,7 +9,7 @@ from defgrain.operators import metrics as met
 from defgrain.operators import report as rp
 from defgrain.operators.extract import extract_functions
 from defgrain.operators.normalize import normalize_samples
-from defgrain.plans.prepare import prepare
+from defgrain.plans.prepare import prepare, refine
 from defgrain.sources.staging import new_folder
 from defgrain.streaming import stages as st
 
@@ -32,8 +32,8 @@ TEXT = ColumnRoles("text")
 RUN = "run_id"
 
 
-def _metrics(spark, sf_dir, **opts):
-    return prepare(corpus_rows(spark, sf_dir), CODE_DOC, PrepOptions(**opts), by=RUN).metrics
+def _metrics(spark, sf_dir):
+    return prepare(corpus_rows(spark, sf_dir), CODE_DOC, PrepOptions(), by=RUN).metrics
 
 
 def _parsed(spark, sf_dir):
@@ -104,12 +104,12 @@ def stage_log(spark, sf_dir):
     return met.stage_log(_metrics(spark, sf_dir), RUN).select(RUN, *LOG_COLUMNS)
 
 
-def _long(spark, sf_dir, **opts):
-    return met.metrics_long(met.run_metrics(_metrics(spark, sf_dir, **opts), RUN), RUN)
+def _long(metrics):
+    return met.metrics_long(met.run_metrics(metrics, RUN), RUN)
 
 
 def metrics_long(spark, sf_dir):
-    return _long(spark, sf_dir)
+    return _long(_metrics(spark, sf_dir))
 
 
 def long_sql(source: str = "m") -> str:
@@ -241,7 +241,9 @@ ROUND2 = {"enable_dedup": False, "docstring_min_len": 200}
 
 
 def _rounds(spark, sf_dir):
-    return _long(spark, sf_dir), _long(spark, sf_dir, **ROUND2)
+    """Metrics of a first round and of a refinement that shares its parsed rows."""
+    first = prepare(corpus_rows(spark, sf_dir), CODE_DOC, PrepOptions(), by=RUN)
+    return _long(first.metrics), _long(refine(first, PrepOptions(**ROUND2)).metrics)
 
 
 def rounds_sql(select: str) -> str:

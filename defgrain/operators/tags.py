@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DROP_REASON, DROP_STAGE, ROW_ID, ColumnRoles, as_list, key_columns
+from ..config import DROP_REASON, DROP_STAGE, ColumnRoles, as_list, key_columns
 from ..functions.text import char_length, is_blank, is_present, strip
 
 # Length limits, reasons in rule order, placeholder words, border limits.
@@ -161,12 +161,13 @@ def border_candidates(
     )
 
 
-def apply_verdicts(df: DataFrame, verdicts: DataFrame, key: list[str] | str = ROW_ID) -> DataFrame:
-    """Attach outside verdicts and tag the rows judged low quality.
+def apply_verdicts(df: DataFrame, verdicts: DataFrame, key: list[str] | str | None = None) -> DataFrame:
+    """Attach outside verdicts and tag the rows judged low quality. The key defaults to the
+    key columns both tables have: functions if the verdicts name them, else whole rows.
 
     Rows without a verdict and unknown labels count as ``uncertain`` and stay. Several
     verdicts on one key are reduced to the mildest, so the join never multiplies rows."""
-    key = as_list(key)
+    key = as_list(key) if key else [c for c in key_columns(df) if c in verdicts.columns]
     known = F.when(F.col("verdict").isin(VERDICTS), F.col("verdict")).otherwise("uncertain")
     rank = F.when(known == "high_quality", 0).when(known == "uncertain", 1).otherwise(2)
     single = verdicts.groupBy(*key).agg(F.min_by(known, rank).alias("verdict"))

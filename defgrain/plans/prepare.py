@@ -10,14 +10,22 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import ROW_ID, ColumnRoles, PrepOptions, as_list
+from ..config import DROP_REASON, DROP_STAGE, ROW_ID, ColumnRoles, PrepOptions, as_list
 from ..operators import augment as aug
 from ..operators import metrics as met
 from ..operators.dedup import DEDUP_STAGE, tag_duplicates
 from ..operators.extract import extract_functions
 from ..operators.normalize import normalize_samples
 from ..operators.pairs import build_pairs
-from ..operators.tags import apply_verdicts, badcases, survivors, tag_invalid, tag_low_quality
+from ..operators.tags import (
+    INVALID_STAGE,
+    apply_verdicts,
+    badcases,
+    border_candidates,
+    survivors,
+    tag_invalid,
+    tag_low_quality,
+)
 from ..sources.readers import with_row_id
 from ..sources.staging import stage
 
@@ -26,6 +34,7 @@ from ..sources.staging import stage
 class Prepared:
     """Views of the tagged table; nothing is computed until it is used."""
 
+    parsed: DataFrame
     tagged: DataFrame
     roles: ColumnRoles
     opts: PrepOptions
@@ -41,6 +50,12 @@ class Prepared:
     def badcases(self) -> DataFrame:
         return badcases(self.tagged).drop(met.FACTS)
 
+    @property
+    def border(self) -> DataFrame:
+        """Rows worth an outside verdict, from the rows that entered the docstring filter."""
+        entered = self.parsed.where(F.coalesce(F.col(DROP_STAGE) != INVALID_STAGE, F.lit(True)))
+        return border_candidates(entered.drop(DROP_STAGE, DROP_REASON), self.roles, self.opts.docstring_min_len)
+
     @property
     def pairs(self) -> DataFrame | None:
         if not (self.opts.enable_instruction_pairs and self.opts.enable_ast_extract):
@@ -60,8 +75,7 @@ class Prepared:
 
 def tag_rows(df: DataFrame, roles: ColumnRoles, opts: PrepOptions = PrepOptions()) -> DataFrame:
     """The row-wise part: normalise, extract, tag. One scan, no shuffle, also on streams."""
-    rows = extract_functions(normalize_samples(df, roles), roles, opts.enable_ast_extract)
-    return tag_low_quality(tag_invalid(rows, roles), roles, opts.docstring_min_len)
+    return _tag(extract_functions(normalize_samples(df, roles), roles, opts.enable_ast_extract), roles, opts)
 
 
 def prepare(
@@ -82,6 +96,31 @@ def prepare(
     by = as_list(by)
     if ROW_ID not in df.columns:
         df = with_row_id(df)
+    rows = extract_functions(normalize_samples(df, roles), roles, opts.enable_ast_extract)
+    return _finish(rows, roles, opts, by, verdicts, save)
+
+
+def refine(previous: Prepared, opts: PrepOptions, verdicts: DataFrame | None = None) -> Prepared:
+    """Another round over the same rows with other options or new verdicts. The parsed rows of
+    the previous round are used again, so nothing is parsed a second time."""
+    if opts.enable_ast_extract != previous.opts.enable_ast_extract:
+        raise ValueError("extraction cannot be switched between rounds; prepare the rows again")
+    rows = previous.parsed.drop(DROP_STAGE, DROP_REASON, "verdict")
+    return _finish(rows, previous.roles, opts, previous.by, verdicts, previous.save)
+
+
+def _tag(rows: DataFrame, roles: ColumnRoles, opts: PrepOptions) -> DataFrame:
+    return tag_low_quality(tag_invalid(rows, roles), roles, opts.docstring_min_len)
+
+
+def _finish(
+    rows: DataFrame,
+    roles: ColumnRoles,
+    opts: PrepOptions,
+    by: list[str],
+    verdicts: DataFrame | None,
+    save: Callable[[DataFrame, str], DataFrame],
+) -> Prepared:
     clock: dict[str, int] = {}
 
     def timed(name: str, frame: DataFrame) -> DataFrame:
@@ -90,7 +129,7 @@ def prepare(
         clock[name] = int((time.monotonic() - start) * 1000)
         return saved
 
-    rows = tag_rows(df, roles, opts)
+    rows = _tag(rows, roles, opts)
     if verdicts is not None:
         rows = apply_verdicts(rows, verdicts)
     parsed = timed("extract_functions", rows)
@@ -102,4 +141,4 @@ def prepare(
         renamed = aug.augment_rename(kept, roles)
         new = timed(aug.AUGMENT_STAGE, renamed.withColumn(met.FACTS, met.row_facts(renamed, roles)))
         tagged = tagged.unionByName(timed("augment_tags", aug.tag_augmented(kept, new, roles, by)))
-    return Prepared(tagged, roles, opts, by, clock, save)
+    return Prepared(parsed, tagged, roles, opts, by, clock, save)

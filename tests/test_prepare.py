@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from defgrain import ColumnRoles, PrepOptions, prepare
+from defgrain import ColumnRoles, PrepOptions, prepare, refine
 from defgrain.config import key_columns
 from defgrain.operators import metrics as met
 from defgrain.operators.dedup import dedup_counts, tag_duplicates
@@ -139,3 +139,31 @@ def test_streamed_progress_ends_at_the_last_event(spark):
     updates = drain(spark, st.stream_latest_progress(stream_of(spark, events), "k", ["seq"], ["v"]), "update")
     final = updates.groupBy("k").agg(F.max("seq").alias("seq")).collect()
     assert {r.k: r.seq for r in final} == {k: max(i for i in range(500) if i % 7 == k) for k in range(7)}
+
+
+def test_refinement_equals_a_run_from_scratch(done, samples):
+    opts = PrepOptions(enable_dedup=False, docstring_min_len=3)
+    again = refine(done, opts)
+    scratch = prepare(samples(rows(600)), ROLES, opts)
+    assert again.metrics.first() == scratch.metrics.first() != done.metrics.first()
+    assert again.cleaned.exceptAll(scratch.cleaned.select(again.cleaned.columns)).isEmpty()
+    assert "ArrowEvalPython" not in again.tagged._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError):
+        refine(done, PrepOptions(enable_ast_extract=False))
+
+
+def test_border_rows_are_judged_in_the_next_round(spark, done):
+    border = done.border
+    assert border.count() > 0
+    verdicts = border.select("_row_id", "_fn_ord", F.lit("low_quality").alias("verdict"))
+    judged = refine(done, ALL_ON, verdicts).metrics.first()
+    assert judged.judged_removed_count == verdicts.count()
+    assert judged.low_quality_docstring_count == done.metrics.first().low_quality_docstring_count + judged.judged_removed_count
+
+
+def test_language_ranking_is_cut_before_the_shuffle(spark):
+    from defgrain.operators.roles import observe
+
+    df = spark.createDataFrame([(1, "x", "d", "go", "a")], "_row_id long, code string, doc string, lang string, run string")
+    plan = observe(df, ColumnRoles("code", "doc", "lang"), "run")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
