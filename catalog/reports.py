@@ -20,7 +20,6 @@ from .common import (
     corpus_metrics_sql,
     corpus_rows,
     corpus_tags,
-    keyed,
     metrics_cte,
     ratio_sql,
     round_sql,

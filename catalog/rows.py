@@ -27,7 +27,6 @@ from .common import (
     RENAME_CODE,
     blank_sql,
     corpus_rows,
-    corpus_tags,
     dedup_rows,
     invalid_sql,
     keyed,
