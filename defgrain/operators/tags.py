@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..config import DROP_REASON, DROP_STAGE, ColumnRoles, as_list, key_columns
 from ..functions.text import char_length, is_blank, is_present, strip
 
-# Length limits, reasons in rule order, placeholder words, border limits.
+# Length limits, reasons in rule order, placeholder words, border limits. The
+# verdicts an outside judge may give are high_quality, low_quality and uncertain.
 CODE_MIN_LEN = 10
 CODE_MAX_LEN = 8000
 DOCSTRING_MAX_LEN = 2000
@@ -30,7 +31,6 @@ BORDER_MIN_LEN = 10
 BORDER_MAX_LEN = 60
 BORDER_MIN_ROWS = 20
 BORDER_LIMIT = 300
-VERDICTS = ["high_quality", "low_quality", "uncertain"]
 
 INVALID_STAGE = "filter_invalid"
 LOW_QUALITY_STAGE = "filter_low_quality"
@@ -168,9 +168,10 @@ def apply_verdicts(df: DataFrame, verdicts: DataFrame, key: list[str] | str | No
     Rows without a verdict and unknown labels count as ``uncertain`` and stay. Several
     verdicts on one key are reduced to the mildest, so the join never multiplies rows."""
     key = as_list(key) if key else [c for c in key_columns(df) if c in verdicts.columns]
-    known = F.when(F.col("verdict").isin(VERDICTS), F.col("verdict")).otherwise("uncertain")
-    rank = F.when(known == "high_quality", 0).when(known == "uncertain", 1).otherwise(2)
-    single = verdicts.groupBy(*key).agg(F.min_by(known, rank).alias("verdict"))
-    judged = df.drop("verdict").join(single, key, "left")
-    judged = judged.withColumn("verdict", F.coalesce("verdict", F.lit("uncertain")))
+    # The mildest verdict has the lowest number; numbers aggregate by hash, names would be sorted.
+    severity = F.when(F.col("verdict") == "high_quality", 0).when(F.col("verdict") == "low_quality", 2).otherwise(1)
+    single = verdicts.groupBy(*key).agg(F.min(severity).alias("_severity"))
+    name = F.when(F.col("_severity") == 0, "high_quality").when(F.col("_severity") == 2, "low_quality")
+    judged = df.drop("verdict").join(single, key, "left").withColumn("verdict", name.otherwise("uncertain"))
+    judged = judged.drop("_severity")
     return add_tag(judged, LOW_QUALITY_STAGE, F.when(F.col("verdict") == "low_quality", JUDGED_LOW))
