@@ -4,7 +4,8 @@ The parser runs inside an Arrow UDF that receives the code column alone, so user
 never leave the JVM, nothing is shuffled and a popular text cannot pile up in one task: its
 rows stay where they were read and each task parses it once (bounded memo).
 ``parse_distinct=True`` is for corpora where most texts are far-spread copies: texts are
-reduced to one per hash before parsing and the result is joined back on the hash.
+reduced to one per hash before parsing and the result is joined back on the hash, hot hashes
+salted.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from ..config import FN_ORD, ColumnRoles, key_columns
 from ..functions import pysource
 from ..functions.text import is_present, sha256_bin
+from ..sources.staging import stage
 
 # Executors get the helper module with the function, whatever is installed there.
 cloudpickle.register_pickle_by_value(pysource)
@@ -65,14 +67,33 @@ def extract_functions(
 
 
 def _parse_each_text_once(df: DataFrame, code: str) -> DataFrame:
-    """Parse one copy per hash. The map side keeps a single copy of a popular text per task;
-    in the join back the parsed side is unique, so AQE can split a hot hash on the row side."""
+    """Parse one copy per hash and join the result back.
+
+    The map side keeps a single copy of a popular text per task. The distinct texts are staged
+    with their row counts, because three reads follow. A text that holds at least one row in
+    HOT_SHARE is salted on both sides of the join; there can be no more than HOT_SHARE such
+    texts, which bounds the broadcast list of their hashes whatever the corpus."""
     keyed = df.withColumn("_code_hash", F.when(is_present(code), sha256_bin(code)))
-    texts = keyed.where(F.col("_code_hash").isNotNull()).groupBy("_code_hash").agg(F.any_value(code).alias("_text"))
-    parsed = texts.select("_code_hash", parse_functions("_text").alias("_functions"))
+    texts = keyed.where(F.col("_code_hash").isNotNull()).groupBy("_code_hash")
+    texts = stage(texts.agg(F.any_value(code).alias("_text"), F.count(F.lit(1)).alias("_n")), "texts")
+    total = texts.agg(F.sum("_n")).scalar()
+    hot = (F.col("_n") * HOT_SHARE >= total) & (F.col("_n") >= HOT_MIN_ROWS)
+    hot_hashes = F.broadcast(texts.where(hot).select("_code_hash", F.lit(True).alias("_hot")))
+    copies = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    parsed = texts.select("_code_hash", parse_functions("_text").alias("_functions"), copies.alias("_copies"))
+    parsed = parsed.select("_code_hash", "_functions", F.explode_outer("_copies").alias("_salt"))
+    spread_over = F.pmod(F.xxhash64(*key_columns(df)), F.lit(SALTS)).cast("int")
+    salted = keyed.join(hot_hashes, "_code_hash", "left")
+    salted = salted.withColumn("_salt", F.when(F.col("_hot"), spread_over).otherwise(0))
     empty = F.array(F.from_json(F.lit(_EMPTY_JSON), pysource.FUNCTION_DDL))
-    return keyed.join(parsed, "_code_hash", "left").withColumn("_functions", F.coalesce("_functions", empty))
+    joined = salted.join(parsed, ["_code_hash", "_salt"], "left")
+    return joined.withColumn("_functions", F.coalesce("_functions", empty))
+
 
+# A text is hot if it holds one row in HOT_SHARE and enough rows to matter.
+HOT_SHARE = 1000
+HOT_MIN_ROWS = 10_000
+SALTS = 64
 
 _EMPTY_JSON = (
     '{"parameters":[],"is_async":false,"parse_ok":false,"error_message":"empty code","local_names":[]}'

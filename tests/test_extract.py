@@ -112,6 +112,21 @@ def test_distinct_form_equals_direct_form(samples):
     assert direct.exceptAll(once).isEmpty() and once.exceptAll(direct).isEmpty()
 
 
+def test_hot_texts_are_salted(samples, monkeypatch):
+    from defgrain.operators import extract
+
+    monkeypatch.setattr(extract, "HOT_MIN_ROWS", 50)
+    # One text holds a third of all rows; it is hot with HOT_SHARE 3, the others are not.
+    monkeypatch.setattr(extract, "HOT_SHARE", 3)
+    rows = [(i, "def hot(): pass" if i % 3 == 0 else f"def f{i % 70}(): pass\ndef g(): pass") for i in range(900)]
+    once = extract_functions(samples(rows), ROLES, parse_distinct=True)
+    direct = extract_functions(samples(rows), ROLES)
+    assert direct.exceptAll(once).isEmpty() and once.exceptAll(direct).isEmpty()
+    salts = extract._parse_each_text_once(samples(rows), "code").groupBy("code").agg(F.countDistinct("_salt").alias("n"))
+    assert {r.n > 1 for r in salts.where("code like '%hot%'").collect()} == {True}
+    assert {r.n for r in salts.where("code not like '%hot%'").collect()} == {1}
+
+
 def test_toggle_adds_typed_nulls(samples):
     on = extract_functions(samples([(1, "x")]), ROLES)
     off = extract_functions(samples([(1, "x")]), ROLES, enabled=False)
