@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import list_array, long_key, map_batches, signed, stage
 
-MIN_WORDS = 50
+MIN_WORDS = 40  # a passage of 50 words that begins and ends inside sentences has so many in whole ones
 _UNIT = re.compile(r"[^\n]*?(?:\n|[.!?]+[^\s\w]*[ \t]+|\Z)")
 
 

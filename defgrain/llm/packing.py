@@ -30,7 +30,7 @@ END = 2
 SHARD_TOKENS = 1_000_000
 K1, B = 1.2, 0.75
 _CACHE = 400_000  # white-space separated pieces whose ids a worker remembers
-_memo: dict[str, dict[bytes, tuple[int, ...]]] = {}
+_memo: dict[str, dict[bytes, bytes]] = {}
 
 
 @cache
@@ -41,10 +41,11 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def token_ids(texts: list[str | None], path: str, end: int | None = END) -> list[np.ndarray]:
-    """Ids of whole texts. The tokenizer drops white space and never joins across it, so texts are
-    cut at ASCII white space and each different piece is tokenised once per worker."""
-    known = _memo.setdefault(path, {})
+def token_ids(texts: list[str | None], path: str, kind: str, end: int | None = END) -> list[bytes]:
+    """Ids of whole texts as numbers of ``kind``. The tokenizer drops white space and never joins
+    across it, so texts are cut at ASCII white space and each different piece is tokenised once per
+    worker."""
+    known = _memo.setdefault(path + kind, {})
     pieces = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
     if len(known) > _CACHE:
         known.clear()
@@ -52,22 +53,24 @@ def token_ids(texts: list[str | None], path: str, end: int | None = END) -> list
     for at in range(0, len(new), 10_000):
         part = new[at : at + 10_000]
         encoded = _tokenizer(path).encode_batch([p.decode("utf-8", "replace") for p in part], add_special_tokens=False)
-        known.update((p, tuple(e.ids)) for p, e in zip(part, encoded))
-    tail = [] if end is None else [end]
-    return [np.array([i for p in own for i in known[p]] + tail, dtype=np.uint32) for own in pieces]
+        known.update((p, np.array(e.ids, dtype=kind).tobytes()) for p, e in zip(part, encoded))
+    tail = b"" if end is None else np.array([end], dtype=kind).tobytes()
+    return [b"".join(map(known.__getitem__, own)) + tail for own in pieces]
 
 
-def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> DataFrame:
-    """(doc_id, ids) with ids as little-endian 16-bit numbers if they fit, else 32-bit ones."""
-    narrow = _tokenizer(path).get_vocab_size(with_added_tokens=True) <= 1 << 16
+def id_kind(path: str) -> str:
+    """Little-endian 16-bit numbers if the ids fit, else 32-bit ones."""
+    return "<u2" if _tokenizer(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+
+
+def tokenised(docs: DataFrame, path: str, kind: str, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> DataFrame:
+    """(doc_id, ids) of each row."""
 
     def run(batches):
-        kind = "<u2" if narrow else "<u4"
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                ids = token_ids(batch.column(1).to_pylist(), path, end)
-                packed = pa.array([i.astype(kind).tobytes() for i in ids], pa.binary())
+                packed = pa.array(token_ids(batch.column(1).to_pylist(), path, kind, end), pa.binary())
                 yield pa.record_batch([batch.column(0), packed], names=["doc_id", "ids"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string"))
@@ -186,8 +189,8 @@ def pack(
     if window & (window - 1):
         raise ValueError("window must be a power of two")
     path = tokenizer or public_tokenizers.path(TOKENIZER)
-    kind = "<u2" if _tokenizer(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-    tokens = stage(tokenised(docs, path, id_col, text_col), "tokens")
+    kind = id_kind(path)
+    tokens = stage(tokenised(docs, path, kind, id_col, text_col), "tokens")
     counts, total = token_documents(tokens, kind)
     idf = np.log1p((total - counts + 0.5) / (counts + 0.5))
     shared = docs.sparkSession.sparkContext.broadcast(idf.astype(np.float32))

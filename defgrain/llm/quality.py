@@ -1,17 +1,19 @@
 """Quality without hand-made labels: overlapping heuristic labellers, an expectation-maximisation
 estimate of how far each can be trusted, and a hashed linear scorer trained on the posteriors.
 
-Each labeller votes good (1), bad (-1) or abstains (0). Votes form a pattern; with m labellers there
-are at most 3^m patterns, so the counts of all documents fit on the driver whatever the corpus.
+Each labeller votes good or bad, is undecided, or gives no vote. Votes form a pattern; with m
+labellers there are at most 4^m patterns, so the counts of all documents fit on the driver whatever the corpus.
 Expectation-maximisation runs on these counts. The scorer is fitted on a bounded sample and applied
 to every document in the pass that reads it.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
+from functools import lru_cache
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +23,18 @@ from pyspark.sql import functions as F
 from .common import map_batches
 
 DIM = 1 << 12
-SAMPLE = 4000  # documents of each side of the posterior that the scorer is fitted on
+SAMPLE = 2000  # documents of each side of the posterior that the scorer is fitted on
 ROUNDS = 60
-MAX_FEATURES = 512
 
-LABELLERS = ("upper", "symbols", "marked_words", "top_word", "repeats", "word_length", "lone_symbols", "letters")
+LABELLERS = ("upper", "symbols", "marked_words", "top_word", "repeats", "echo", "word_length", "lone_symbols", "letters")
+MISSING = 2
 _SYMBOLS = bytes(range(33, 39)) + b"*+/<=>@[\\]^_`{|}~"
+_LONE = {bytes([b]) for b in _SYMBOLS + b"-.:;,"}
+_NOT_LETTERS = bytes(b for b in range(256) if not (65 <= b <= 90 or 97 <= b <= 122 or b >= 192))
+_NOT_UPPER = bytes(b for b in range(256) if not 65 <= b <= 90)
+_NOT_ASCII_LETTERS = bytes(b for b in range(256) if not (65 <= b <= 90 or 97 <= b <= 122))
+_LATER_BYTES = bytes(range(128, 192))  # of characters beyond ASCII, whose first byte is 192 or more
 _PLAIN = bytes(97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256))
-_RUNS = re.compile(rb"(.)\1+", re.S)
 
 
 def _vote(value: float, good: float, bad: float) -> int:
@@ -37,105 +43,101 @@ def _vote(value: float, good: float, bad: float) -> int:
 
 
 def votes(text: str | None) -> list[int]:
-    """One vote per labeller. A text of fewer than five words gives too little to judge: all
-    labellers but those on single characters abstain; an empty text gets no votes at all."""
-    if not text:
-        return [0] * len(LABELLERS)
-    raw = text.encode("utf-8", "surrogatepass")
+    """One vote per labeller: good (1), bad (-1), undecided (0), or missing (2) if the text is too
+    short for the labeller. An empty text has no votes at all."""
+    raw = text.encode("utf-8", "surrogatepass") if text else b""
     words = raw.split()
     n = len(words)
     if not n:
-        return [0] * len(LABELLERS)
-    letters = sum(map(str.isalpha, text)) if not text.isascii() else len(raw.translate(None, _NOT_LETTERS))
-    upper = sum(map(str.isupper, text)) if not text.isascii() else len(raw.translate(None, _NOT_UPPER))
-    dense = len(raw) - raw.count(b" ") - raw.count(b"\n")
-    symbols = len(raw) - len(raw.translate(None, _SYMBOLS))
-    long_enough = n >= 5
+        return [MISSING] * len(LABELLERS)
+    upper = len(raw.translate(None, _NOT_UPPER))
+    ascii_letters = len(raw.translate(None, _NOT_ASCII_LETTERS))
+    letters = len(raw.translate(None, _NOT_LETTERS))
+    dense = sum(map(len, words))
+    seen = len(b"".join(words).translate(None, _LATER_BYTES))  # characters but white space
+    symbols = dense - len(raw.translate(None, _SYMBOLS)) + len(raw) - dense
+    out = [_vote(upper / max(ascii_letters, 1), 0.25, 0.6), _vote(symbols / max(dense, 1), 0.015, 0.06)]
+    if n < 5:
+        return out + [MISSING] * (len(LABELLERS) - 2)
     counts = Counter(words)
-    out = [_vote(upper / max(letters, 1), 0.25, 0.6), _vote(symbols / max(dense, 1), 0.015, 0.06)]
-    if not long_enough:
-        return out + [0] * (len(LABELLERS) - 2)
     marked = sum(c for w, c in counts.items() if len(w) > 2 and w[-1] in _SYMBOLS and w[-2] in _SYMBOLS)
     out.append(_vote(marked / n, 0.02, 0.15))
-    out.append(_vote(max(counts.values()) / n, 0.15, 0.3) if n >= 20 else 0)
+    out.append(_vote(max(counts.values()) / n, 0.15, 0.3) if n >= 20 else MISSING)
     if n >= 30:
-        grams = Counter(zip(words, words[1:], words[2:], words[3:]))
+        grams = set(zip(words, words[1:], words[2:], words[3:]))
         out.append(_vote(1 - len(grams) / (n - 3), 0.1, 0.4))
     else:
-        out.append(0)
-    mean = len(text) / n
-    out.append(1 if 3.5 <= mean <= 12 else -1 if mean < 2.2 or mean > 20 else 0)
-    out.append(_vote(sum(c for w, c in counts.items() if len(w) == 1 and w in _LONE) / n, 0.02, 0.15))
-    out.append(_vote(1 - letters / max(len(text) - text.count(" ") - text.count("\n"), 1), 0.12, 0.3))
+        out.append(MISSING)
+    out.append(_vote(sum(map(eq, words, islice(words, 1, None))) / n, 0.02, 0.05))
+    mean = seen / n
+    out.append(1 if 2.5 <= mean <= 12 else -1 if mean < 1.5 or mean > 20 else 0)
+    out.append(_vote(sum(counts[w] for w in _LONE if w in counts) / n, 0.02, 0.15) if n >= 20 else MISSING)
+    out.append(_vote(1 - letters / max(seen, 1), 0.12, 0.3) if n >= 20 else MISSING)
     return out
 
 
-_NOT_LETTERS = bytes(b for b in range(256) if not (65 <= b <= 90 or 97 <= b <= 122))
-_NOT_UPPER = bytes(b for b in range(256) if not 65 <= b <= 90)
-_LONE = {bytes([b]) for b in _SYMBOLS + b"-.:;,"}
-
-
 def pattern(v: list[int]) -> int:
     out = 0
     for x in v:
-        out = out * 3 + x + 1
+        out = out * 4 + x + 1
     return out
 
 
 def unpack(p: int) -> list[int]:
     out = []
     for _ in LABELLERS:
-        out.append(p % 3 - 1)
-        p //= 3
+        out.append(p % 4 - 1)
+        p //= 4
     return out[::-1]
 
 
-def features(text: str | None) -> dict[int, float]:
-    """Hashed counts of word shapes and pairs of them, as weights of unit length. A shape keeps
-    letter case, digits and punctuation and drops which letters they are, so the scorer sees how a
+@lru_cache(1 << 16)
+def _shape(ends: bytes) -> int:
+    return zlib.crc32(ends)
+
+
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed counts of word shapes and pairs of them, as (indexes, weights of unit length). A shape
+    is letter case, digits and punctuation at a word's ends, without which letters: it shows how a
     text is written, not what it is about."""
-    if not text:
-        return {}
-    shapes = [_RUNS.sub(rb"\1", s) for s in text.encode("utf-8", "surrogatepass").translate(_PLAIN).split()]
-    whole = Counter(text.encode("utf-8", "surrogatepass").split())
-    n = len(shapes)
+    raw = text.encode("utf-8", "surrogatepass") if text else b""
+    words = raw.split()
+    n = len(words)
     if not n:
-        return {}
-    found: Counter[int] = Counter()
-    crc = zlib.crc32
-    for shape, c in Counter(shapes).items():
-        found[crc(shape[:16]) % DIM] += c
-    for (a, b), c in Counter(zip(shapes, shapes[1:])).items():
-        found[crc(b"%s %s" % (a[:16], b[:16])) % DIM] += c
+        return np.zeros(0, np.int64), np.zeros(0)
+    shapes = np.array([_shape(w[:1] + w[-3:]) for w in raw.translate(_PLAIN).split()], dtype=np.int64)
+    top = Counter(words)
     # How often words return, in steps; a text is compared with its own length only.
-    found[crc(b"\x00repeat%d" % min(9, int(10 * (1 - len(whole) / n)))) % DIM] += n
-    found[crc(b"\x00top%d" % min(9, int(10 * max(whole.values()) / n))) % DIM] += n
-    best = found.most_common(MAX_FEATURES)
-    norm = sum(c * c for _, c in best) ** 0.5
-    return {k: c / norm for k, c in best}
+    repeat = min(9, int(10 * (1 - len(top) / n)))
+    share = min(9, int(10 * max(top.values()) / n))
+    both = (shapes[:-1] * 31 + shapes[1:] * 17) % DIM
+    extra = np.repeat([zlib.crc32(b"repeat%d" % repeat) % DIM, zlib.crc32(b"top%d" % share) % DIM], n)
+    counts = np.bincount(np.concatenate([shapes % DIM, both, extra]), minlength=DIM)
+    at = np.flatnonzero(counts)
+    return at, counts[at] / np.sqrt((counts[at].astype(float) ** 2).sum())
 
 
 def fit_labellers(counts: dict[int, int], rounds: int = ROUNDS) -> dict[int, float]:
     """Posterior probability of good for each vote pattern.
 
-    Two classes, labellers independent within a class, smoothed counts; an abstention is no
-    evidence. It starts from the share of good votes, which also settles which class is good."""
+    Two classes; within a class the labellers vote independently, each with its own chances of good,
+    bad and neither (smoothed); a missing vote is no evidence. It starts from the view that one bad vote outweighs others, since the
+    labellers look for different faults; that also settles which class is good."""
     if not counts:
         return {}
     table = np.array([unpack(p) for p in counts])
     n = np.array(list(counts.values()), dtype=float)
-    cast = np.abs(table).sum(axis=1)
-    post = np.where(cast > 0, (table > 0).sum(axis=1) / np.maximum(cast, 1), 0.5)
-    bad_any = (table < 0).any(axis=1)
-    post = np.where(bad_any, np.minimum(post, 0.35), np.maximum(post, 0.8 * (cast > 0) + 0.5 * (cast == 0)))
+    worst, any_vote = table.min(axis=1), (np.abs(table) == 1).any(axis=1)
+    post = np.where(worst < 0, 0.1, np.where(any_vote, 0.95, 0.5))
     for _ in range(rounds):
         log_odds = np.log((n @ post + 1) / (n @ (1 - post) + 1)) * np.ones(len(n))
         for j in range(table.shape[1]):
-            up, down = table[:, j] > 0, table[:, j] < 0
-            voted = up | down
-            good = (n @ (post * up) + 1) / (n @ (post * voted) + 2)
-            bad = (n @ ((1 - post) * down) + 1) / (n @ ((1 - post) * voted) + 2)
-            log_odds += up * np.log(good / (1 - bad)) + down * np.log((1 - good) / bad)
+            given = table[:, j] != MISSING
+            for vote in (-1, 0, 1):
+                cast = table[:, j] == vote
+                good = (n @ (post * cast) + 0.1) / (n @ (post * given) + 0.3)
+                bad = (n @ ((1 - post) * cast) + 0.1) / (n @ ((1 - post) * given) + 0.3)
+                log_odds += cast * np.log(good / bad)
         new = 1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))
         if np.abs(new - post).max() < 1e-6:
             break
@@ -143,17 +145,16 @@ def fit_labellers(counts: dict[int, int], rounds: int = ROUNDS) -> dict[int, flo
     return dict(zip(counts, post.tolist()))
 
 
-def fit_scorer(rows: list[dict[int, float]], wanted: np.ndarray, steps: int = 300, ridge: float = 1e-4) -> np.ndarray:
+def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], wanted: np.ndarray, steps: int = 150, ridge: float = 1e-4) -> np.ndarray:
     """Logistic regression on soft labels by accelerated gradient descent, both sides weighted
     alike; DIM weights and a bias."""
     weights = np.zeros(DIM + 1)
     if not rows or wanted.max() < 0.5 or wanted.min() >= 0.5:
         weights[DIM] = 0.0 if not rows else 5.0 if wanted.min() >= 0.5 else -5.0
         return weights
-    lengths = [len(r) for r in rows]
-    owner = np.repeat(np.arange(len(rows)), lengths)
-    index = np.fromiter((k for r in rows for k in r), dtype=np.int64)
-    value = np.fromiter((v for r in rows for v in r.values()), dtype=float)
+    owner = np.repeat(np.arange(len(rows)), [len(k) for k, _ in rows])
+    index = np.concatenate([k for k, _ in rows]).astype(np.int64)
+    value = np.concatenate([v for _, v in rows])
     good = wanted >= 0.5
     share = np.where(good, 0.5 / good.sum(), 0.5 / (~good).sum())
     ahead, momentum, rate = weights.copy(), weights.copy(), 8.0
@@ -175,8 +176,8 @@ class Model:
         self.posteriors, self.weights = posteriors, weights
 
     def score(self, text: str | None) -> float:
-        found = features(text)
-        z = self.weights[DIM] + sum(self.weights[k] * v for k, v in found.items())
+        at, values = features(text)
+        z = self.weights[DIM] + self.weights[at] @ values
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
@@ -206,8 +207,7 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Model:
                 if (h % (1 << 32)) / (1 << 32) < max(shares.values()):
                     p = pattern(votes(t))
                     if (h % (1 << 32)) / (1 << 32) < shares[side[p]]:
-                        f = features(t)
-                        rows.append((h, side[p], posteriors[p], list(f), list(f.values())))
+                        rows.append((h, side[p], posteriors[p], *(x.tolist() for x in features(t))))
             if rows:
                 kinds = (pa.int64(), pa.bool_(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.float32()))
                 yield pa.record_batch(
@@ -218,12 +218,12 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Model:
         draw, "h long, good boolean, wanted double, k array<int>, v array<float>"
     )
     rows = [r for s in (True, False) for r in drawn.where(F.col("good") == s).orderBy("h", "wanted").limit(sample).collect()]
-    weights = fit_scorer([dict(zip(r["k"], r["v"])) for r in rows], np.array([r["wanted"] for r in rows]))
+    weights = fit_scorer([(np.array(r["k"]), np.array(r["v"])) for r in rows], np.array([r["wanted"] for r in rows]))
     return Model(posteriors, weights)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, votes (one sign per labeller), posterior, score, keep.
+    """One row per document: doc_id, votes (one sign per labeller: + - 0, or . if missing), posterior, score, keep.
 
     A document goes if both the posterior of its votes and the scorer reject it; either alone is not
     enough to lose a text. Null and empty texts get no votes and are rejected. Repeated rows score
@@ -250,7 +250,7 @@ def judge(model: Model, text: str | None) -> tuple[str, float, float, bool]:
     posterior = model.posteriors.get(pattern(v), 0.5)
     value = model.score(text)
     blank = not text or not text.strip()
-    return "".join("-0+"[x + 1] for x in v), posterior, value, not blank and (posterior >= 0.5 or value >= 0.5)
+    return "".join("-0+."[x + 1] for x in v), posterior, value, not blank and (posterior >= 0.5 or value >= 0.5)
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> DataFrame:

@@ -1,9 +1,9 @@
 """Near duplicates by SimHash, found with covering locality-sensitive hashing.
 
 Each of the 64 bit positions gets a random code of ``radius + 1`` bits; for each non-zero code word
-v the mask keeps the positions whose code has an even inner product with v. Two fingerprints that
-differ in at most ``radius`` positions span at most ``radius`` codes, so some v is orthogonal to all
-of them: in that mask's table the pair collides, always. No link can be missed, and there is no cap:
+v the mask keeps the positions whose code has an odd inner product with v. The codes of at most
+``radius`` positions span at most ``radius`` dimensions, so some v has an even product with all of
+them: in that mask's table a pair that differs there only collides, always. No link can be missed, and there is no cap:
 a bucket with more members than a task should compare is dealt out anew by a second family of
 masks, again without loss.
 """
@@ -53,9 +53,9 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def masks(level: int = 0, radius: int = RADIUS) -> list[int]:
     """The covering family of a level: 2^(radius+1) - 1 masks over 64 positions."""
-    codes = np.random.default_rng([SEED, level]).integers(0, 1 << (radius + 1), 64)
+    codes = np.random.default_rng([SEED, level]).integers(1, 1 << (radius + 1), 64)
     return [
-        sum(1 << i for i, c in enumerate(codes.tolist()) if (c & v).bit_count() % 2 == 0)
+        sum(1 << i for i, c in enumerate(codes.tolist()) if (c & v).bit_count() % 2)
         for v in range(1, 1 << (radius + 1))
     ]
 
