@@ -11,12 +11,18 @@ import ast
 import hashlib
 import inspect
 import warnings
-from collections.abc import Iterator
+from collections import namedtuple
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 
-# Fixed value: body text used when a statement cannot be printed.
+# Body text used when a statement cannot be printed, and when there is none.
 UNPRINTABLE_BODY = "# unparse failed"
+EMPTY_BODY = "pass"
+
+# What became of a text. Only the first gives facts; the column of messages is made from these
+# in SQL (operators.extract).
+FUNCTION, EMPTY, SYNTAX, UNPARSABLE, NO_FUNCTION, UNREADABLE = range(6)
 
 FUNCTION_FIELDS = [
     ("code", "string", pa.string()),
@@ -26,48 +32,56 @@ FUNCTION_FIELDS = [
     ("docstring_in_code", "string", pa.string()),
     ("body_without_docstring", "string", pa.string()),
     ("is_async", "boolean", pa.bool_()),
-    ("parse_ok", "boolean", pa.bool_()),
-    ("error_message", "string", pa.string()),
     ("signature", "string", pa.string()),
     ("local_names", "array<string>", pa.list_(pa.string())),
     ("ast_hash", "string", pa.string()),
+    ("outcome", "int", pa.int32()),
+    ("detail", "string", pa.string()),
 ]
 FUNCTION_DDL = "struct<" + ",".join(f"{name}:{ddl}" for name, ddl, _ in FUNCTION_FIELDS) + ">"
 FUNCTION_ARROW = pa.struct([(name, arrow) for name, _, arrow in FUNCTION_FIELDS])
 RENAME_DDL = f"struct<status:string,function:{FUNCTION_DDL}>"
 RENAME_ARROW = pa.struct([("status", pa.string()), ("function", FUNCTION_ARROW)])
 
+Facts = namedtuple("Facts", [name for name, _, _ in FUNCTION_FIELDS], defaults=[None] * len(FUNCTION_FIELDS))
+NO_FACTS = Facts(parameters=[], is_async=False, local_names=[])
+
 # The memo spares repeated parses of popular texts within a task; both bounds keep a
 # worker's memory flat whatever the corpus holds.
 MEMO_ENTRIES = 2048
 MEMO_TEXT_CHARS = 16384
 
-FUNCTION_NODES = (ast.FunctionDef, ast.AsyncFunctionDef)
-
 
 def _utf8(text: str | None) -> str | None:
     """Escapes in source can spell lone surrogates, which no UTF-8 column can hold."""
-    if text is None:
-        return None
-    return text.encode("utf-8", "replace").decode("utf-8")
+    return text and text.encode("utf-8", "replace").decode("utf-8")
 
 
-def failed(message: str) -> dict:
-    return {"parameters": [], "is_async": False, "parse_ok": False, "error_message": _utf8(message), "local_names": []}
+def without_facts(outcome: int, error: BaseException | None = None) -> Facts:
+    return NO_FACTS._replace(outcome=outcome, detail=_utf8(f"{type(error).__name__}: {error}") if error else None)
 
 
-def _first_line(error: BaseException) -> str:
-    return f"{type(error).__name__}: {error}"
+class _Printer:
+    """Prints parts of one function. Printing recurses, so parts of a very deep tree may fail to
+    print although the text parsed; each part then has its own stand-in."""
 
+    def __init__(self, fn):
+        self.fn = fn
 
-def _body_text(fn, has_docstring: bool) -> str:
-    statements = fn.body[1:] if has_docstring else fn.body
-    if not statements:
-        return "pass"
-    try:
-        return "\n".join(map(ast.unparse, statements))
-    except Exception:
-        return UNPRINTABLE_BODY
+    def part(self, node, stand_in: str | None) -> str | None:
+        try:
+            return _utf8(ast.unparse(node))
+        except Exception:
+            return stand_in
+
+    def header(self) -> str | None:
+        """The function without decorators and body prints as its signature."""
+        bare = type(self.fn)(name=self.fn.name, args=self.fn.args, returns=self.fn.returns, body=[], decorator_list=[])
+        return self.part(ast.fix_missing_locations(bare), None)
+
+    def body(self, skip: int) -> str:
+        lines = [self.part(statement, None) for statement in self.fn.body[skip:]]
+        return UNPRINTABLE_BODY if None in lines else "\n".join(lines) or EMPTY_BODY
 
 
 # How each statement kind that makes a local name lists its targets.
@@ -110,57 +124,43 @@ def outline_and_locals(fn) -> tuple[str | None, list[str]]:
     return digest, sorted(names)
 
 
-def _signature(fn) -> str:
-    keyword = "async def" if isinstance(fn, ast.AsyncFunctionDef) else "def"
-    arrow = f" -> {ast.unparse(fn.returns)}" if fn.returns is not None else ""
-    return f"{keyword} {fn.name}({ast.unparse(fn.args)}){arrow}:"
-
-
-def _or_none(make, *args):
-    """Printing and dumping recurse, so very deep trees fail here although they parsed."""
+def facts_of(fn, text: str | None) -> Facts:
+    """The facts of one function node; ``text`` replaces the row's code unless it is None."""
+    printed = _Printer(fn)
     try:
-        return make(*args)
-    except Exception:
-        return None
-
-
-def describe(fn, rewrite: bool) -> dict:
-    """Facts about one function node; ``code`` is set only when its text replaces the row's."""
-    try:
-        docstring = ast.get_docstring(fn, clean=False)
+        documented = ast.get_docstring(fn, clean=False)
         digest, names = outline_and_locals(fn)
-        return {
-            "code": _utf8(_or_none(ast.unparse, fn)) if rewrite else None,
-            "function_name": fn.name,
-            "parameters": [a.arg for a in fn.args.args],
-            "return_annotation": _utf8(ast.unparse(fn.returns)) if fn.returns is not None else None,
-            "docstring_in_code": None if docstring is None else _utf8(inspect.cleandoc(docstring)),
-            "body_without_docstring": _utf8(_body_text(fn, docstring is not None)),
-            "is_async": isinstance(fn, ast.AsyncFunctionDef),
-            "parse_ok": True,
-            "error_message": None,
-            "signature": _utf8(_or_none(_signature, fn)),
-            "local_names": names,
-            "ast_hash": digest,
-        }
-    except Exception as error:
-        return failed(f"function not readable: {_first_line(error)}")
-
-
-def functions_of(source: str | None) -> list[dict]:
-    """One entry per top-level function, or a single failed entry."""
-    if not source:
-        return [failed("empty code")]
-    try:
-        tree = ast.parse(source)
-    except SyntaxError as error:
-        return [failed(f"syntax error: {_first_line(error)}")]
+        returns = None if fn.returns is None else _utf8(ast.unparse(fn.returns))
     except Exception as error:
-        return [failed(f"parse failed: {_first_line(error)}")]
-    found = [node for node in tree.body if isinstance(node, FUNCTION_NODES)]
-    if not found:
-        return [failed("no function definition")]
-    return [describe(fn, rewrite=len(found) > 1) for fn in found]
+        return without_facts(UNREADABLE, error)
+    return Facts(
+        outcome=FUNCTION,
+        code=text,
+        function_name=fn.name,
+        is_async=type(fn) is ast.AsyncFunctionDef,
+        parameters=[a.arg for a in fn.args.args],
+        return_annotation=returns,
+        signature=printed.header(),
+        docstring_in_code=documented and _utf8(inspect.cleandoc(documented)),
+        body_without_docstring=printed.body(0 if documented is None else 1),
+        local_names=names,
+        ast_hash=digest,
+    )
+
+
+def read_text(source: str | None) -> list[Facts]:
+    """One entry per top-level function, else a single entry that says what is wrong."""
+    tree = ast.Module(body=[], type_ignores=[])
+    outcome, error = (NO_FUNCTION, None) if source else (EMPTY, None)
+    if source:
+        try:
+            tree = ast.parse(source)
+        except Exception as problem:
+            outcome, error = (SYNTAX if isinstance(problem, SyntaxError) else UNPARSABLE), problem
+    top = [n for n in tree.body if type(n) in (ast.FunctionDef, ast.AsyncFunctionDef)]
+    if len(top) == 1:
+        return [facts_of(top[0], None)]
+    return [facts_of(n, _Printer(n).part(n, None)) for n in top] or [without_facts(outcome, error)]
 
 
 class Memo:
@@ -180,14 +180,13 @@ class Memo:
         return known
 
 
-def _struct_array(entries: list[dict | None]) -> pa.StructArray:
-    """Column by column, which Arrow builds far faster than from one dict per row."""
-    columns = [
-        pa.array([None if e is None else e.get(name) for e in entries], type=arrow)
-        for name, _, arrow in FUNCTION_FIELDS
-    ]
+def _struct_array(entries: Iterable[Facts | None]) -> pa.StructArray:
+    """Facts turned into columns at once, with null where there are none."""
+    entries = list(entries)
+    columns = zip(*[e or NO_FACTS for e in entries]) if entries else [[] for _ in FUNCTION_FIELDS]
+    arrays = [pa.array(column, type=arrow) for column, (_, _, arrow) in zip(columns, FUNCTION_FIELDS)]
     missing = pa.array([e is None for e in entries], type=pa.bool_())
-    return pa.StructArray.from_arrays(columns, fields=list(FUNCTION_ARROW), mask=missing)
+    return pa.StructArray.from_arrays(arrays, fields=list(FUNCTION_ARROW), mask=missing)
 
 
 def parse_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -197,7 +196,7 @@ def parse_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             entries, offsets = [], [0]
             for source in batch.to_pylist():
-                entries.extend(memo.get(source, source, lambda: functions_of(source)))
+                entries.extend(memo.get(source, source, lambda: read_text(source)))
                 offsets.append(len(entries))
             yield pa.ListArray.from_arrays(
                 pa.array(offsets, type=pa.int32()), _struct_array(entries), type=pa.list_(FUNCTION_ARROW)
@@ -239,10 +238,10 @@ def _names_in(tree: ast.AST) -> tuple[list[ast.Name], set[str]]:
     return nodes, outside
 
 
-def rename_one(source: str | None, old: list[str] | None, new: list[str] | None) -> dict:
-    """Rename names throughout the text and describe the result, or say why not."""
+def rename_one(source: str | None, old: list[str] | None, new: list[str] | None) -> tuple[str, Facts | None]:
+    """Rename names throughout the text and read the facts off the renamed tree, or say why not."""
     if not source or not old:
-        return {"status": "no_locals", "function": None}
+        return "no_locals", None
     mapping = dict(zip(old, new))
     try:
         tree = ast.parse(source)
@@ -251,16 +250,15 @@ def rename_one(source: str | None, old: list[str] | None, new: list[str] | None)
         # A target that is already in use would merge two variables, and a source bound
         # outside Name nodes would be renamed only in part.
         if (used | outside) & set(mapping.values()) or outside & set(mapping):
-            return {"status": "unsafe", "function": None}
+            return "unsafe", None
         for node in nodes:
             node.id = mapping.get(node.id, node.id)
-        text = ast.unparse(tree)
-        entry = dict(functions_of(text)[0], code=_utf8(text))
+        text = _utf8(ast.unparse(tree))
+        top = next(n for n in tree.body if type(n) in (ast.FunctionDef, ast.AsyncFunctionDef))
     except Exception:
-        return {"status": "failed", "function": None}
-    if not entry["parse_ok"]:
-        return {"status": "failed", "function": None}
-    return {"status": "renamed", "function": entry}
+        return "failed", None
+    facts = facts_of(top, text)
+    return ("renamed", facts) if facts.outcome == FUNCTION else ("failed", None)
 
 
 def rename_batches(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -273,6 +271,6 @@ def rename_batches(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> It
                 for source, old, new in zip(source_column.to_pylist(), old_column.to_pylist(), new_column.to_pylist())
             ]
             yield pa.StructArray.from_arrays(
-                [pa.array([r["status"] for r in results]), _struct_array([r["function"] for r in results])],
+                [pa.array([status for status, _ in results]), _struct_array(facts for _, facts in results)],
                 fields=list(RENAME_ARROW),
             )

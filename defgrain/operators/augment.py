@@ -11,11 +11,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import FN_ORD, IS_AUGMENTED, ROW_ID, ColumnRoles, as_list, key_columns
+from ..config import FN_ORD, IS_AUGMENTED, ROW_ID, ColumnRoles, as_list, engine, key_columns
 from ..functions import pysource
-from ..functions.text import is_present, sha256_bin
-from .dedup import _order
-from .extract import DERIVED
+from ..functions.text import is_present
+from .dedup import TEXT_HASH, first_key, text_hash
+from .extract import derived_columns
 from .tags import add_tag, survivors
 
 AUGMENT_STAGE = "augment_rename"
@@ -68,14 +68,15 @@ def augment_attempts(df: DataFrame, roles: ColumnRoles) -> DataFrame:
 
 def renamed_rows(attempts: DataFrame, roles: ColumnRoles) -> DataFrame:
     """The new rows of the attempts, with code and derived columns of the new text."""
-    new_values = {roles.code: "code", **{name: name for name in DERIVED}}
+    new_values = {roles.code: F.col("_renamed.code"), **derived_columns("_renamed")}
+    skipped = ("aug_status", "_renamed", IS_AUGMENTED, TEXT_HASH)
     return attempts.where(F.col("aug_status") == "renamed").select(
         *[
-            F.col(f"_renamed.{new_values[c]}").alias(c) if c in new_values else F.col(c)
+            (new_values[c].alias(c) if c == roles.code else engine(new_values[c], c)) if c in new_values else F.col(f"`{c}`")
             for c in attempts.columns
-            if c not in ("aug_status", "_renamed", IS_AUGMENTED)
+            if c not in skipped
         ],
-        F.lit(True).alias(IS_AUGMENTED),
+        engine(F.lit(True), IS_AUGMENTED),
     )
 
 
@@ -89,14 +90,12 @@ def tag_augmented(base: DataFrame, new: DataFrame, roles: ColumnRoles, by: list[
     Both sides are first reduced to distinct hashes on the map side, so neither the anti
     join nor the choice of the first copy meets a hot key; the tag joins on the row key."""
     by, keys = as_list(by), [c for c in (ROW_ID, FN_ORD) if c in new.columns]
-    digest = sha256_bin(roles.code).alias("_text")
-    known = base.where(is_present(roles.code)).select(*by, digest).distinct()
-    first = new.select(*by, *keys, digest).groupBy(*by, "_text").agg(F.min(_order(keys)).alias("_first"))
-    known = known.select(*[F.col(c).alias(f"_k_{c}") for c in (*by, "_text")])
-    match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in (*by, "_text")])
-    fresh = first.join(known, match, "left_anti")
-    cells = [F.col("_first").alias(keys[0])] if len(keys) == 1 else [F.col(f"_first.{c}").alias(c) for c in keys]
-    marked = new.join(fresh.select(*cells, F.lit(True).alias("_fresh")), keys, "left")
+    known = base.where(is_present(roles.code)).select(*by, text_hash(base, roles.code)).distinct()
+    first = first_key(new.select(*by, *keys, text_hash(new, roles.code)), [*by, TEXT_HASH], keys)
+    known = known.select(*[F.col(c).alias(f"_k_{c}") for c in (*by, TEXT_HASH)])
+    match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in (*by, TEXT_HASH)])
+    fresh = first.join(known, match, "left_anti").select(*keys, F.lit(True).alias("_fresh"))
+    marked = new.join(fresh, keys, "left")
     return add_tag(marked, AUGMENT_STAGE, F.when(F.col("_fresh").isNull(), AUGMENT_DUPLICATE)).drop("_fresh")
 
 
@@ -107,7 +106,7 @@ def augment_antijoin(base: DataFrame, new: DataFrame, roles: ColumnRoles, by: li
 def augment_union(base: DataFrame, accepted: DataFrame) -> DataFrame:
     """Originals and accepted rows; ``is_augmented`` tells them apart."""
     if IS_AUGMENTED not in base.columns:
-        base = base.withColumn(IS_AUGMENTED, F.lit(False))
+        base = base.select("*", engine(F.lit(False), IS_AUGMENTED))
     return base.unionByName(accepted)
 
 

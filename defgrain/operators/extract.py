@@ -14,7 +14,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import FN_ORD, ColumnRoles, key_columns
+from ..config import FN_ORD, ColumnRoles, engine, key_columns, set_aside
 from ..functions import pysource
 from ..functions.text import is_present, sha256_bin
 from ..sources.staging import stage
@@ -22,7 +22,32 @@ from ..sources.staging import stage
 # Executors get the helper module with the function, whatever is installed there.
 cloudpickle.register_pickle_by_value(pysource)
 
-DERIVED = [name for name, _, _ in pysource.FUNCTION_FIELDS if name != "code"]
+_READ = [name for name, _, _ in pysource.FUNCTION_FIELDS if name not in ("code", "outcome", "detail")]
+DERIVED_TYPES = {
+    **{name: ddl for name, ddl, _ in pysource.FUNCTION_FIELDS if name in _READ},
+    "parse_ok": "boolean",
+    "error_message": "string",
+}
+DERIVED = list(DERIVED_TYPES)
+
+# What the message of a row without facts begins with.
+MESSAGES = {
+    pysource.EMPTY: "empty code",
+    pysource.SYNTAX: "syntax error",
+    pysource.UNPARSABLE: "parse failed",
+    pysource.NO_FUNCTION: "no function definition",
+    pysource.UNREADABLE: "function not readable",
+}
+
+
+def derived_columns(function: str) -> dict[str, Column]:
+    """The derived columns from the column that holds a parsed function."""
+    outcome = F.col(f"{function}.outcome")
+    label = F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair])[outcome]
+    columns = {name: F.col(f"{function}.{name}") for name in _READ}
+    columns["parse_ok"] = outcome == pysource.FUNCTION
+    columns["error_message"] = F.when(label.isNotNull(), F.concat_ws(": ", label, F.col(f"{function}.detail")))
+    return columns
 
 
 def parse_functions(code: str | Column) -> Column:
@@ -43,26 +68,21 @@ def extract_functions(
     """
     roles.check(df)
     if not enabled:
-        blanks = {
-            name: F.lit(None).cast(ddl)
-            for name, ddl, _ in pysource.FUNCTION_FIELDS
-            if name != "code" and name not in df.columns
-        }
+        blanks = {n: F.lit(None).cast(ddl) for n, ddl in DERIVED_TYPES.items() if n not in df.columns}
         return df.withColumns({FN_ORD: F.lit(0), **blanks})
-    # Derived columns replace user columns of the same name.
-    df = df.drop(*[c for c in (*DERIVED, FN_ORD) if c in df.columns and c not in (roles.code, roles.docstring)])
+    df = set_aside(df, [*DERIVED, FN_ORD], roles)
     if parse_distinct:
         parsed = _parse_each_text_once(df, roles.code)
     else:
         parsed = df.withColumn("_functions", parse_functions(roles.code))
     # The outer form: every array has an entry, and the inner form would add a size filter
     # that evaluates the UDF a second time.
-    kept = [F.col(c) for c in df.columns]
+    kept = [F.col(f"`{c}`") for c in df.columns]
     rows = parsed.select(*kept, F.posexplode_outer("_functions").alias(FN_ORD, "_fn"))
     return rows.select(
         *[F.coalesce("_fn.code", F.col(c)).alias(c) if c == roles.code else F.col(c) for c in df.columns],
         FN_ORD,
-        *[F.col(f"_fn.{name}").alias(name) for name in DERIVED],
+        *[engine(column, name) for name, column in derived_columns("_fn").items()],
     )
 
 
@@ -70,34 +90,38 @@ def _parse_each_text_once(df: DataFrame, code: str) -> DataFrame:
     """Parse one copy per hash and join the result back.
 
     The map side keeps a single copy of a popular text per task. The distinct texts are staged
-    with their row counts, because three reads follow. A text that holds at least one row in
-    HOT_SHARE is salted on both sides of the join; there can be no more than HOT_SHARE such
-    texts, which bounds the broadcast list of their hashes whatever the corpus."""
+    with their row counts, because three reads follow. A text with more rows than a join partition
+    should hold is salted on both sides, in proportion to its rows; there are fewer such texts than
+    partitions, which bounds the broadcast list of their hashes whatever the corpus. Rows without
+    code join nothing and go past the join."""
     keyed = df.withColumn("_code_hash", F.when(is_present(code), sha256_bin(code)))
     texts = keyed.where(F.col("_code_hash").isNotNull()).groupBy("_code_hash")
     texts = stage(texts.agg(F.any_value(code).alias("_text"), F.count(F.lit(1)).alias("_n")), "texts")
-    total = texts.agg(F.sum("_n")).scalar()
-    hot = (F.col("_n") * HOT_SHARE >= total) & (F.col("_n") >= HOT_MIN_ROWS)
-    hot_hashes = F.broadcast(texts.where(hot).select("_code_hash", F.lit(True).alias("_hot")))
-    copies = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    parsed = texts.select("_code_hash", parse_functions("_text").alias("_functions"), copies.alias("_copies"))
-    parsed = parsed.select("_code_hash", "_functions", F.explode_outer("_copies").alias("_salt"))
-    spread_over = F.pmod(F.xxhash64(*key_columns(df)), F.lit(SALTS)).cast("int")
-    salted = keyed.join(hot_hashes, "_code_hash", "left")
-    salted = salted.withColumn("_salt", F.when(F.col("_hot"), spread_over).otherwise(0))
-    empty = F.array(F.from_json(F.lit(_EMPTY_JSON), pysource.FUNCTION_DDL))
-    joined = salted.join(parsed, ["_code_hash", "_salt"], "left")
-    return joined.withColumn("_functions", F.coalesce("_functions", empty))
-
-
-# A text is hot if it holds one row in HOT_SHARE and enough rows to matter.
-HOT_SHARE = 1000
-HOT_MIN_ROWS = 10_000
-SALTS = 64
-
-_EMPTY_JSON = (
-    '{"parameters":[],"is_async":false,"parse_ok":false,"error_message":"empty code","local_names":[]}'
-)
+    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * SALTED_SHARE
+    per_salt = F.greatest(F.ceil(F.lit(texts.agg(F.sum("_n")).first()[0] or 0) / wanted), F.lit(1))
+    salts = F.ceil(F.col("_n") / per_salt).cast("int")
+    hot = F.broadcast(texts.where(salts > 1).select("_code_hash", salts.alias("_salts")))
+    parsed = texts.select(
+        "_code_hash",
+        parse_functions("_text").alias("_functions"),
+        F.sequence(F.lit(0), salts - 1).alias("_copies"),
+    ).select("_code_hash", "_functions", F.explode("_copies").alias("_salt"))
+    with_code = keyed.where(F.col("_code_hash").isNotNull()).join(hot, "_code_hash", "left")
+    place = F.pmod(F.xxhash64(*key_columns(df)), F.coalesce("_salts", F.lit(1))).cast("int")
+    joined = with_code.withColumn("_salt", place).drop("_salts").join(parsed, ["_code_hash", "_salt"])
+    blank = keyed.where(F.col("_code_hash").isNull()).select("*", F.lit(0).alias("_salt"), F.array(_empty_entry()).alias("_functions"))
+    return joined.select(*blank.columns).unionByName(blank)
+
+
+# A text is salted from one part in so many of an even join partition.
+SALTED_SHARE = 4
+
+
+def _empty_entry() -> Column:
+    """The entry of a text without content, as the parser gives it."""
+    known = {"parameters": F.array(), "local_names": F.array(), "is_async": F.lit(False), "outcome": F.lit(pysource.EMPTY)}
+    fields = [(n, known.get(n, F.lit(None)).cast(ddl)) for n, ddl, _ in pysource.FUNCTION_FIELDS]
+    return F.struct(*[c.alias(n) for n, c in fields])
 
 
 def function_inventory(extracted: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ BOTH = ColumnRoles("code", "doc")
 
 
 def rename(source):
-    names = pysource.functions_of(source)[0]["local_names"]
+    names = pysource.read_text(source)[0].local_names
     entries = [(n, f"var_{i}") for i, n in enumerate(names, 1) if not (n.startswith("var_") and n[4:].isdigit())]
     return pysource.rename_one(source, [o for o, _ in entries], [n for _, n in entries])
 
@@ -33,7 +33,7 @@ def rename(source):
     ],
 )
 def test_local_names(source, names):
-    assert pysource.functions_of(source)[0]["local_names"] == names
+    assert pysource.read_text(source)[0].local_names == names
 
 
 @pytest.mark.parametrize(
@@ -53,7 +53,7 @@ def test_local_names(source, names):
     ],
 )
 def test_rename_status(source, status):
-    assert rename(source)["status"] == status
+    assert rename(source)[0] == status
 
 
 @pytest.mark.parametrize(
@@ -67,10 +67,10 @@ def test_rename_status(source, status):
 )
 def test_renamed_code_behaves_the_same(source, args):
     result = rename(source)
-    assert result["status"] == "renamed" and result["function"]["code"] != source
+    assert result[0] == "renamed" and result[1].code != source
     before, after = {}, {}
     exec(source, before)
-    exec(result["function"]["code"], after)
+    exec(result[1].code, after)
     assert before["f"](*args) == after["f"](*args)
 
 
@@ -101,7 +101,7 @@ def test_new_rows_carry_facts_of_the_new_text(samples):
     row = new.where("_row_id = 4").first()
     assert row.is_augmented and row.local_names == ["var_1"] and "var_1 = a" in row.body_without_docstring
     assert row.code == "def g(a):\n    var_1 = a\n    return var_1"
-    assert row.ast_hash == pysource.functions_of(row.code)[0]["ast_hash"]
+    assert row.ast_hash == pysource.read_text(row.code)[0].ast_hash
 
 
 def test_copies_of_originals_and_of_new_rows_are_dropped(samples):

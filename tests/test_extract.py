@@ -90,9 +90,9 @@ def test_lone_surrogates_do_not_fail(extracted):
 
 
 def test_tree_ignores_comments_but_not_docstrings(extracted):
-    one = pysource.functions_of("def f():\n    # c\n    return 1")[0]["ast_hash"]
-    assert one == pysource.functions_of("def f():  return 1")[0]["ast_hash"]
-    assert one != pysource.functions_of("def f():\n    'd'\n    return 1")[0]["ast_hash"]
+    one = pysource.read_text("def f():\n    # c\n    return 1")[0].ast_hash
+    assert one == pysource.read_text("def f():  return 1")[0].ast_hash
+    assert one != pysource.read_text("def f():\n    'd'\n    return 1")[0].ast_hash
 
 
 def test_deep_sources_become_failed_rows_or_results(samples):
@@ -112,19 +112,29 @@ def test_distinct_form_equals_direct_form(samples):
     assert direct.exceptAll(once).isEmpty() and once.exceptAll(direct).isEmpty()
 
 
-def test_hot_texts_are_salted(samples, monkeypatch):
-    from defgrain.operators import extract
-
-    monkeypatch.setattr(extract, "HOT_MIN_ROWS", 50)
-    # One text holds a third of all rows; it is hot with HOT_SHARE 3, the others are not.
-    monkeypatch.setattr(extract, "HOT_SHARE", 3)
-    rows = [(i, "def hot(): pass" if i % 3 == 0 else f"def f{i % 70}(): pass\ndef g(): pass") for i in range(900)]
-    once = extract_functions(samples(rows), ROLES, parse_distinct=True)
-    direct = extract_functions(samples(rows), ROLES)
+def test_hot_texts_and_blank_rows_are_spread(spark, samples):
+    # A third of the rows is blank, one text holds 30 percent.
+    code = lambda i: None if i % 10 < 3 else "def hot(): pass" if i % 10 < 6 else f"def f{i % 997}(): pass\ndef g(): pass"
+    rows = samples([(i, code(i)) for i in range(20_000)], 8)
+    direct = extract_functions(rows, ROLES)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        once = extract_functions(rows, ROLES, parse_distinct=True)
+        sizes = [r.n for r in once.where("_fn_ord = 0").groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+        assert max(sizes) < 2 * sum(sizes) / len(sizes)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert direct.exceptAll(once).isEmpty() and once.exceptAll(direct).isEmpty()
-    salts = extract._parse_each_text_once(samples(rows), "code").groupBy("code").agg(F.countDistinct("_salt").alias("n"))
-    assert {r.n > 1 for r in salts.where("code like '%hot%'").collect()} == {True}
-    assert {r.n for r in salts.where("code not like '%hot%'").collect()} == {1}
+
+
+def test_user_columns_of_derived_names_are_kept(samples):
+    df = samples([(1, "def f(): pass")]).withColumns({"signature": F.lit("mine"), "user_signature": F.lit(2), "parse_ok": F.lit("yes")})
+    row = extract_functions(df, ROLES).first()
+    assert (row.signature, row.user_user_signature, row.user_signature, row.user_parse_ok, row.parse_ok) == ("def f():", "mine", 2, "yes", True)
+    with pytest.raises(ValueError):
+        extract_functions(df, ColumnRoles("signature"))
 
 
 def test_toggle_adds_typed_nulls(samples):
