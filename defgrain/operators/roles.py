@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..config import ROW_ID, ColumnRoles, PrepOptions, as_list
+from ..config import INTERNAL, ROW_ID, ColumnRoles, PrepOptions, as_list
 from ..functions.numbers import safe_ratio
 from ..functions.text import char_length, is_blank, is_present, looks_like_functions, strip
 
@@ -38,7 +38,6 @@ TOP_LANGUAGES = 3
 LOW_COVERAGE = 0.3
 SHORT_CODE = 50
 PAIRS_MIN_COVERAGE = 0.1
-LARGE_DATASET_ROWS = 50000
 PYTHON_NAMES = ["python", "py"]
 
 
@@ -50,7 +49,7 @@ def _role_of(name: str) -> tuple[str | None, int | None]:
 
 
 def _user_columns(df: DataFrame) -> list[T.StructField]:
-    return [f for f in df.schema if not f.name.startswith("_")]
+    return [f for f in df.schema if f.name not in INTERNAL]
 
 
 def column_role_profile(df: DataFrame) -> DataFrame:
@@ -141,8 +140,10 @@ def role_decision(candidates: DataFrame, roles: ColumnRoles | None = None) -> Da
 
 
 def sample_head(df: DataFrame, n: int = SAMPLE_ROWS, key: str = ROW_ID) -> DataFrame:
-    """The first rows in key order: a top-n per task, never a full sort."""
-    return df.orderBy(key).limit(n)
+    """The first rows in key order. The key column alone is searched for the ``n`` least keys; the
+    rows are then fetched by a broadcast of these, at most ``n``."""
+    first = df.select(F.col(key).alias("_first")).orderBy("_first").limit(n)
+    return df.join(F.broadcast(first.distinct()), F.col(key) == F.col("_first"), "left_semi").orderBy(key).limit(n)
 
 
 preview = sample_head
@@ -281,16 +282,15 @@ def dataset_risks(
 
 
 def recommend_options(obs: DataFrame, roles: ColumnRoles, opts: PrepOptions = PrepOptions(), by: list[str] | str = ()) -> DataFrame:
-    """Option columns per data set: pairs need a docstring column and some coverage; large
-    data sets skip augmentation and the tree rule. ``obs`` should carry true counts."""
-    large = F.col("sample_count") > LARGE_DATASET_ROWS
+    """Option columns per data set: pairs need a docstring column and some coverage. Size changes
+    nothing, since every step is distributed. ``obs`` should carry true counts."""
     covered = F.col("docstring_coverage_estimate") >= PAIRS_MIN_COVERAGE
     return obs.select(
         *as_list(by),
         F.lit(opts.enable_dedup).alias("enable_dedup"),
-        (F.lit(opts.enable_ast_dedup) & ~large).alias("enable_ast_dedup"),
+        F.lit(opts.enable_ast_dedup).alias("enable_ast_dedup"),
         F.lit(opts.enable_ast_extract).alias("enable_ast_extract"),
-        (F.lit(opts.enable_augmentation) & ~large).alias("enable_augmentation"),
+        F.lit(opts.enable_augmentation).alias("enable_augmentation"),
         (F.lit(opts.enable_instruction_pairs and roles.docstring is not None) & covered).alias(
             "enable_instruction_pairs"
         ),

@@ -7,16 +7,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from ..config import DROP_REASON, DROP_STAGE, ColumnRoles, as_list, key_columns
+from pyspark.sql.window import Window
+
+from ..config import (
+    DROP_REASON,
+    DROP_STAGE,
+    VERDICT,
+    ColumnRoles,
+    PrepOptions,
+    as_list,
+    engine,
+    is_engine,
+    key_columns,
+    set_aside,
+)
 from ..functions.text import char_length, is_blank, is_present, strip
 
-# Length limits, reasons in rule order, placeholder words, border limits. The
-# verdicts an outside judge may give are high_quality, low_quality and uncertain.
-CODE_MIN_LEN = 10
-CODE_MAX_LEN = 8000
-DOCSTRING_MAX_LEN = 2000
-DOCSTRING_MIN_LEN = 5
+# Reasons in rule order, placeholder words, suffixes that add nothing to a name, the
+# lengths of border docstrings. The verdicts an outside judge may give are high_quality,
+# low_quality and uncertain. Length limits are in PrepOptions.
 INVALID_REASONS = [
     "empty_code",
     "ast_parse_failed",
@@ -29,8 +38,8 @@ LOW_QUALITY_REASONS = ["empty_docstring", "short_docstring", "placeholder_docstr
 PLACEHOLDERS = ["todo", "fixme", "test", "temp", "none", "n/a", "tbd", "placeholder"]
 BORDER_MIN_LEN = 10
 BORDER_MAX_LEN = 60
-BORDER_MIN_ROWS = 20
-BORDER_LIMIT = 300
+NAME_SUFFIXES = [" function", " method", "function", "method"]
+DOCSTRING_MIN_LEN = PrepOptions.docstring_min_len
 
 INVALID_STAGE = "filter_invalid"
 LOW_QUALITY_STAGE = "filter_low_quality"
@@ -42,36 +51,39 @@ def alive() -> Column:
 
 
 def add_tag(df: DataFrame, stage: str, reason: Column) -> DataFrame:
-    """Tag rows not tagged by an earlier stage."""
-    if DROP_REASON not in df.columns:
+    """Tag rows not tagged by an earlier stage. Only tags of this library count as such: a user's
+    columns of the same names are kept under ``user_`` names."""
+    if not is_engine(df, DROP_REASON):
+        df = set_aside(df, [DROP_STAGE, DROP_REASON])
         none = F.lit(None).cast("string")
         df = df.withColumns({DROP_STAGE: none, DROP_REASON: none})
     return df.withColumn("_reason", F.when(alive(), reason)).select(
-        *[F.col(c) for c in df.columns if c not in (DROP_STAGE, DROP_REASON)],
-        F.when(F.col("_reason").isNotNull(), F.lit(stage)).otherwise(F.col(DROP_STAGE)).alias(DROP_STAGE),
-        F.coalesce("_reason", DROP_REASON).alias(DROP_REASON),
+        *[F.col(f"`{c}`") for c in df.columns if c not in (DROP_STAGE, DROP_REASON)],
+        engine(F.when(F.col("_reason").isNotNull(), F.lit(stage)).otherwise(F.col(DROP_STAGE)), DROP_STAGE),
+        engine(F.coalesce("_reason", DROP_REASON), DROP_REASON),
     )
 
 
-def invalid_reason(df: DataFrame, roles: ColumnRoles) -> Column:
+def invalid_reason(df: DataFrame, roles: ColumnRoles, opts: PrepOptions = PrepOptions()) -> Column:
     code = F.col(roles.code).cast("string")
+    length = char_length(code)
     reason = F.when(is_blank(code), "empty_code")
     if "parse_ok" in df.columns:
         reason = reason.when(F.col("parse_ok").eqNullSafe(False), "ast_parse_failed")
         reason = reason.when(
             F.col("parse_ok").eqNullSafe(True) & is_blank("function_name"), "missing_function_name"
         )
-    reason = reason.when(char_length(code) < CODE_MIN_LEN, "code_too_short")
-    reason = reason.when(char_length(code) > CODE_MAX_LEN, "code_too_long")
+    reason = reason.when(length < opts.code_min_len, "code_too_short")
+    reason = reason.when(length > opts.code_max_len, "code_too_long")
     if roles.docstring:
-        reason = reason.when(char_length(roles.docstring) > DOCSTRING_MAX_LEN, "docstring_too_long")
+        reason = reason.when(char_length(roles.docstring) > opts.docstring_max_len, "docstring_too_long")
     return reason
 
 
-def tag_invalid(df: DataFrame, roles: ColumnRoles) -> DataFrame:
+def tag_invalid(df: DataFrame, roles: ColumnRoles, opts: PrepOptions = PrepOptions()) -> DataFrame:
     """Blank, unparsable, unnamed, too short or too long rows."""
     roles.check(df)
-    return add_tag(df, INVALID_STAGE, invalid_reason(df, roles))
+    return add_tag(df, INVALID_STAGE, invalid_reason(df, roles, opts))
 
 
 def is_placeholder(doc: str | Column) -> Column:
@@ -81,7 +93,7 @@ def is_placeholder(doc: str | Column) -> Column:
 def is_repetitive(doc: str | Column, function_name: str | Column) -> Column:
     """The docstring says no more than the function's name."""
     text, name = F.lower(strip(doc)), F.lower(strip(function_name))
-    variants = [name] + [F.concat(name, F.lit(s)) for s in (" function", " method", "function", "method")]
+    variants = [name] + [F.concat(name, F.lit(s)) for s in NAME_SUFFIXES]
     same = F.replace(text, F.lit("_"), F.lit("")) == F.replace(name, F.lit("_"), F.lit(""))
     for variant in variants:
         same = same | (text == variant)
@@ -142,23 +154,26 @@ def border_candidates(
     stage_input: DataFrame,
     roles: ColumnRoles,
     min_len: int = DOCSTRING_MIN_LEN,
-    limit: int = BORDER_LIMIT,
-    min_rows: int = BORDER_MIN_ROWS,
+    by: list[str] | str = (),
+    limit: int | None = None,
 ) -> DataFrame:
-    """Rows worth an outside opinion: the first ``limit`` survivors with a 10-60 character
-    docstring. ``stage_input`` is what enters the docstring filter; with fewer than
-    ``min_rows`` rows nothing is proposed. Rows beyond the limit simply stay unjudged."""
-    enough = stage_input.limit(min_rows).agg(F.count(F.lit(1))).scalar() >= min_rows
-    keys = key_columns(stage_input)
+    """Rows worth an outside opinion: the survivors with a 10-60 character docstring, with the
+    columns of ``by`` that name their data set. ``stage_input`` is what enters the docstring filter.
+    ``limit`` asks for the first so many of each data set; without it all are offered."""
+    by, keys = as_list(by), key_columns(stage_input)
     text = strip(roles.docstring)
     names = ["function_name"] if "function_name" in stage_input.columns else []
-    return (
+    rows = (
         filter_low_quality(stage_input, roles, min_len)
-        .where(char_length(text).between(BORDER_MIN_LEN, BORDER_MAX_LEN) & enough)
-        .select(*keys, text.alias("docstring"), *names)
-        .orderBy(*keys)
-        .limit(limit)
+        .where(char_length(text).between(BORDER_MIN_LEN, BORDER_MAX_LEN))
+        .select(*by, *keys, text.alias("docstring"), *names)
     )
+    if limit is None:
+        return rows
+    if not by:
+        return rows.orderBy(*keys).limit(limit)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*keys))
+    return rows.withColumn("_place", place).where(F.col("_place") <= limit).drop("_place")
 
 
 def apply_verdicts(df: DataFrame, verdicts: DataFrame, key: list[str] | str | None = None) -> DataFrame:
@@ -166,12 +181,16 @@ def apply_verdicts(df: DataFrame, verdicts: DataFrame, key: list[str] | str | No
     key columns both tables have: functions if the verdicts name them, else whole rows.
 
     Rows without a verdict and unknown labels count as ``uncertain`` and stay. Several
-    verdicts on one key are reduced to the mildest, so the join never multiplies rows."""
+    verdicts on one key are reduced to the mildest, so the join never multiplies rows. A user's
+    column ``verdict`` stays as ``user_verdict``."""
     key = as_list(key) if key else [c for c in key_columns(df) if c in verdicts.columns]
     # The mildest verdict has the lowest number; numbers aggregate by hash, names would be sorted.
-    severity = F.when(F.col("verdict") == "high_quality", 0).when(F.col("verdict") == "low_quality", 2).otherwise(1)
+    label = F.col(VERDICT)
+    severity = F.when(label == "high_quality", 0).when(label == "low_quality", 2).otherwise(1)
     single = verdicts.groupBy(*key).agg(F.min(severity).alias("_severity"))
     name = F.when(F.col("_severity") == 0, "high_quality").when(F.col("_severity") == 2, "low_quality")
-    judged = df.drop("verdict").join(single, key, "left").withColumn("verdict", name.otherwise("uncertain"))
-    judged = judged.drop("_severity")
-    return add_tag(judged, LOW_QUALITY_STAGE, F.when(F.col("verdict") == "low_quality", JUDGED_LOW))
+    df = set_aside(df, [VERDICT])
+    judged = df.join(single, key, "left").select(
+        *[F.col(f"`{c}`") for c in df.columns], engine(name.otherwise("uncertain"), VERDICT)
+    )
+    return add_tag(judged, LOW_QUALITY_STAGE, F.when(F.col(VERDICT) == "low_quality", JUDGED_LOW))

@@ -3,19 +3,22 @@ do not have: a key column if the caller names one, else the position in the file
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import ROW_ID
-
-CORRUPT = "_corrupt_record"
+from ..config import CORRUPT, ROW_ID
 
 
 def with_row_id(df: DataFrame, key: str | Column | None = None) -> DataFrame:
     """Attach ``_row_id``. A unique key column of a primitive type is the cheapest id; without
     one it is (file, row index) for Parquet, straight from the scan."""
     if key is None:
+        try:
+            df.select("_metadata.file_path", "_metadata.row_index")
+        except AnalysisException as error:
+            raise ValueError("rows have no position unless they come straight from Parquet; use with_row_id(df, key=...)") from error
         position = F.struct(
             F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
         )
@@ -67,8 +70,9 @@ def read_csv(
     columns: list[str] | None = None,
     multi_line: bool = True,
 ) -> DataFrame:
-    """CSV with a header, every column a string. Quoted cells may span lines; a corpus whose
-    cells never do should pass ``multi_line=False`` so that large files can be split. Empty
+    """CSV with a header, every column a string. Quoted cells may span lines, for which **each file is
+    one task**, however large: cut large inputs into many files, or pass ``multi_line=False`` for a
+    corpus whose cells never span lines, so that files can be split. Empty
     unquoted cells and the missing cells of short rows are NULL, which every rule treats like
     the empty string. In a file with CRLF records, line ends inside cells become LF."""
     reader = (

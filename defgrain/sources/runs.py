@@ -38,3 +38,14 @@ def read_report(spark: SparkSession, root: str, run: str, run_id: str = "run_id"
     """Latest report of one run."""
     reports = spark.read.parquet(f"{root}/{RUN_REPORT}").where(F.col(run_id) == run)
     return reports.orderBy(F.desc("written_at")).limit(1)
+
+
+def read_reports(spark: SparkSession, root: str, run_id: str = "run_id") -> DataFrame:
+    """The latest report of every run, from the whole history: what comparisons, alerts and trends
+    start from. One map-side combined ``max_by`` over the narrow reports."""
+    reports = spark.read.parquet(f"{root}/{RUN_REPORT}")
+    rest = [c for c in reports.columns if c not in (run_id, "written_at")]
+    latest = reports.groupBy(run_id).agg(
+        F.max_by(F.struct(*rest), "written_at").alias("_report"), F.max("written_at").alias("written_at")
+    )
+    return latest.select(run_id, "_report.*", "written_at")

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DROP_REASON
+from ..config import DROP_REASON, INTERNAL, is_engine
 from ..operators.tags import survivors
 
 CLEANED = "cleaned"
@@ -16,8 +16,8 @@ PAIRS = "instruction_pairs"
 
 
 def public_columns(df: DataFrame) -> DataFrame:
-    """Without the engine's own bookkeeping columns."""
-    return df.select(*[f"`{c}`" for c in df.columns if not c.startswith("_")])
+    """Without the library's own bookkeeping columns; every column of the user stays."""
+    return df.drop(*INTERNAL)
 
 
 @dataclass(frozen=True)
@@ -43,13 +43,15 @@ def _write_json(df: DataFrame, role: str, path: str, mode: str) -> Output:
 
 def write_cleaned(df: DataFrame, path: str, mode: str = "error") -> Output:
     """Surviving rows as JSONL; tagged input is reduced to its survivors first."""
-    kept = survivors(df) if DROP_REASON in df.columns else df
+    kept = survivors(df) if is_engine(df, DROP_REASON) else df
     return _write_json(public_columns(kept), CLEANED, path, mode)
 
 
-def write_pairs(pairs: DataFrame, path: str, mode: str = "error") -> Output | None:
-    """Pairs as JSONL; nothing is written, and None returned, if there are none."""
-    if pairs.isEmpty():
+def write_pairs(pairs: DataFrame | None, path: str, mode: str = "error", count: int | None = None) -> Output | None:
+    """Pairs as JSONL; nothing is written, and None returned, if there are none: no frame, or a
+    ``count`` of 0, such as ``instruction_pair_count`` of the metrics. Without a count an empty
+    result is written and listed with no rows, since finding out first would compute it twice."""
+    if pairs is None or count == 0:
         return None
     columns = ["pair_type", "instruction", "input", "output", "source_function_name"]
     return _write_json(pairs.select(*columns), PAIRS, path, mode)

@@ -15,8 +15,9 @@ _local_root: str | None = None
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The folder named by the session. Only a local session without the setting falls back
-    to a temporary folder; on a cluster that would be invisible to other machines."""
+    """The folder named by the session. A local session without the setting, as in tests, gets a
+    temporary folder of its own; on a cluster that would be invisible to other machines, so the
+    setting is required there."""
     global _local_root
     configured = spark.conf.get(_SETTING, None)
     if configured:
@@ -37,3 +38,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(df: DataFrame) -> None:
+    """Delete the folder that a staged ``df`` is a scan of; frames of other folders are left alone."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/defgrain/" in path:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

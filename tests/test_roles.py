@@ -132,11 +132,24 @@ def test_recommendations(spark):
     on = PrepOptions(enable_augmentation=True)
     small = rl.recommend_options(observed(spark), ROLES, on).first()
     assert small.enable_augmentation and small.enable_ast_dedup and small.enable_instruction_pairs
-    large = rl.recommend_options(observed(spark, sample_count=50001), ROLES, on).first()
-    assert not large.enable_augmentation and not large.enable_ast_dedup
+    assert rl.recommend_options(observed(spark, sample_count=10**9), ROLES, on).first() == small
     assert not rl.recommend_options(observed(spark, docstring_coverage_estimate=0.09), ROLES, on).first().enable_instruction_pairs
     assert not rl.recommend_options(observed(spark), ColumnRoles("code"), on).first().enable_instruction_pairs
     mode = lambda o, r=ROLES: rl.recommend_mode(rl.recommend_options(observed(spark), r, o)).first()[0]
     assert mode(on) == "enhanced_construction"
     assert mode(PrepOptions()) == "training_data_construction"
     assert mode(on, ColumnRoles("code")) == "cleaning_analysis"
+
+
+def test_samples_search_the_keys_alone(spark, tmp_path):
+    spark.range(5000).selectExpr("(id * 7919) % 5000 as _row_id", "repeat('x', 50) as code").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    head = rl.sample_head(df, 50)
+    assert [r._row_id for r in head.collect()] == list(range(50))
+    scans = [line for line in head._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in line]
+    assert any("ReadSchema: struct<_row_id:bigint>" in s for s in scans) and "BroadcastHashJoin" in head._jdf.queryExecution().executedPlan().toString()
+
+
+def test_samples_with_equal_keys_are_cut(spark):
+    df = spark.createDataFrame([(1, "a")] * 9 + [(None, "b")], "_row_id long, code string")
+    assert rl.sample_head(df, 3).count() == 3

@@ -107,7 +107,7 @@ def test_cleaned_output(spark, samples, tmp_path):
 def test_manifest_counts_what_is_written(spark, tmp_path):
     pairs = spark.createDataFrame([("t", "i", "a\nb", "o", "f")] * 7, "pair_type string, instruction string, input string, output string, source_function_name string")
     written = sinks.write_pairs(pairs, str(tmp_path / "pairs.jsonl"))
-    nothing = sinks.write_pairs(pairs.where("false"), str(tmp_path / "none.jsonl"))
+    nothing = sinks.write_pairs(pairs.where("false"), str(tmp_path / "none.jsonl"), count=0)
     assert nothing is None and not (tmp_path / "none.jsonl").exists()
     rows = sinks.output_manifest(spark, [written, nothing]).collect()
     assert [(r.file_role, r.file_name, r.row_count) for r in rows] == [("instruction_pairs", "pairs.jsonl", 7)]

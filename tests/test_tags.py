@@ -78,14 +78,41 @@ def test_counts_add_up(samples):
     assert tags.invalid_reason_counts(tagged).count() == len(tags.INVALID_REASONS)
 
 
-def border(samples, n):
-    return samples([(i, "x", "d" * 30) for i in range(n)])
+@pytest.mark.parametrize("n", [1, 19, 301, 600])
+def test_all_border_rows_are_offered(samples, n):
+    rows = samples([(i, "x", "d" * 30) for i in range(n)])
+    assert sorted(r._row_id for r in tags.border_candidates(rows, BOTH).collect()) == list(range(n))
+    assert sorted(r._row_id for r in tags.border_candidates(rows, BOTH, limit=7).collect()) == list(range(min(n, 7)))
 
 
-@pytest.mark.parametrize("n, expected", [(19, 0), (20, 20), (301, 300)])
-def test_border_needs_rows_and_has_a_limit(samples, n, expected):
-    rows = tags.border_candidates(border(samples, n), BOTH).collect()
-    assert sorted(r._row_id for r in rows) == list(range(expected))
+def test_border_rows_of_each_data_set(samples):
+    rows = samples([(i, "x", "d" * 30) for i in range(1200)]).withColumn("ds", F.col("_row_id") % 2)
+    assert tags.border_candidates(rows, BOTH, by="ds").groupBy("ds").count().select("count").distinct().collect() == [(600,)]
+    limited = tags.border_candidates(rows, BOTH, by="ds", limit=3)
+    assert {(r.ds, r._row_id) for r in limited.collect()} == {(0, 0), (1, 1), (0, 2), (1, 3), (0, 4), (1, 5)}
+
+
+def test_user_columns_are_no_tags(spark):
+    df = spark.createDataFrame(
+        [(1, "x" * 20, "mine", "old", "gold"), (2, "x", None, None, None)],
+        "_row_id long, code string, drop_reason string, drop_stage string, verdict string",
+    )
+    tagged = tags.tag_invalid(df, CODE)
+    assert reasons(tagged) == {1: None, 2: "code_too_short"}
+    kept = tags.filter_invalid(df, CODE).collect()
+    assert [(r._row_id, r.user_drop_reason, r.user_drop_stage) for r in kept] == [(1, "mine", "old")]
+    assert tags.filter_invalid(df.drop("drop_stage"), CODE).count() == 1
+    verdicts = spark.createDataFrame([(1, "low_quality")], "_row_id long, verdict string")
+    judged = {r._row_id: (r.verdict, r.user_verdict, r.drop_reason) for r in tags.apply_verdicts(df, verdicts).collect()}
+    assert judged == {1: ("low_quality", "gold", "judged_low_quality"), 2: ("uncertain", None, None)}
+
+
+def test_limits_are_options(samples):
+    from defgrain.config import PrepOptions
+
+    df = samples([(1, "x" * 5, "d" * 30), (2, "x" * 50, "d"), (3, "x" * 20, "d" * 9)])
+    opts = PrepOptions(code_min_len=4, code_max_len=40, docstring_max_len=20)
+    assert reasons(tags.tag_invalid(df, BOTH, opts)) == {1: "docstring_too_long", 2: "code_too_long", 3: None}
 
 
 def test_border_lengths(samples):
