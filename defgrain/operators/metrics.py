@@ -5,13 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DROP_REASON, DROP_STAGE, FN_ORD, IS_AUGMENTED, ColumnRoles, PrepOptions, as_list
+from ..config import (
+    DROP_REASON,
+    DROP_STAGE,
+    FACTS,
+    FN_ORD,
+    IS_AUGMENTED,
+    VERDICT,
+    ColumnRoles,
+    PrepOptions,
+    as_list,
+    is_engine,
+)
 from ..functions.numbers import safe_ratio, with_ratios
-from ..functions.text import char_length, is_blank, is_present
+from ..functions.text import char_length, is_blank, is_present, strip
 from .augment import AUGMENT_DUPLICATE
 from .dedup import AST, DEDUP_STAGE, EXACT
 from .pairs import PAIR_TYPES, pair_conditions
-from .tags import INVALID_REASONS, INVALID_STAGE, JUDGED_LOW, LOW_QUALITY_REASONS, LOW_QUALITY_STAGE
+from .tags import (
+    BORDER_MAX_LEN,
+    BORDER_MIN_LEN,
+    INVALID_REASONS,
+    INVALID_STAGE,
+    JUDGED_LOW,
+    LOW_QUALITY_REASONS,
+    LOW_QUALITY_STAGE,
+)
 
 # Columns looked at for documentation after the role column and the code's own.
 FALLBACK_DOC_COLUMNS = ["docstring", "comment"]
@@ -104,9 +123,6 @@ def return_annotation_rate(df: DataFrame, by: list[str] | str = ()) -> DataFrame
     return _share(df, "return_annotation_rate", annotated(df), by)
 
 
-FACTS = "_facts"
-
-
 def row_facts(df: DataFrame, roles: ColumnRoles) -> Column:
     """What the metrics need to know of a row's texts, as one narrow struct. Stored with the
     tagged rows it lets every later metrics pass skip the text columns."""
@@ -115,6 +131,7 @@ def row_facts(df: DataFrame, roles: ColumnRoles) -> Column:
     return F.struct(
         F.when(is_present(roles.code), char_length(roles.code)).alias("code_chars"),
         F.when(is_present(doc), char_length(doc)).alias("doc_chars"),
+        F.coalesce(char_length(strip(doc)).between(BORDER_MIN_LEN, BORDER_MAX_LEN), F.lit(False)).alias("border"),
         has_documentation(df, roles).alias("documented"),
         named(df).alias("named"),
         annotated(df).alias("annotated"),
@@ -133,7 +150,8 @@ def tag_metrics(
         *columns,
         (F.col(FACTS) if FACTS in tagged.columns else row_facts(tagged, roles)).alias(FACTS),
         (F.col("parse_ok") if "parse_ok" in tagged.columns else F.lit(None).cast("boolean")).alias("parse_ok"),
-        (F.col(IS_AUGMENTED) if IS_AUGMENTED in tagged.columns else F.lit(False)).alias("new"),
+        (F.col(IS_AUGMENTED) if is_engine(tagged, IS_AUGMENTED) else F.lit(False)).alias("new"),
+        (F.col(VERDICT) if is_engine(tagged, VERDICT) else F.lit(None).cast("string")).alias("judged"),
         (F.col(FN_ORD) == 0 if FN_ORD in tagged.columns else F.lit(True)).alias("first"),
     )
 
@@ -147,6 +165,7 @@ def tag_metrics(
         return count(f"{DROP_STAGE} = '{name}'")
 
     kept = f"{DROP_REASON} IS NULL"
+    passed = f"({kept} OR {DROP_REASON} = '{JUDGED_LOW}' OR {DROP_STAGE} NOT IN ('{INVALID_STAGE}', '{LOW_QUALITY_STAGE}'))"
     paired = kept if opts.enable_instruction_pairs else "false"
     made = [f"{FACTS}.{t}" for t in PAIR_TYPES]
     totals = {
@@ -159,6 +178,10 @@ def tag_metrics(
         **{f"{r}_count": reason(r) for r in INVALID_REASONS if r != "ast_parse_failed"},
         "invalid_removed_count": stage(INVALID_STAGE),
         **{f"{r}_count": reason(r) for r in LOW_QUALITY_REASONS},
+        # Border rows passed every docstring rule, whatever later steps did with them.
+        "border_count": count(f"NOT new AND {FACTS}.border AND {passed}"),
+        "judged_count": count(f"NOT new AND judged IN ('high_quality', 'low_quality') AND {passed}"),
+        "uncertain_count": count(f"NOT new AND {FACTS}.border AND judged = 'uncertain' AND {passed}"),
         "judged_removed_count": reason(JUDGED_LOW),
         "low_quality_docstring_count": stage(LOW_QUALITY_STAGE),
         "dedup_removed_count": stage(DEDUP_STAGE),
@@ -242,10 +265,21 @@ def metrics_long(wide: DataFrame, by: list[str] | str = ()) -> DataFrame:
     return doubles.unpivot(by, names, "metric", "value")
 
 
-def stage_log(metrics: DataFrame, by: list[str] | str = (), durations_ms: dict[str, int] | None = None) -> DataFrame:
+def stage_log(
+    metrics: DataFrame,
+    by: list[str] | str = (),
+    durations_ms: dict[str, int] | None = None,
+    opts: PrepOptions | None = None,
+) -> DataFrame:
     """Rows in, out and removed per step from the counts of ``tag_metrics``. ``durations_ms``
     holds driver-clock times of the steps that ended in an action; others stay NULL because
-    Spark runs them fused."""
+    Spark runs them fused. Steps that ``opts`` switched off have the status ``skipped``."""
+    switches = {} if opts is None else {
+        "extract_functions": opts.enable_ast_extract,
+        DEDUP_STAGE: opts.enable_dedup,
+        "augment_rename": opts.enable_augmentation,
+        "build_pairs": opts.enable_instruction_pairs and opts.enable_ast_extract,
+    }
     by = as_list(by)
     raw, expanded, final = (F.col(f"{n}_sample_count") for n in ("raw", "expanded", "final"))
     valid = expanded - F.col("invalid_removed_count")
@@ -270,7 +304,7 @@ def stage_log(metrics: DataFrame, by: list[str] | str = (), durations_ms: dict[s
         F.struct(
             F.lit(i).alias("ord"),
             F.lit(name).alias("stage"),
-            F.lit("success").alias("status"),
+            F.lit("success" if switches.get(name, True) else "skipped").alias("status"),
             n_in.alias("input_n"),
             n_out.alias("output_n"),
             removed.alias("removed_n"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from defgrain.config import ColumnRoles
 from defgrain.operators import dedup as dd
 from defgrain.operators.extract import extract_functions
+from defgrain.operators.tags import add_tag
 
 CODE = ColumnRoles("code")
 
@@ -80,7 +81,7 @@ def test_empty_code_is_kept_and_blank_code_is_hashed(samples):
 
 def test_dropped_rows_do_not_win(samples):
     df = samples([(1, "same"), (2, "same"), (3, "same")])
-    tagged = df.withColumn("drop_reason", F.when(F.col("_row_id") == 1, "x")).withColumn("drop_stage", F.col("drop_reason"))
+    tagged = add_tag(df, "x", F.when(F.col("_row_id") == 1, "x"))
     assert tags_of(dd.tag_duplicates(tagged, CODE)) == {1: "x", 2: None, 3: dd.EXACT}
 
 
@@ -130,3 +131,39 @@ def test_struct_keys(spark, tmp_path):
     df = read_parquet(spark, [str(tmp_path / "b"), str(tmp_path / "a")])
     kept = dd.dedup_exact(df, CODE).collect()
     assert [r.src for r in kept] == ["a"]
+
+
+def test_plan_aggregates_by_hash_and_leaves_wide_rows_in_place(spark, samples, tmp_path):
+    """Without broadcasts: hashes are read as stored, minima need no sort, and the only wide shuffle
+    would be that of the join with the later copies, which a broadcast of the written table avoids."""
+    df = extract_functions(samples([(i, f"def f{i % 50}(): pass") for i in range(500)]), CODE)
+    dd.with_hashes(df, "code").write.parquet(str(tmp_path / "parsed"))
+    parsed = spark.read.schema(dd.with_hashes(df, "code").schema).parquet(str(tmp_path / "parsed"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        narrow = dd.later_copies(parsed, "code", True, True, [])._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in narrow and "HashAggregate" in narrow and "sha2" not in narrow
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+    def save(frame, name):
+        frame.write.parquet(str(tmp_path / name))
+        return spark.read.schema(frame.schema).parquet(str(tmp_path / name))
+
+    wide = dd.tag_duplicates(parsed, CODE, save=save)
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    assert tags_of(wide) == tags_of(dd.tag_duplicates(parsed, CODE))
+
+
+@pytest.mark.parametrize("kind", ["long", "int", "string"])
+def test_first_keys(spark, kind):
+    rows = [(2**62, 0, "a"), (-5, 3, "a"), (-5, 2, "a"), (7, 2**31 - 1, "b"), (7, 0, None), (-(2**62), 9, "c")]
+    if kind == "int":
+        rows = [(max(-(2**31), min(i, 2**31 - 1)), o, g) for i, o, g in rows]
+    df = spark.createDataFrame(rows, "_row_id long, _fn_ord int, g string").withColumn("_row_id", F.col("_row_id").cast(kind))
+    got = {r.g: (r._row_id, r._fn_ord) for r in dd.first_key(df, ["g"], ["_row_id", "_fn_ord"]).collect()}
+    want = {}
+    for r in df.collect():
+        want[r.g] = min(want.get(r.g, (r._row_id, r._fn_ord)), (r._row_id, r._fn_ord))
+    assert got == want

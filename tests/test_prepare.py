@@ -167,3 +167,49 @@ def test_language_ranking_is_cut_before_the_shuffle(spark):
     df = spark.createDataFrame([(1, "x", "d", "go", "a")], "_row_id long, code string, doc string, lang string, run string")
     plan = observe(df, ColumnRoles("code", "doc", "lang"), "run")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_user_columns_keep_their_values(spark, samples, tmp_path):
+    from defgrain.sources import sinks
+
+    names = ["_id", "drop_reason", "drop_stage", "verdict", "is_augmented", "signature", "function_name"]
+    df = samples(rows(400)).withColumns({n: F.concat(F.lit(n), F.col("_row_id")) for n in names})
+    done = prepare(df, ROLES, ALL_ON)
+    plain = prepare(samples(rows(400)), ROLES, ALL_ON)
+    assert done.metrics.first() == plain.metrics.first()
+    verdicts = done.border.where("_row_id % 2 = 0").select("_row_id", F.lit("low_quality").alias("verdict"))
+    for one in (done, refine(done, ALL_ON), refine(done, ALL_ON, verdicts)):
+        for out in (one.cleaned, one.badcases):
+            kept = [n if n == "_id" else f"user_{n}" for n in names]
+            found = out.select("_row_id", *kept).collect()
+            assert found and all(r[k] == f"{n}{r._row_id}" for r in found for n, k in zip(names, kept))
+    written = sinks.write_cleaned(done.cleaned, str(tmp_path / "cleaned.jsonl"))
+    back = spark.read.json(written.path)
+    assert {"_id", "user_verdict", "signature"} <= set(back.columns) and "_row_id" not in back.columns
+
+
+def test_release_deletes_what_was_written(samples):
+    done = prepare(samples(rows(20)), ROLES)
+    assert done.metrics.count() == 1
+    done.release()
+    with pytest.raises(Exception):
+        done.cleaned.count()
+
+
+def test_a_replayed_batch_is_written_once(spark, tmp_path):
+    write = st.batch_writer(str(tmp_path / "out"))
+    for batch_id in (0, 1, 1, 0):
+        write(spark.range(10 * batch_id, 10 * batch_id + 10), batch_id)
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(20))
+
+
+def test_rows_without_position_need_a_key(spark):
+    with pytest.raises(ValueError, match="with_row_id"):
+        prepare(spark.createDataFrame([("def f(): pass", "d")], "code string, doc string"), ROLES)
+
+
+def test_skipped_steps_are_logged_as_such(samples):
+    off = PrepOptions(enable_dedup=False, enable_instruction_pairs=False)
+    status = {r.stage: r.status for r in prepare(samples(rows(20)), ROLES, off).log.collect()}
+    skipped = {s for s, x in status.items() if x == "skipped"}
+    assert skipped == {"deduplicate", "augment_rename", "build_pairs"}
