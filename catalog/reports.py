@@ -10,19 +10,25 @@ from defgrain.operators import report as rp
 from defgrain.operators.extract import extract_functions
 from defgrain.operators.normalize import normalize_samples
 from defgrain.plans.prepare import prepare, refine
+from defgrain.sources import runs
 from defgrain.sources.staging import new_folder
 from defgrain.streaming import stages as st
 
 from .common import (
     CODE_DOC,
+    CORPUS_CODE,
     CORPUS_FX,
     blank_sql,
     corpus_metrics_sql,
     corpus_rows,
     corpus_tags,
+    invalid_sql,
+    low_quality_sql,
     metrics_cte,
+    norm_doc_sql,
     ratio_sql,
     round_sql,
+    strip_sql,
     table,
 )
 from .sources import LOG_COLUMNS, stage_log_sql
@@ -100,7 +106,7 @@ def run_metrics(spark, sf_dir):
 
 
 def stage_log(spark, sf_dir):
-    return met.stage_log(_metrics(spark, sf_dir), RUN).select(RUN, *LOG_COLUMNS)
+    return met.stage_log(_metrics(spark, sf_dir), RUN, opts=PrepOptions()).select(RUN, *LOG_COLUMNS)
 
 
 def _long(metrics):
@@ -263,14 +269,8 @@ COMPARE = """SELECT run_id, metric, b.value AS before, a.value AS after,
   FROM b JOIN a USING (run_id, metric)"""
 
 
-def _one_sided(long):
-    """Drop the dedup metric of the second round, so that one side is missing."""
-    return long.where("metric != 'dedup_removed_count'")
-
-
 def compare_panel(spark, sf_dir):
-    before, after = _rounds(spark, sf_dir)
-    return rp.compare_panel(before, _one_sided(after), by=RUN)
+    return rp.compare_panel(*_rounds(spark, sf_dir), by=RUN)
 
 
 def panel_sql() -> str:
@@ -280,7 +280,7 @@ def panel_sql() -> str:
     return rounds_sql(
         f""", p AS (SELECT * FROM (VALUES {names}) AS v(metric, ord, r)),
         x AS (SELECT run_id, metric, CAST(ord AS INTEGER) AS ord, r, b.value AS b, a.value AS a FROM b
-          FULL JOIN (SELECT * FROM a WHERE metric <> 'dedup_removed_count') a USING (run_id, metric) JOIN p USING (metric))
+          FULL JOIN a USING (run_id, metric) JOIN p USING (metric))
         SELECT run_id, metric, ord, {shown('b')} AS before, {shown('a')} AS after,
           {round_sql(change, 2, 'away')} AS delta,
           CASE WHEN b <> 0 THEN {round_sql('((a - b) / abs(b) * 100)', 1, 'away')} END AS delta_percent FROM x"""
@@ -334,9 +334,9 @@ def _stream(spark, sf_dir, name):
 
 
 def _drain(spark, stream, mode):
-    """Run the stream over what is there; each batch is appended to a table."""
+    """Run the stream over what is there; each batch gets a folder of its own."""
     out = new_folder(spark, "stream")
-    st.run_available(stream, lambda batch, _: batch.write.mode("append").parquet(out), mode, f"{out}-checkpoint")
+    st.run_available(stream, st.batch_writer(out), mode, f"{out}-checkpoint")
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -356,10 +356,100 @@ def stream_dedup(spark, sf_dir):
 
 def stream_tags(spark, sf_dir):
     docs = _stream(spark, sf_dir, "documents")
-    rows = docs.select(F.col("doc_id").alias("_row_id"), F.lit("x = 1").alias("code"), F.col("text").alias("doc"))
-    tagged = st.stream_tags(rows, CODE_DOC, PrepOptions(enable_ast_extract=False, docstring_min_len=100))
-    kept = _drain(spark, tagged, "append")
-    return kept.select(F.col("_row_id").alias("doc_id"), "drop_stage", "drop_reason")
+    rows = docs.select(
+        F.col("doc_id").alias("_row_id"), F.expr(CORPUS_CODE).alias("code"), F.expr(STREAM_DOC).alias("doc")
+    )
+    tagged = _drain(spark, st.stream_tags(rows, CODE_DOC, PrepOptions()), "append")
+    return tagged.select(F.col("_row_id").alias("doc_id"), F.col("_fn_ord").alias("fn_ord"), "drop_stage", "drop_reason")
+
+
+# Docstrings that meet every rule in turn, and the documents' own.
+STREAM_DOC = (
+    "CASE doc_id % 7 WHEN 0 THEN ' ' WHEN 1 THEN 'abc' WHEN 2 THEN ' Fixme' WHEN 3 THEN 'o_' || CAST(doc_id % 50 AS STRING) "
+    "|| ' function' WHEN 4 THEN 'Adds two numbers up.' ELSE text END"
+)
+
+
+def stream_tags_sql() -> str:
+    fx = CORPUS_FX.replace(norm_doc_sql("text"), norm_doc_sql(STREAM_DOC))
+    return f"""WITH {fx},
+      t1 AS (SELECT *, {invalid_sql('code', 'doc', parsed=True)} AS r1 FROM fx),
+      t2 AS (SELECT *, CASE WHEN r1 IS NULL THEN {low_quality_sql('doc', 'function_name')} END AS r2 FROM t1)
+      SELECT doc_id, fn_ord, CASE WHEN r1 IS NOT NULL THEN 'filter_invalid' WHEN r2 IS NOT NULL THEN 'filter_low_quality' END
+        AS drop_stage, coalesce(r1, r2) AS drop_reason FROM t2"""
+
+
+# --- verdicts, border rows and the run history ---------------------------------------------
+
+
+def _verdicts(spark, sf_dir):
+    label = F.when(F.col("toxic") == 1, "low_quality").when(F.col("quality") == 1, "high_quality").otherwise("unsure")
+    return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_row_id"), label.alias("verdict"))
+
+
+def border_by_run(spark, sf_dir):
+    done = prepare(corpus_rows(spark, sf_dir), CODE_DOC, PrepOptions(), by=RUN)
+    return done.border.select(RUN, F.col("_row_id").alias("doc_id"), F.col("_fn_ord").alias("fn_ord"), "docstring", "function_name")
+
+
+BORDER = f"length({strip_sql('doc')}) BETWEEN 10 AND 60"
+
+
+def refine_verdicts(spark, sf_dir):
+    """A second round with outside verdicts: what the judge removes goes before copies are looked for."""
+    first = prepare(corpus_rows(spark, sf_dir), CODE_DOC, PrepOptions(), by=RUN)
+    again = refine(first, PrepOptions(), _verdicts(spark, sf_dir))
+    return again.tagged.select(RUN, F.col("_row_id").alias("doc_id"), F.col("_fn_ord").alias("fn_ord"), "verdict", "drop_stage", "drop_reason")
+
+
+def verdict_counts(spark, sf_dir):
+    first = prepare(corpus_rows(spark, sf_dir), CODE_DOC, PrepOptions(), by=RUN)
+    counts = refine(first, PrepOptions(), _verdicts(spark, sf_dir)).metrics
+    return counts.select(RUN, "border_count", "judged_count", "uncertain_count", "judged_removed_count")
+
+
+JUDGED_FX = """SELECT t2.*, coalesce(CASE WHEN toxic = 1 THEN 'low_quality' WHEN quality = 1 THEN 'high_quality' END,
+  'uncertain') AS verdict, r1 IS NULL AND r2 IS NULL AS passed FROM t2 LEFT JOIN labels USING (doc_id)"""
+
+
+def verdict_counts_sql() -> str:
+    return f"""WITH {corpus_tags()}, v AS ({JUDGED_FX})
+      SELECT run_id, count(*) FILTER (WHERE passed AND {BORDER}) AS border_count,
+        count(*) FILTER (WHERE passed AND verdict <> 'uncertain') AS judged_count,
+        count(*) FILTER (WHERE passed AND {BORDER} AND verdict = 'uncertain') AS uncertain_count,
+        count(*) FILTER (WHERE passed AND verdict = 'low_quality') AS judged_removed_count
+      FROM v GROUP BY run_id"""
+
+
+def refine_verdicts_sql() -> str:
+    live = "passed AND verdict <> 'low_quality'"
+    return f"""WITH {corpus_tags()}, v AS ({JUDGED_FX}),
+      x AS (SELECT doc_id, fn_ord, row_number() OVER (PARTITION BY run_id, code ORDER BY doc_id, fn_ord) AS t FROM v WHERE {live}),
+      y AS (SELECT doc_id, fn_ord, row_number() OVER (PARTITION BY run_id, function_name ORDER BY doc_id, fn_ord) AS a
+            FROM v JOIN x USING (doc_id, fn_ord) WHERE t = 1)
+      SELECT run_id, doc_id, fn_ord, verdict,
+        CASE WHEN r1 IS NOT NULL THEN 'filter_invalid' WHEN r2 IS NOT NULL OR verdict = 'low_quality' THEN 'filter_low_quality'
+             WHEN t > 1 OR a > 1 THEN 'deduplicate' END AS drop_stage,
+        coalesce(r1, r2, CASE WHEN verdict = 'low_quality' THEN 'judged_low_quality' WHEN t > 1 THEN 'exact_duplicate'
+             WHEN a > 1 THEN 'ast_duplicate' END) AS drop_reason
+      FROM v LEFT JOIN x USING (doc_id, fn_ord) LEFT JOIN y USING (doc_id, fn_ord)"""
+
+
+def history_compare(spark, sf_dir):
+    """Two rounds of every run in the stored history; the latest report of each is compared with the
+    first round's metrics."""
+    first = prepare(corpus_rows(spark, sf_dir), CODE_DOC, PrepOptions(), by=RUN)
+    second = refine(first, PrepOptions(**ROUND2))
+    root = new_folder(spark, "history")
+    for done in (first, second):
+        runs.append_run(root, done.log, met.run_metrics(done.metrics, RUN))
+    latest = runs.read_reports(spark, root).drop("written_at")
+    return rp.compare_rounds(met.metrics_long(met.run_metrics(first.metrics, RUN), RUN), met.metrics_long(latest, RUN), by=RUN)
+
+
+def history_compare_sql() -> str:
+    names = ", ".join(f"'{n}'" for n in met.RUN_METRICS)
+    return rounds_sql(f"{COMPARE} WHERE metric IN ({names})")
 
 
 CATALOG = {
@@ -484,8 +574,13 @@ CATALOG = {
         stream_dedup,
         "SELECT DISTINCT user_id || '|' || event_type || '|' || props AS code FROM events",
     ),
-    "stream_tags": (
-        stream_tags,
-        """SELECT doc_id, 'filter_invalid' AS drop_stage, 'code_too_short' AS drop_reason FROM documents""",
+    "stream_tags": (stream_tags, stream_tags_sql()),
+    "border_by_run": (
+        border_by_run,
+        f"""WITH {corpus_tags()} SELECT run_id, doc_id, fn_ord, {strip_sql('doc')} AS docstring, function_name
+          FROM t2 WHERE r1 IS NULL AND r2 IS NULL AND {BORDER}""",
     ),
+    "refine_verdicts": (refine_verdicts, refine_verdicts_sql()),
+    "verdict_counts": (verdict_counts, verdict_counts_sql()),
+    "history_compare": (history_compare, history_compare_sql()),
 }

@@ -461,8 +461,7 @@ CATALOG = {
     "border_candidates": (
         border_candidates,
         f"""SELECT id, {strip_sql('doc')} AS docstring, function_name FROM ({QUALITY_TAGGED})
-          WHERE drop_reason IS NULL AND length({strip_sql('doc')}) BETWEEN 10 AND 60
-            AND (SELECT count(*) FROM customer) >= 20 ORDER BY id LIMIT 300""",
+          WHERE drop_reason IS NULL AND length({strip_sql('doc')}) BETWEEN 10 AND 60""",
     ),
     "apply_verdicts": (
         apply_verdicts,

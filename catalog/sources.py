@@ -107,7 +107,7 @@ def preview(spark, sf_dir):
 def _history(spark, sf_dir):
     metrics = _corpus(spark, sf_dir).metrics
     root = new_folder(spark, "history")
-    log = met.stage_log(metrics, "run_id")
+    log = met.stage_log(metrics, "run_id", opts=PrepOptions())
     files = metrics.select(
         "run_id",
         F.explode(F.array(F.lit("raw"), F.lit("cleaned"))).alias("file_role"),
@@ -145,7 +145,7 @@ def stage_log_sql(columns: str, where: str = "TRUE", extra: str = "") -> str:
         ("charts", "0", "0", "0"),
     ]
     rows = " UNION ALL ".join(
-        f"SELECT run_id, {i} AS ord, '{s}' AS stage, 'success' AS status, CAST({a} AS BIGINT) AS input_n, "
+        f"SELECT run_id, {i} AS ord, '{s}' AS stage, '{'skipped' if s == 'augment_rename' else 'success'}' AS status, CAST({a} AS BIGINT) AS input_n, "
         f"CAST({b} AS BIGINT) AS output_n, CAST({r} AS BIGINT) AS removed_n, final_sample_count FROM w"
         for i, (s, a, b, r) in enumerate(flow)
     )
@@ -352,8 +352,8 @@ def recommend_options(spark, sf_dir):
     return rl.recommend_options(_observed(spark, sf_dir), OBSERVED, opts, "run_id")
 
 
-OPTIONS_SELECT = """SELECT run_id, TRUE AS enable_dedup, sample_count <= 50000 AS enable_ast_dedup,
-  TRUE AS enable_ast_extract, sample_count <= 50000 AS enable_augmentation,
+OPTIONS_SELECT = """SELECT run_id, TRUE AS enable_dedup, TRUE AS enable_ast_dedup,
+  TRUE AS enable_ast_extract, TRUE AS enable_augmentation,
   docstring_coverage_estimate >= 0.1 AS enable_instruction_pairs FROM obs"""
 
 
