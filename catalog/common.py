@@ -272,7 +272,29 @@ tagged AS (
 )"""
 
 
-def metrics_cte(tagged: str = "tagged", name: str = "m", with_pairs: bool = True) -> str:
+# The renamed copies of kept rows: only the last two kinds of code have local names, sorted as
+# tmp, total. ``new`` tells them from the rows they were made from.
+AUGMENTED = f"""made AS (
+  SELECT doc_id, fn_ord, run_id, doc,
+    CASE WHEN doc_id % 8 = 6
+      THEN {_lines("'def part_' || CAST(doc_id % 30 AS STRING) || '(a, b):'", "'    var_1 = a + b'", "'    return var_1'")}
+      ELSE {_lines("'def o_' || CAST(doc_id % 50 AS STRING) || '(a, b):'", "'    var_2 = a + b'", "'    var_1 = var_2 * 2'", "'    return var_1'")}
+    END AS code,
+    function_name, parse_ok, return_annotation, in_doc, body, signature, drop_stage, drop_reason, TRUE AS new
+  FROM tagged WHERE drop_reason IS NULL AND doc_id % 8 IN (6, 7)
+),
+with_new AS (
+  SELECT doc_id, fn_ord, run_id, doc, code, function_name, parse_ok, return_annotation, in_doc, body, signature,
+    drop_stage, drop_reason, FALSE AS new FROM tagged
+  UNION ALL SELECT * FROM made
+)"""
+
+
+def augmented_metrics_sql(select: str) -> str:
+    return f"WITH {corpus_tags()}, {AUGMENTED}, {metrics_cte('with_new', new='new')} {select}"
+
+
+def metrics_cte(tagged: str = "tagged", name: str = "m", with_pairs: bool = True, new: str = "FALSE") -> str:
     """CTEs from ``tagged`` to one row of run metrics per run."""
     c = lambda cond: f"count(*) FILTER (WHERE {cond})"
     reason = lambda r: c(f"drop_reason = '{r}'")
@@ -280,20 +302,22 @@ def metrics_cte(tagged: str = "tagged", name: str = "m", with_pairs: bool = True
     doc = f"(CASE WHEN doc <> '' THEN doc ELSE in_doc END)"
     has_doc = f"{kept} AND parse_ok AND NOT {blank_sql(doc)}"
     has_body = f"{kept} AND parse_ok"
+    # Every kept row is tried; none of the new texts is a copy.
+    made_not = f"{c(f'{kept} AND NOT {new}')} - {c(new)}" if new != "FALSE" else "CAST(0 AS BIGINT)"
     pairs = f"{c(has_doc)} * 2 + {c(has_body)}" if with_pairs else "CAST(0 AS BIGINT)"
     return f"""
 {name}_c AS (
   SELECT run_id,
-    {c('fn_ord = 0')} AS raw_sample_count, count(*) AS expanded_sample_count, {c(kept)} AS final_sample_count,
-    {c('parse_ok')} AS ast_parse_success_count, {reason('ast_parse_failed')} AS ast_parse_failed_count,
-    {c('NOT parse_ok')} AS parse_failed_rows,
+    {c(f'fn_ord = 0 AND NOT {new}')} AS raw_sample_count, {c(f'NOT {new}')} AS expanded_sample_count, {c(kept)} AS final_sample_count,
+    {c(f'parse_ok AND NOT {new}')} AS ast_parse_success_count, {reason('ast_parse_failed')} AS ast_parse_failed_count,
+    {c(f'NOT parse_ok AND NOT {new}')} AS parse_failed_rows,
     {reason('empty_code')} AS empty_code_count, {c("drop_stage = 'filter_invalid'")} AS invalid_removed_count,
     CAST(0 AS BIGINT) AS missing_function_name_count, {reason('code_too_short')} AS code_too_short_count,
     {reason('code_too_long')} AS code_too_long_count, {reason('docstring_too_long')} AS docstring_too_long_count,
     {c("drop_stage = 'filter_low_quality'")} AS low_quality_docstring_count,
     {c("drop_stage = 'deduplicate'")} AS dedup_removed_count,
     {reason('exact_duplicate')} AS exact_dedup_removed_count, {reason('ast_duplicate')} AS ast_dedup_removed_count,
-    CAST(0 AS BIGINT) AS augmentation_success_count, CAST(0 AS BIGINT) AS augmentation_failed_count,
+    {c(new)} AS augmentation_success_count, {made_not} AS augmentation_failed_count,
     {c(f"{kept} AND parse_ok")} AS n_ok, {c(f"{kept} AND NOT {blank_sql(doc)}")} AS n_doc,
     {c(f"{kept} AND function_name <> ''")} AS n_name,
     {c(f"{kept} AND return_annotation <> '' AND return_annotation <> 'None'")} AS n_ret,

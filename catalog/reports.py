@@ -18,6 +18,7 @@ from .common import (
     CODE_DOC,
     CORPUS_CODE,
     CORPUS_FX,
+    augmented_metrics_sql,
     blank_sql,
     corpus_metrics_sql,
     corpus_rows,
@@ -154,15 +155,25 @@ def chart_sql(chart: str, guard: bool) -> str:
     )
 
 
+def _augmented(spark, sf_dir):
+    return prepare(corpus_rows(spark, sf_dir), CODE_DOC, PrepOptions(enable_augmentation=True), by=RUN).metrics
+
+
+def run_metrics_augmented(spark, sf_dir):
+    return met.run_metrics(_augmented(spark, sf_dir), RUN)
+
+
 def quality_alerts(spark, sf_dir):
-    return rp.quality_alerts(_metrics(spark, sf_dir), by=RUN).select(RUN, "alert", "value", "threshold")
+    return rp.quality_alerts(_augmented(spark, sf_dir), by=RUN)
 
 
+AUG_RATE = "augmentation_success_count / nullif(augmentation_success_count + augmentation_failed_count, 0)"
 ALERTS = [
     ("low_retain_rate", "retain_rate < 0.5", "retain_rate", 0.5),
     ("low_syntax_pass_rate", "syntax_pass_rate < 0.7", "syntax_pass_rate", 0.7),
     ("low_docstring_coverage", "docstring_coverage < 0.3", "docstring_coverage", 0.3),
     ("high_dedup_share", "dedup_removed_count / raw_sample_count > 0.4", "dedup_removed_count / raw_sample_count", 0.4),
+    ("low_augmentation_success", f"{AUG_RATE} < {rp.AUGMENT_WARN}", AUG_RATE, rp.AUGMENT_WARN),
     ("no_instruction_pairs", "final_sample_count > 0 AND instruction_pair_count = 0",
      "instruction_pair_count / final_sample_count", 0.5),
     ("few_instruction_pairs", "instruction_pair_count > 0 AND instruction_pair_count / final_sample_count < 0.5",
@@ -172,7 +183,8 @@ ALERTS = [
 
 def alerts_sql() -> str:
     return " UNION ALL ".join(
-        f"SELECT run_id, '{a}' AS alert, CAST({v} AS DOUBLE) AS value, {t}::DOUBLE AS threshold FROM m "
+        f"SELECT run_id, '{a}' AS alert, CAST({v} AS DOUBLE) AS value, {t}::DOUBLE AS threshold, "
+        f"'{rp.SUGGESTIONS[a]}' AS suggestion FROM m "
         f"WHERE raw_sample_count > 0 AND {c}"
         for a, c, v, t in ALERTS
     )
@@ -485,7 +497,8 @@ CATALOG = {
     "chart_filter_reasons": (chart_filter_reasons, chart_sql("filter_reasons", True)),
     "chart_dedup": (chart_dedup, chart_sql("dedup_results", True)),
     "chart_quality": (chart_quality, chart_sql("quality_metrics", False)),
-    "quality_alerts": (quality_alerts, corpus_metrics_sql(alerts_sql())),
+    "quality_alerts": (quality_alerts, augmented_metrics_sql(alerts_sql())),
+    "run_metrics_augmented": (run_metrics_augmented, augmented_metrics_sql(f"SELECT run_id, {', '.join(met.RUN_METRICS)} FROM m")),
     "alert_summary": (
         alert_summary,
         corpus_metrics_sql(

@@ -134,6 +134,18 @@ def nest_charts(points: DataFrame, by: Names = ()) -> DataFrame:
     )
 
 
+# Where to look first when an alert is raised: views and counts of this library.
+SUGGESTIONS = {
+    "low_retain_rate": "see badcases grouped by drop_reason for the rule that takes most rows",
+    "low_syntax_pass_rate": "group error_message of rows that did not parse; fragments have no function",
+    "low_docstring_coverage": "compare documented rows before and after the docstring filter, or lower docstring_min_len",
+    "high_dedup_share": "list the largest dup_groups and the sources they come from",
+    "low_augmentation_success": "count aug_status; rows without local names cannot be renamed",
+    "no_instruction_pairs": "check that the docstring role names a filled column",
+    "few_instruction_pairs": "look at rows with code but neither docstring nor docstring_in_code",
+}
+
+
 def _alerts(pairs_enabled: bool) -> Column:
     """array<struct> of the broken rules of one metrics row."""
     raw, final = _metric("raw_sample_count"), _metric("final_sample_count")
@@ -145,18 +157,13 @@ def _alerts(pairs_enabled: bool) -> Column:
     asked = F.lit(pairs_enabled) & (final > 0)
     has_rows = raw > 0
     rules = [
-        ("low_retain_rate", has_rows & (_metric("retain_rate") < RETAIN_WARN), _metric("retain_rate"), RETAIN_WARN,
-         "check the data source or relax the filter thresholds"),
-        ("low_syntax_pass_rate", has_rows & (_metric("syntax_pass_rate") < SYNTAX_WARN), _metric("syntax_pass_rate"),
-         SYNTAX_WARN, "make sure the code column holds whole functions"),
-        ("low_docstring_coverage", has_rows & (_metric("docstring_coverage") < COVERAGE_WARN),
-         _metric("docstring_coverage"), COVERAGE_WARN, "add docstrings or rely on them less"),
-        ("high_dedup_share", dedup_share > DEDUP_WARN, dedup_share, DEDUP_WARN, "remove copies where data is collected"),
-        ("low_augmentation_success", aug_rate < AUGMENT_WARN, aug_rate, AUGMENT_WARN,
-         "raise the share of code that parses"),
-        ("no_instruction_pairs", asked & (pairs == 0), pairs_per_row, PAIRS_WARN, "check the docstring column"),
-        ("few_instruction_pairs", asked & (pairs > 0) & (pairs_per_row < PAIRS_WARN), pairs_per_row, PAIRS_WARN,
-         "raise docstring coverage"),
+        ("low_retain_rate", has_rows & (_metric("retain_rate") < RETAIN_WARN), _metric("retain_rate"), RETAIN_WARN),
+        ("low_syntax_pass_rate", has_rows & (_metric("syntax_pass_rate") < SYNTAX_WARN), _metric("syntax_pass_rate"), SYNTAX_WARN),
+        ("low_docstring_coverage", has_rows & (_metric("docstring_coverage") < COVERAGE_WARN), _metric("docstring_coverage"), COVERAGE_WARN),
+        ("high_dedup_share", dedup_share > DEDUP_WARN, dedup_share, DEDUP_WARN),
+        ("low_augmentation_success", aug_rate < AUGMENT_WARN, aug_rate, AUGMENT_WARN),
+        ("no_instruction_pairs", asked & (pairs == 0), pairs_per_row, PAIRS_WARN),
+        ("few_instruction_pairs", asked & (pairs > 0) & (pairs_per_row < PAIRS_WARN), pairs_per_row, PAIRS_WARN),
     ]
     raised = [
         F.when(
@@ -165,10 +172,10 @@ def _alerts(pairs_enabled: bool) -> Column:
                 F.lit(name).alias("alert"),
                 value.cast("double").alias("value"),
                 F.lit(limit).alias("threshold"),
-                F.lit(advice).alias("suggestion"),
+                F.lit(SUGGESTIONS[name]).alias("suggestion"),
             ),
         )
-        for name, condition, value, limit, advice in rules
+        for name, condition, value, limit in rules
     ]
     return F.array_compact(F.array(*raised))
 
@@ -213,21 +220,34 @@ def general_summary(metrics: DataFrame, by: Names = ()) -> DataFrame:
     return metrics.select(*as_list(by), *BASE_METRICS)
 
 
+# Borders of tiers and bands, and the span of the progress shown.
+RETAIN_TIERS = {"high": 0.8, "medium": 0.6}
+QUALITY_TIERS = {"excellent": (0.8, 0.9, 0.7), "good": (0.6, 0.8, 0.0), "medium": (0.4, 0.0, 0.0)}
+RATE_BANDS = {"good": 0.8, "warn": 0.5}
+PROGRESS_START, PROGRESS_SPAN = 10, 85
+
+
+def _first_reached(borders: dict[str, Column], last: Column | None) -> Column:
+    """The first name whose condition holds."""
+    names = F.array_compact(F.array(*[F.when(condition, F.lit(name)) for name, condition in borders.items()]))
+    return F.coalesce(F.get(names, F.lit(0)), last)
+
+
 def retain_tier(rate: Column) -> Column:
-    return F.when(rate >= 0.8, "high").when(rate >= 0.6, "medium").otherwise("low")
+    return _first_reached({name: rate >= border for name, border in RETAIN_TIERS.items()}, F.lit("low"))
 
 
 def quality_tier(retain: Column, syntax: Column, coverage: Column) -> Column:
-    return (
-        F.when((retain >= 0.8) & (syntax >= 0.9) & (coverage >= 0.7), "excellent")
-        .when((retain >= 0.6) & (syntax >= 0.8), "good")
-        .when(retain >= 0.4, "medium")
-        .otherwise("low")
-    )
+    reached = {
+        name: (retain >= r) & ((syntax >= s) if s else F.lit(True)) & ((coverage >= c) if c else F.lit(True))
+        for name, (r, s, c) in QUALITY_TIERS.items()
+    }
+    return _first_reached(reached, F.lit("low"))
 
 
 def rate_band(rate: Column) -> Column:
-    return F.when(rate >= 0.8, "good").when(rate >= 0.5, "warn").when(rate.isNotNull(), "danger")
+    reached = {name: rate >= border for name, border in RATE_BANDS.items()}
+    return _first_reached(reached, F.when(rate.isNotNull(), F.lit("danger")))
 
 
 def refer_metrics(long: DataFrame, topics: DataFrame, by: Names) -> DataFrame:
@@ -322,6 +342,6 @@ def latest_progress(events: DataFrame, key: str, order: list[str], payload: list
 def stage_progress(index: Column, total: Column) -> Column:
     """Percent shown when ``index`` of ``total`` steps are done: 10 to 95."""
     done = F.try_divide(index.cast("double"), F.greatest(total, F.lit(1)).cast("double"))
-    return (F.floor(done * 85) + 10).cast("int")
+    return (F.floor(done * PROGRESS_SPAN) + PROGRESS_START).cast("int")
 
 
