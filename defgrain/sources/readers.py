@@ -97,12 +97,13 @@ def spread(df: DataFrame, key: str = ROW_ID) -> DataFrame:
 
 
 def read_head(spark: SparkSession, path: str, n: int, key: str | None = None) -> DataFrame:
-    """First ``n`` rows of a Parquet data set in file order. Only as many files as hold ``n``
-    rows are opened; with a key column the order is the key's and all files count."""
+    """First ``n`` rows of a Parquet data set in file order, or in the order of ``key``. The places of
+    the first rows are found without reading any column, in one job; then only the files that hold
+    them, at most ``n``, are opened."""
     if key is not None:
         return read_parquet(spark, path, key).orderBy(ROW_ID).limit(n)
-    files = sorted(spark.read.parquet(path).inputFiles())
-    taken = 1
-    while taken < len(files) and spark.read.parquet(*files[:taken]).limit(n).count() < n:
-        taken *= 2
-    return read_parquet(spark, files[:taken]).orderBy(ROW_ID).limit(n)
+    places = read_parquet(spark, path).select(ROW_ID).orderBy(ROW_ID).limit(n)
+    files = [r["file"] for r in places.select(F.col(f"{ROW_ID}.file").alias("file")).distinct().collect()]
+    if not files:
+        return read_parquet(spark, path).limit(0)
+    return read_parquet(spark, files).orderBy(ROW_ID).limit(n)
