@@ -1,0 +1,75 @@
+import numpy as np
+import pytest
+
+from defgrain.llm import quality as q
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_labellers_are_told_apart_without_labels():
+    rng = np.random.default_rng(0)
+    n, share = 20_000, 0.15
+    good = rng.random(n) > share
+    found = np.array([0.9, 0.7, 0.6, 0.3])  # of the bad; few good ones are called bad
+    table = np.full((n, len(q.LABELLERS)), q.MISSING)
+    for j, p in enumerate(found):
+        table[:, j] = np.where(rng.random(n) < np.where(good, 0.005, p), -1, 1)
+    truth = good
+    counts = {}
+    for row in table:
+        p = q.pattern(row.tolist())
+        counts[p] = counts.get(p, 0) + 1
+    posterior = q.fit_labellers(counts)
+    guess = np.array([posterior[q.pattern(r.tolist())] >= 0.5 for r in table])
+    assert (guess == truth).mean() > 0.95
+    assert q.fit_labellers({}) == {}
+
+
+def test_patterns_round_trip():
+    for v in ([1, -1, 0, 2] + [0] * (len(q.LABELLERS) - 4), [2] * len(q.LABELLERS)):
+        assert q.unpack(q.pattern(v)) == v
+
+
+def test_votes():
+    assert q.votes(None) == q.votes("") == q.votes(" \n") == [q.MISSING] * len(q.LABELLERS)
+    named = lambda text: dict(zip(q.LABELLERS, q.votes(text)))
+    assert named("LOUD WORDS!! EVERY WHERE!! NOW!! AND THEN!!")["upper"] == -1
+    assert named("same same same same same same other")["echo"] == -1
+    assert named("Two words.")["echo"] == q.MISSING
+    good = named("The quiet river ran past the old mill and under the bridge, where children used to fish in summer. " * 1)
+    assert -1 not in good.values()
+
+
+def test_scorer_with_one_side_only():
+    rows = [(np.array([1]), np.array([1.0]))]
+    assert q.fit_scorer(rows, np.array([0.9]))[q.DIM] > 0 > q.fit_scorer(rows, np.array([0.1]))[q.DIM]
+    assert q.fit_scorer([], np.zeros(0))[q.DIM] == 0
+
+
+def test_agrees_with_held_back_labels(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    got = q.assess(docs).join(labels, "doc_id").select("keep", "quality").collect()
+    good, bad = [r for r in got if r["quality"]], [r for r in got if not r["quality"]]
+    assert np.mean([r["keep"] for r in good]) > 0.98
+    assert np.mean([not r["keep"] for r in bad]) > 0.9
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(1, None, "a"), (2, "", "b"), (3, "Plain words in a row, nothing else here.", "c"), (3, "Plain words in a row, nothing else here.", "c"), (None, "x " * 5000, "d")]
+    return spark.createDataFrame(rows, "doc_id long, text string, score string")
+
+
+def test_odd_rows(spark, odd):
+    got = {(r["doc_id"], r["keep"]) for r in q.assess(odd).collect()}
+    assert {(1, False), (2, False), (3, True)} <= got and len(got) == 4
+    kept = q.keep_good(odd)
+    assert kept.columns == odd.columns and [r["score"] for r in kept.where("doc_id = 3").collect()] == ["c", "c"]
+    assert q.assess(odd.where("false")).count() == 0 == q.keep_good(odd.where("false")).count()
+
+
+def test_keep_good_is_the_assessment(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = {r["doc_id"] for r in q.assess(docs).where("keep").collect()}
+    assert {r["doc_id"] for r in q.keep_good(docs).collect()} == want
