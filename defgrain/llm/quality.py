@@ -28,6 +28,8 @@ ROUNDS = 60
 
 LABELLERS = ("upper", "symbols", "marked_words", "top_word", "repeats", "echo", "word_length", "lone_symbols", "letters")
 MISSING = 2
+FALSE_ALARMS = 0.01  # share of good documents that a labeller may call bad
+MAX_PRAISE = 0.5  # log odds that a vote other than bad may add
 _SYMBOLS = bytes(range(33, 39)) + b"*+/<=>@[\\]^_`{|}~"
 _LONE = {bytes([b]) for b in _SYMBOLS + b"-.:;,"}
 _NOT_LETTERS = bytes(b for b in range(256) if not (65 <= b <= 90 or 97 <= b <= 122 or b >= 192))
@@ -68,7 +70,8 @@ def votes(text: str | None) -> list[int]:
         out.append(_vote(1 - len(grams) / (n - 3), 0.1, 0.4))
     else:
         out.append(MISSING)
-    out.append(_vote(sum(map(eq, words, islice(words, 1, None))) / n, 0.02, 0.05))
+    echo = sum(map(eq, words, islice(words, 1, None))) / n
+    out.append(_vote(echo, 0.02, 0.05) if n >= 20 else _vote(echo, 0.15, 0.3))
     mean = seen / n
     out.append(1 if 2.5 <= mean <= 12 else -1 if mean < 1.5 or mean > 20 else 0)
     out.append(_vote(sum(counts[w] for w in _LONE if w in counts) / n, 0.02, 0.15) if n >= 20 else MISSING)
@@ -122,7 +125,8 @@ def fit_labellers(counts: dict[int, int], rounds: int = ROUNDS) -> dict[int, flo
 
     Two classes; within a class the labellers vote independently, each with its own chances of good,
     bad and neither (smoothed); a missing vote is no evidence. It starts from the view that one bad vote outweighs others, since the
-    labellers look for different faults; that also settles which class is good."""
+    labellers look for different faults; that also settles which class is good. For the same reason
+    a good vote says little (MAX_PRAISE), and labellers are taken to raise few false alarms."""
     if not counts:
         return {}
     table = np.array([unpack(p) for p in counts])
@@ -137,7 +141,10 @@ def fit_labellers(counts: dict[int, int], rounds: int = ROUNDS) -> dict[int, flo
                 cast = table[:, j] == vote
                 good = (n @ (post * cast) + 0.1) / (n @ (post * given) + 0.3)
                 bad = (n @ ((1 - post) * cast) + 0.1) / (n @ ((1 - post) * given) + 0.3)
-                log_odds += cast * np.log(good / bad)
+                if vote < 0:
+                    log_odds += cast * np.log(min(good, FALSE_ALARMS) / max(bad, FALSE_ALARMS))
+                else:
+                    log_odds += cast * np.clip(np.log(good / bad), -MAX_PRAISE, MAX_PRAISE)
         new = 1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))
         if np.abs(new - post).max() < 1e-6:
             break
