@@ -189,8 +189,10 @@ def clean(
     found = found.select(F.col("row_key").alias("_hit_key"), F.col("starts").alias("_starts"), F.col("ends").alias("_ends"))
     key = long_key(docs[id_col], docs[text_col])
     if remove == "documents":
-        return docs.join(found, key == F.col("_hit_key"), "left_anti")
+        return docs.join(found, key == found["_hit_key"], "left_anti")
     cut = F.udf(remove_spans, "string")
-    joined = docs.join(found.dropDuplicates(["_hit_key"]), key == F.col("_hit_key"), "left")
-    text = F.when(F.col("_hit_key").isNotNull(), cut(docs[text_col], "_starts", "_ends")).otherwise(docs[text_col])
+    found = found.dropDuplicates(["_hit_key"])
+    joined = docs.join(found, key == found["_hit_key"], "left")
+    new = cut(docs[text_col], found["_starts"], found["_ends"])
+    text = F.when(found["_hit_key"].isNotNull(), new).otherwise(docs[text_col])
     return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])

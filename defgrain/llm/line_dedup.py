@@ -11,7 +11,6 @@ different line.
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -77,6 +76,8 @@ def later_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         .where("n > 1")
         .select("digest", "first_id")
     )
+    # Written first: between two plain shuffles Spark can split the partition of a hot digest.
+    repeated = stage(repeated, "repeated")
     again = F.col("unit").bitwiseAND(1 << 20) != 0
     later = rows.join(repeated, "digest").where((F.col("doc_id") != F.col("first_id")) | again)
     # Rows that repeat one another have the same key and the same units; a set holds them once.
@@ -156,17 +157,22 @@ def dedup_documents(
     """The input with all its columns, later copies cut out of the text, and ``chars_col`` set to
     the new length of changed texts. Documents of which nothing but white space is left are
     dropped; texts that were blank before stay."""
-    marks = later_units(docs, id_col, text_col).select(F.col("row_key").alias("_key"), F.col("later").alias("_later"))
+    marks = later_units(docs, id_col, text_col).select(F.col("row_key").alias("_defgrain_key"), F.col("later").alias("_defgrain_later"))
     key = F.when(docs[id_col].isNotNull(), long_key(docs[id_col], docs[text_col]))
+    joined = docs.join(marks, key == marks["_defgrain_key"], "left").drop("_defgrain_key")
+    at = docs.columns.index(text_col)
+    chars_at = docs.columns.index(chars_col) if chars_col else None
 
-    def cut(texts: pd.Series, later: pd.Series) -> pd.Series:
-        return texts.combine(later, lambda t, u: without(t, passages(t, list(u), min_words)) if u is not None else t)
-
-    new = F.pandas_udf(cut, "string")(F.col(text_col), F.col("_later"))
-    joined = docs.join(marks, key == F.col("_key"), "left")
-    changed = joined.withColumn("_new", F.when(F.col("_later").isNotNull(), new).otherwise(F.col(text_col)))
-    kept = changed.where(F.col("_later").isNull() | (F.length(F.trim(F.regexp_replace("_new", r"\s+", " "))) > 0))
-    values = {text_col: F.col("_new")}
-    if chars_col:
-        values[chars_col] = F.when(F.col("_new") != docs[text_col], F.char_length("_new").cast("long")).otherwise(docs[chars_col])
-    return kept.select(*[values.get(c, docs[c]).alias(c) for c in docs.columns])
+    def run(batch):
+        columns, later = batch.columns[:-1], batch.column(batch.num_columns - 1).to_pylist()
+        texts = columns[at].to_pylist()
+        new = [t if u is None else without(t, passages(t, u, min_words)) for t, u in zip(texts, later)]
+        changed = [u is not None and a != b for u, a, b in zip(later, texts, new)]
+        columns[at] = pa.array(new, columns[at].type)
+        if chars_at is not None:
+            sizes = [len(t) if c else n for t, c, n in zip(new, changed, columns[chars_at].to_pylist())]
+            columns[chars_at] = pa.array(sizes, columns[chars_at].type)
+        kept = pa.array([not c or bool(t.strip()) for t, c in zip(new, changed)], pa.bool_())
+        return pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1]).filter(kept)
+
+    return map_batches(joined, run, docs.schema)

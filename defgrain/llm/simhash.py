@@ -188,6 +188,8 @@ def near_duplicates(
     several = known.join(own.select("doc_id"), "doc_id").join(classes, "fp").select("doc_id", "node")
     roots = components(found.unionByName(several.select(F.col("doc_id").alias("u"), F.col("node").alias("v"))))
     labelled = classes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    # Written first: between two plain shuffles Spark can split the partition of a hot fingerprint.
+    labelled = stage(labelled, "labelled")
     return marked.join(labelled, "fp", "left").select(
         "doc_id",
         "row_key",
@@ -209,6 +211,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
     key = long_key(docs[id_col], docs[text_col])
     single = docs.join(
-        kept, (docs[id_col].cast("long") == F.col("_keep_id")) & (key == F.col("_keep_key")), "left_semi"
+        kept, (docs[id_col].cast("long") == kept["_keep_id"]) & (key == kept["_keep_key"]), "left_semi"
     ).dropDuplicates([id_col])
     return single.unionByName(docs.where(F.col(id_col).isNull()))

@@ -182,7 +182,8 @@ def write_archives(
         .where("n > 1 and first_id is not null")
         .select("digest", "first_id")
     )
-    joined = marked.join(shared, "digest", "left").select(
+    # Written first: between two plain shuffles Spark can split the partition of a hot digest.
+    joined = marked.join(stage(shared, "shared"), "digest", "left").select(
         "page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to")
     )
 
@@ -194,6 +195,8 @@ def write_archives(
         def close():
             sink.close()
             final = f"{root}/part-{part.partitionId():06d}-{number:04d}.warc.gz"
+            if files.get_file_info(final).is_file:  # from an earlier attempt; some systems don't replace
+                files.delete_file(final)
             files.move(name, final)
             done.append((final, size, n))
 
