@@ -11,6 +11,7 @@ no padding at all. Shards are read as a stream: nothing is shuffled but the toke
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from functools import cache
@@ -29,8 +30,7 @@ TOKENIZER = "word_bpe_49k.json"
 END = 2
 SHARD_TOKENS = 1_000_000
 K1, B = 1.2, 0.75
-_CACHE = 400_000  # white-space separated pieces whose ids a worker remembers
-_memo: dict[str, dict[bytes, bytes]] = {}
+_CACHE = 200_000  # pieces whose ids a worker remembers; twice as many at most
 
 
 @cache
@@ -41,21 +41,158 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+class _Pieces:
+    """Ids of the pieces that texts are made of, most recent and most used ones remembered.
+
+    The tokenizer splits texts into pieces that it encodes on their own, so each different piece
+    need be encoded once. Texts in Latin-1 are split here by the tokenizer's own rule, many at once;
+    other texts are cut at ASCII white space, which no piece spans, and encoded chunk by chunk."""
+
+    def __init__(self, path: str, kind: str):
+        self.tokenizer, self.kind = _tokenizer(path), np.dtype(kind)
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.ends[i] = token.endswith(_WORD_END)
+        self.splits = _RULE in _rules(path)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        plain = [self._plain(t) for t in texts]
+        out = [self._in_chunks(t) if p is None else b"" for t, p in zip(texts, plain)]
+        at = [k for k, p in enumerate(plain) if p is not None]
+        for k, ids in zip(at, self._together([plain[k] for k in at])):
+            out[k] = ids
+        return out
+
+    def _plain(self, text: str) -> bytes | None:
+        """The text as lower Latin-1, or None if its splitting needs the tokenizer."""
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        if not self.splits or b"<|" in raw or len(raw.translate(None, _NOT_PLAIN)) < len(raw):
+            return None
+        return raw.translate(_LOWER)
+
+    def _in_chunks(self, text: str) -> bytes:
+        chunks = [_CHUNK + c for c in text.encode("utf-8", "surrogatepass").split()]
+        known = self.learn(set(chunks))
+        return b"".join(map(known.__getitem__, chunks))
+
+    def _together(self, texts: list[bytes]) -> list[bytes]:
+        """Split and encode texts side by side: their different pieces are found by Arrow."""
+        raw = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+        kinds, begins = piece_starts(raw)
+        places = np.flatnonzero(begins)
+        inside = kinds > 0
+        data = raw[inside]
+        offsets = np.append(np.flatnonzero(begins[inside]), len(data)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(places), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        coded = pieces.dictionary_encode()
+        different = coded.dictionary.to_pylist()
+        known = self.learn(set(different))
+        ids = [known[p] for p in different]
+        flat = np.frombuffer(b"".join(ids), self.kind)
+        sizes = np.array([len(i) for i in ids], dtype=np.int64) // self.kind.itemsize
+        firsts = np.cumsum(sizes) - sizes
+        index = np.asarray(coded.indices)
+        lengths = sizes[index]
+        ends = np.cumsum(lengths)
+        whole = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(firsts[index] - ends + lengths, lengths)]
+        # Where each text ends: in the bytes, in the pieces, in the ids.
+        stops = np.searchsorted(places, np.cumsum([len(t) + 1 for t in texts]))
+        stops = np.append(0, ends)[stops].tolist()
+        return [whole[a:b].tobytes() for a, b in zip([0, *stops], stops)]
+
+    def learn(self, wanted: set[bytes]) -> dict[bytes, bytes]:
+        """A table that has the ids of all wanted pieces."""
+        if len(self.young) > _CACHE:
+            self.old, self.young = self.young, {}
+        known = self.young
+        new = []
+        for p in wanted.difference(known):
+            ids = self.old.get(p)
+            if ids is None:
+                new.append(p)
+            else:
+                known[p] = ids
+        single = [p for p in new if not p.startswith(_CHUNK)]
+        for at in range(0, len(single), 5000):
+            known.update(self._joined(single[at : at + 5000]))
+        chunks = [p for p in new if p not in known]
+        for at in range(0, len(chunks), 5000):
+            part = chunks[at : at + 5000]
+            plain = [p[1:].decode("utf-8", "replace") if p.startswith(_CHUNK) else p.decode("latin-1") for p in part]
+            encoded = self.tokenizer.encode_batch(plain, add_special_tokens=False)
+            known.update((p, np.array(e.ids, dtype=self.kind).tobytes()) for p, e in zip(part, encoded))
+        return known
+
+    def _joined(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Encode pieces side by side; ids that end a word tell them apart again."""
+        lines = [b" ".join(pieces[at : at + 50]).decode("latin-1") for at in range(0, len(pieces), 50)]
+        encoded = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
+        ids = np.array([i for e in encoded for i in e.ids], dtype=np.int64)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(pieces):
+            return {}
+        raw, width = ids.astype(self.kind).tobytes(), self.kind.itemsize
+        edges = [0, *(cuts * width).tolist()]
+        return {p: raw[a:b] for p, a, b in zip(pieces, edges, edges[1:])}
+
+
+def piece_starts(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The kind of each byte of lower Latin-1 text (0 space, 1 letter, 2 number, 3 other), and
+    whether a piece begins there: runs of letters, single numbers, runs of others, and the endings
+    after an apostrophe that begins such a run."""
+    kinds = _KINDS_OF[raw]
+    begins = np.empty(len(raw), dtype=bool)
+    begins[:1] = True
+    np.not_equal(kinds[1:], kinds[:-1], out=begins[1:])
+    begins |= kinds == 2
+    begins &= kinds > 0
+    marks = np.flatnonzero((raw == 39) & begins)
+    if len(marks):
+        after = np.append(raw, np.zeros(3, np.uint8))
+        one = np.isin(after[marks + 1], _ENDINGS_1)
+        two = np.isin(after[marks + 1].astype(np.uint16) << 8 | after[marks + 2], _ENDINGS_2)
+        begins[marks[one | two] + 1] = False
+        rest = np.concatenate([marks[one] + 2, marks[two] + 3])
+        rest = rest[rest < len(raw)]
+        begins[rest] = kinds[rest] > 0
+    return kinds, begins
+
+
+@cache
+def _rules(path: str) -> list[str]:
+    """The splitting patterns that a tokenizer's file names."""
+    with open(path, encoding="utf-8") as f:
+        kinds = (json.load(f).get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return [k["pattern"].get("Regex", "") for k in kinds if "pattern" in k]
+
+
+# Fixed value: the splitting rule of the tokenizer that piece_starts spells for Latin-1.
+_RULE = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_WORD_END = "</w>"
+_CHUNK = b"\x00"
+_ENDINGS_1 = np.frombuffer(b"stmd", np.uint8)
+_ENDINGS_2 = np.frombuffer(b"revell", ">u2").astype(np.uint16)
+_LOWER = bytes(b + 32 if 65 <= b <= 90 or (192 <= b <= 222 and b != 215) else b for b in range(256))
+_KINDS_OF = np.array(
+    [0 if chr(b) in "\t\n\r " else 1 if chr(b).isalpha() else 2 if chr(b).isnumeric() else 3 for b in range(256)], dtype=np.uint8
+)
+# Control characters and odd spaces; texts with these, or with special tokens, go in chunks.
+_NOT_PLAIN = bytes(b for b in range(256) if (b < 32 and b not in b"\t\n\r") or 127 <= b <= 160)
+_pieces: dict[tuple[str, str], _Pieces] = {}
+
+
 def token_ids(texts: list[str | None], path: str, kind: str, end: int | None = END) -> list[bytes]:
-    """Ids of whole texts as numbers of ``kind``. The tokenizer drops white space and never joins
-    across it, so texts are cut at ASCII white space and each different piece is tokenised once per
-    worker."""
-    known = _memo.setdefault(path + kind, {})
-    pieces = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
-    if len(known) > _CACHE:
-        known.clear()
-    new = list({p for own in pieces for p in own if p not in known})
-    for at in range(0, len(new), 10_000):
-        part = new[at : at + 10_000]
-        encoded = _tokenizer(path).encode_batch([p.decode("utf-8", "replace") for p in part], add_special_tokens=False)
-        known.update((p, np.array(e.ids, dtype=kind).tobytes()) for p, e in zip(part, encoded))
+    """Ids of whole texts as numbers of ``kind``."""
+    if (path, kind) not in _pieces:
+        _pieces[path, kind] = _Pieces(path, kind)
     tail = b"" if end is None else np.array([end], dtype=kind).tobytes()
-    return [b"".join(map(known.__getitem__, own)) + tail for own in pieces]
+    return [ids + tail for ids in _pieces[path, kind].encode([t or "" for t in texts])]
 
 
 def id_kind(path: str) -> str:
@@ -68,8 +205,8 @@ def tokenised(docs: DataFrame, path: str, kind: str, id_col: str = "doc_id", tex
 
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
                 packed = pa.array(token_ids(batch.column(1).to_pylist(), path, kind, end), pa.binary())
                 yield pa.record_batch([batch.column(0), packed], names=["doc_id", "ids"])
 
@@ -83,13 +220,18 @@ def token_documents(tokens: DataFrame, kind: str) -> tuple[np.ndarray, int]:
 
     def run(batches):
         counts, n = np.zeros(1 << 16, dtype=np.int64), 0
+        held = np.zeros(len(counts), dtype=bool)
         for batch in batches:
             n += batch.num_rows
             for raw in batch.column(0).to_pylist():
-                ids = np.unique(np.frombuffer(raw, kind))
-                if ids[-1] >= len(counts):
-                    counts = np.concatenate([counts, np.zeros(int(ids[-1]), dtype=np.int64)])
-                counts[ids] += 1
+                ids = np.frombuffer(raw, kind)
+                if kind != "<u2" and ids.max() >= len(counts):
+                    more = np.zeros(int(ids.max()), dtype=np.int64)
+                    counts, held = np.concatenate([counts, more]), np.concatenate([held, more > 0])
+                held[ids] = True
+                some = np.flatnonzero(held)
+                counts[some] += 1
+                held[some] = False
         some = np.flatnonzero(counts)
         ids = np.concatenate([some, [-1]])
         yield pa.record_batch([pa.array(ids), pa.array(np.concatenate([counts[some], [n]]))], names=["token", "n"])
