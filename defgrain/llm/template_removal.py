@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import slices, stage
 
 MIN_PAGES = 5  # a template occurs on so many pages of its host at least
 MIN_SHARE = 0.05  # and on this share of them
@@ -320,7 +320,7 @@ def main_text(
     )
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = []
             for html, hashes in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 texts.append(Page(html).main_text({h & (1 << 64) - 1 for h in hashes or ()}))
