@@ -3,8 +3,10 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
-import pytest
 import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from defgrain.llm import packing
@@ -12,8 +14,11 @@ from defgrain.llm import packing
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
+TOKENIZER = Tokenizer.from_file(PATH)
+
+
 def ids_of(text):
-    return np.array(Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids + [2], dtype="<u4")
+    return np.array(TOKENIZER.encode(text or "", add_special_tokens=False).ids + [2], dtype="<u4")
 
 
 TRICKY = [
@@ -26,6 +31,11 @@ TRICKY = [
     "x" * 3000,
     "<|endoftext|> y<|startoftext|>z",
     "a.b,c\r\n%%%$$ 12 345",
+    "'tis l'été d'ou rock'n'roll 's's ''s .'s x'",
+    "it'llama they've'd 're're'm MÖ'VE ª1º² ×÷ µß'",
+    "'",
+    "'s",
+    "x'l",
 ]
 
 
@@ -34,6 +44,13 @@ def test_ids_equal_the_tokenizer_on_whole_texts():
     assert [np.frombuffer(g, "<u2").tolist() for g in got] == [ids_of(t).tolist() for t in TRICKY]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="stmdrevlaB '.,19²é×\n\xa0Σ<|", max_size=25), max_size=4))
+def test_ids_of_any_text(texts):
+    got = packing.token_ids(texts, PATH, "<u2")
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [ids_of(t).tolist() for t in texts]
+
+
 @pytest.mark.parametrize("shard_tokens", [1_000_000, 3000])
 def test_every_id_lies_in_one_piece(spark, shard_tokens):
     rng = random.Random(5)
