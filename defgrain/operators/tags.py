@@ -93,10 +93,10 @@ def is_placeholder(doc: str | Column) -> Column:
 def is_repetitive(doc: str | Column, function_name: str | Column) -> Column:
     """The docstring says no more than the function's name."""
     text, name = F.lower(strip(doc)), F.lower(strip(function_name))
-    variants = [name] + [F.concat(name, F.lit(s)) for s in NAME_SUFFIXES]
-    same = F.replace(text, F.lit("_"), F.lit("")) == F.replace(name, F.lit("_"), F.lit(""))
-    for variant in variants:
-        same = same | (text == variant)
+    added = F.substr(text, F.char_length(name) + 1)
+    same = (F.startswith(text, name) & added.isin("", *NAME_SUFFIXES)) | (
+        F.replace(text, F.lit("_"), F.lit("")) == F.replace(name, F.lit("_"), F.lit(""))
+    )
     return is_present(function_name) & F.coalesce(same, F.lit(False))
 
 
