@@ -62,9 +62,11 @@ DROPPED_ROLES = set("navigation banner contentinfo complementary search alert di
 DROPPED_WORDS = set(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu "
     "sidebar footer breadcrumb breadcrumbs pagination pager cookie cookies consent gdpr notice popup modal overlay "
-    "comment comments commentlist disqus respond replies newsletter subscribe signup share sharing social related "
-    "recommended widget toolbar masthead skip skiplink login".split()
+    "newsletter subscribe signup share sharing social related recommended widget toolbar masthead skip skiplink login".split()
 )
+COMMENT_WORDS = set("comment comments commentlist commentform disqus respond replies".split())
+CONTENT_WORDS = set("article content entry post story main body page has no with".split())
+GUARDED, SURE = 1, 2  # how far a name counts: a guarded one never takes more than half of the text
 KEPT_TAGS = {"html", "body", "main", "article"}
 
 _TOKEN = re.compile(
@@ -83,7 +85,7 @@ class Page:
     __slots__ = ("parent", "tag", "hash", "dropped", "weak", "main", "size", "linked", "blocks", "found_main")
 
     def __init__(self, text: str):
-        self.parent, self.tag, self.hash, self.dropped, self.weak = [-1], [""], [0], [False], [False]
+        self.parent, self.tag, self.hash, self.dropped, self.weak = [-1], [""], [0], [False], [0]
         self.main, self.size, self.linked, self.blocks, self.found_main = [False], [0], [0], [], False
         self._read(text or "")
 
@@ -187,7 +189,7 @@ class Page:
     def _open(self, name: str, attributes: str, stack: list[int]) -> None:
         up = stack[-1]
         dropped = name in DROPPED_TAGS
-        weak = False
+        weak, words = 0, set()
         role = ""
         if len(attributes) > 1:
             for a in _ATTR.finditer(attributes):
@@ -198,13 +200,19 @@ class Page:
                     role = value.lower().strip()
                     dropped = dropped or role in DROPPED_ROLES
                 elif key in ("class", "id"):
-                    weak = weak or any(w.lower() in DROPPED_WORDS for w in _NAME.findall(value))
+                    words.update(w.lower() for w in _NAME.findall(value))
         inside = self.main[up]
+        if words:
+            named = words & CONTENT_WORDS
+            if words & COMMENT_WORDS:
+                weak = GUARDED if named else SURE
+            elif words & DROPPED_WORDS or ("header" in words and not inside and not named):
+                weak = GUARDED
         is_main = (name in ("article", "main") or role == "main") and not dropped and not weak
         if name == "header" and not inside and not any(self.tag[e] in ("article", "main") for e in stack):
             dropped = True
         if name in ("html", "body") or (weak and name == "main"):
-            weak = False
+            weak = 0
         self.parent.append(up)
         self.tag.append(name)
         self.hash.append(0)
@@ -237,7 +245,7 @@ class Page:
                 and self.tag[e] not in KEPT_TAGS
                 and (2 * self.linked[e] >= self.size[e] if main else self.size[e] <= half)
             )
-            named = self.weak[e] and (main or self.size[e] <= half)
+            named = self.weak[e] == SURE or (self.weak[e] == GUARDED and self.size[e] <= half)
             gone[e] = gone[self.parent[e]] or self.dropped[e] or template or named
         for wanted in (True, False):
             kept = [text for e, text in self.blocks if not gone[e] and (self.main[e] or not wanted)]

@@ -27,6 +27,14 @@ def test_named_boilerplate_goes():
     assert text(page) == "Title\nText one.\nText two."
 
 
+def test_names_of_wrappers_do_not_take_the_text():
+    long = "word " * 40
+    assert text(f"<div class='ad-free content'><p>{long}</p></div><div class='ad'>x</div>") == long.strip()
+    assert text(f"<article class='post has-comments'><p>{long}</p><div class=comments>{long}{long}</div></article>") == long.strip()
+    assert text(f"<div class='site-header'>Name</div><div class=page><div class='post-header'><h1>T</h1></div><p>{long}</p></div>") == f"T\n{long.strip()}"
+    assert text(f"<div id='comments'>{long}{long}</div><p>Short text.</p>") == "Short text."
+
+
 def test_broken_markup():
     assert text("<article><p><b>t<br><p>one</p><p>two</p></article><footer>f</footer>") == "t\none\ntwo"
     assert text("<p>a</div></span>b<p>c") == "a\nb\nc" or text("<p>a</div></span>b<p>c") == "ab\nc"
