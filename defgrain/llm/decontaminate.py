@@ -186,7 +186,9 @@ def clean(
     if remove not in ("documents", "spans"):
         raise ValueError("remove must be 'documents' or 'spans'")
     found = hits(docs, benchmark, id_col, text_col, **options).where(contaminated())
-    found = found.select(F.col("row_key").alias("_hit_key"), F.col("starts").alias("_starts"), F.col("ends").alias("_ends"))
+    # Written first: contaminated documents are few, and a table of known size is broadcast by itself.
+    spans = [] if remove == "documents" else [F.col("starts").alias("_starts"), F.col("ends").alias("_ends")]
+    found = stage(found.select(F.col("row_key").alias("_hit_key"), *spans), "contaminated")
     key = long_key(docs[id_col], docs[text_col])
     if remove == "documents":
         return docs.join(found, key == found["_hit_key"], "left_anti")
