@@ -4,8 +4,13 @@ Units are normalised (A-Z lowered, white space joined) and hashed. For each dige
 than once the earliest occurrence is found by a map-side combined minimum over doc_id; later ones
 are marked. A run of marked units that follow each other and together have at least ``min_words``
 words is a repeated passage; it is cut out, its original offsets are reported, and everything else
-stays as it was. Sentences as the finest unit find passages that were copied into an otherwise
-different line.
+stays as it was. Sentences find passages that were copied into an otherwise different line.
+
+Passages that begin or end inside a unit are found by windows of ``WINDOW`` words at places that the
+words alone choose: of each ``STEP`` windows in a row the one of least hash is grouped like a unit. A
+copied passage so has the same windows wherever it lies; they overlap and leave out at most
+``STEP - 1`` words at either end. Of 50 words in a row at least 40 are covered, and covered runs of at
+least ``min_words`` words are cut out too.
 """
 
 import re
@@ -18,7 +23,11 @@ from pyspark.sql import functions as F
 
 from .common import list_array, long_key, map_batches, signed, stage
 
-MIN_WORDS = 40  # a passage of 50 words that begins and ends inside sentences has so many in whole ones
+MIN_WORDS = 40
+WINDOW = 20
+STEP = 6
+_IS_WINDOW = 1 << 62
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _UNIT = re.compile(r"[^\n]*?(?:\n|[.!?]+[^\s\w]*[ \t]+|\Z)")
 
 
@@ -34,9 +43,27 @@ def digest(unit: str) -> tuple[int, int]:
     return xxhash.xxh3_64_intdigest(b" ".join(words)), len(words)
 
 
+def windows(text: str) -> list[tuple[int, int]]:
+    """(hash, first word) of the chosen windows, in order."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if len(words) < WINDOW + STEP - 1:
+        return []
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    n = len(words) - WINDOW + 1
+    sums = np.zeros(n, np.uint64)
+    for k in range(WINDOW):
+        sums = sums * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]
+    sums = (sums ^ (sums >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    sums ^= sums >> np.uint64(30)
+    least = np.lib.stride_tricks.sliding_window_view(sums, STEP).argmin(axis=1)
+    places = np.unique(least + np.arange(len(least)))
+    return list(zip(sums[places].tolist(), places.tolist()))
+
+
 def unit_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(digest, doc_id, row_key, unit) for the units with words. ``unit`` packs the unit's number,
-    whether its document had the digest before, and its words (up to a million)."""
+    """(digest, doc_id, row_key, unit) for the units with words and the chosen windows. ``unit`` packs
+    the unit's number, or a window's first word with a flag, whether its document had the digest
+    before, and the words (up to a million)."""
 
     def run(batch):
         digests, packed, lengths = [], [], []
@@ -49,6 +76,13 @@ def unit_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     packed.append(k << 21 | (h in seen) << 20 | min(words, (1 << 20) - 1))
                     seen.add(h)
                     n += 1
+            first = {}
+            for h, i in windows(text):
+                # A window that overlaps its first like is no copy of it.
+                again = i - first.setdefault(h, i) >= WINDOW
+                digests.append(h)
+                packed.append(_IS_WINDOW | i << 21 | again << 20 | WINDOW)
+                n += 1
             lengths.append(n)
         repeat = np.repeat(np.arange(len(lengths)), lengths)
         return pa.record_batch(
@@ -85,11 +119,11 @@ def later_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def passages(text: str, later: list[int], min_words: int) -> list[tuple[int, int]]:
-    """(start, end) of each run of later units with enough words. Units without words, such as
-    empty lines, neither end a run nor begin one."""
-    marked = {u >> 21: u & (1 << 20) - 1 for u in later}
+    """(start, end) of each run of later units, or of later windows, with enough words; runs that
+    meet are one. Units without words, such as empty lines, neither end a run nor begin one."""
+    marked = {u >> 21: u & (1 << 20) - 1 for u in later if not u & _IS_WINDOW}
     out, run, words = [], None, 0
-    for k, (a, b) in enumerate(units(text)):
+    for k, (a, b) in enumerate(units(text) if marked else ()):
         if k in marked:
             run, words = (run[0] if run else a, b), words + marked[k]
         elif run and text[a:b].strip():
@@ -98,6 +132,36 @@ def passages(text: str, later: list[int], min_words: int) -> list[tuple[int, int
             run, words = None, 0
     if run and words >= min_words:
         out.append(run)
+    return _merged(out + _covered(text, sorted((u ^ _IS_WINDOW) >> 21 for u in later if u & _IS_WINDOW), min_words))
+
+
+def _covered(text: str, starts: list[int], min_words: int) -> list[tuple[int, int]]:
+    """(start, end) of each run of words that windows from ``starts`` cover, with the blanks after it."""
+    runs = []
+    for i in starts:
+        if runs and i <= runs[-1][1]:
+            runs[-1][1] = i + WINDOW
+        else:
+            runs.append([i, i + WINDOW])
+    runs = [r for r in runs if r[1] - r[0] >= min_words]
+    if not runs:
+        return []
+    places, out = [m.span() for m in _WORD.finditer(text)], []
+    for i, j in runs:
+        end = places[j - 1][1]
+        while end < len(text) and text[end] in " \t":
+            end += 1
+        out.append((places[i][0], end))
+    return out
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
     return out
 
 

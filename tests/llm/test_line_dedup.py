@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -87,3 +88,43 @@ def test_documents(spark, rows):
 
 def test_empty_table(spark):
     assert ld.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def uncovered(rows, spans, least):
+    """Runs of ``least`` words or more that recur from an earlier document and meet no cut, word by word."""
+    seen, out = set(), []
+    for i, t in sorted(rows):
+        places = [m.span() for m in re.finditer(r"\S+", t)]
+        words = [t[a:b].lower() for a, b in places]
+        grams = [tuple(words[k : k + least]) for k in range(len(words) - least + 1)]
+        out += [(i, k) for k, g in enumerate(grams) if g in seen and not any(a < places[k + least - 1][1] and places[k][0] < b for a, b in spans[i])]
+        seen |= set(grams)
+    return out
+
+
+def test_passages_anywhere(spark):
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(10**6)}" + rng.choice(["", "", "", "", ",", ".", ".\n"])
+    plain = lambda n: [f"q{rng.randrange(10**6)}" for _ in range(n)]
+    shared = [[word() for _ in range(n)] for n in (50, 55, 70, 96)] + [plain(50), plain(64)]
+    shared += [" ".join(" ".join(plain(17)) + "." for _ in range(3)).split(" "), plain(19)]
+    rows = []
+    for i in range(60):
+        parts = [" ".join(word() for _ in range(rng.randrange(3, 60))) for _ in range(3)]
+        parts.insert(rng.randrange(4), " ".join(shared[i % len(shared)]))
+        rows.append((i, " ".join(parts)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    spans = {r["doc_id"]: [tuple(s) for s in r["removed"]] for r in ld.dedup(df).collect()}
+    assert uncovered(rows, {i: [] for i, _ in rows}, 50) and not uncovered(rows, spans, 50)
+    for i, t in rows:
+        own = shared[i % len(shared)]
+        if i < len(shared) or len(own) < 40:
+            assert not spans[i]
+        else:
+            (a, b), text = spans[i][0], " ".join(own)
+            assert len(spans[i]) == 1 and len(t[a:b].split()) >= 40 and t[a:b].strip() in text
+
+
+def test_a_word_said_a_hundred_times_keeps_its_first_window(spark):
+    df = spark.createDataFrame([(1, "spam " * 100)], "doc_id long, text string")
+    assert ld.WINDOW <= len(ld.dedup(df).first()["text"].split()) < ld.WINDOW + ld.STEP
