@@ -65,10 +65,20 @@ def best(query_ids, queries, ids, vectors, codes, c, k: int = K):
             own = query_ids[at + j]
             upper = estimates[j] + slack * np.linalg.norm(q)
             upper[ids == own] = -np.inf
-            # The exact scores of the likeliest rows give a threshold that is met, not estimated.
-            first = np.argpartition(-upper, min(4 * k, len(upper) - 1))[: 4 * k]
-            sure = np.sort(vectors[first[upper[first] > -np.inf]] @ q)[::-1]
-            floor = sure[k - 1] if len(sure) >= k else -np.inf
+            # The exact scores of the likeliest rows, of as many as hold k ids, give a threshold that
+            # is met, not estimated.
+            floor, m = -np.inf, 4 * k
+            while True:
+                first = np.argpartition(-upper, m)[:m] if m < len(upper) else np.arange(len(upper))
+                first = first[upper[first] > -np.inf]
+                scores = vectors[first] @ q
+                order = np.lexsort((-scores, ids[first]))
+                _, heads = np.unique(ids[first][order], return_index=True)
+                if len(heads) >= k:
+                    floor = np.sort(scores[order][heads])[-k]
+                if len(heads) >= k or m >= len(upper):
+                    break
+                m *= 4
             near = np.flatnonzero((upper >= floor) & (upper > -np.inf))
             exact = vectors[near] @ q
             order = np.lexsort((ids[near], -exact))

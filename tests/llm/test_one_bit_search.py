@@ -76,3 +76,15 @@ def test_bounds_hold():
     estimate = signs @ (turn @ q) / np.sqrt(bits) / c * norms
     slack = norms * np.linalg.norm(q) * np.sqrt(1 - c * c) / c * s.EPSILON / np.sqrt(bits - 1)
     assert (np.abs(estimate - x @ q) <= slack).mean() > 0.99
+
+
+def test_an_id_in_a_third_of_the_rows(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((900, 16)).astype(np.float32)
+    hot = x[0] * 2
+    rows = list(enumerate(x[:600].tolist())) + [(777, (hot + 0.01 * rng.standard_normal(16).astype(np.float32)).tolist()) for _ in range(300)]
+    got, want = search(spark, rows), slow(rows, 20)
+    assert set(got) == set(want) and all(len(best) == 20 for best in got.values())
+    assert [v for v, _ in got[0]] == [v for v, _ in want[0]]
+    hits = sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want)
+    assert hits / sum(map(len, want.values())) > 0.99
