@@ -26,7 +26,7 @@ HITS = "item_ids array<long>, starts array<long>, ends array<long>"
 
 
 def item_windows(benchmark: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(window, n, item_id) of each item; items without words have none."""
+    """(window, n, item_id) of each item, with or without id; items without words have none."""
 
     def run(batch):
         rows = []
@@ -39,7 +39,7 @@ def item_windows(benchmark: DataFrame, id_col: str, text_col: str, width: int) -
         kinds = (pa.binary(), pa.int32(), pa.int64())
         return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["window", "n", "item_id"])
 
-    source = benchmark.select(F.col(id_col).cast("long").alias("item_id"), text_col).where(F.col(id_col).isNotNull())
+    source = benchmark.select(F.col(id_col).cast("long").alias("item_id"), text_col)
     return map_batches(source, run, "window binary, n int, item_id long")
 
 
@@ -112,7 +112,8 @@ def hits(
     """(doc_id, row_key, n_words, item_ids, starts, ends): items that occur, and the hit words as
     disjoint spans.
 
-    Null texts have no words; null item_ids take no part. Repeated rows are scanned alike, and other
+    Null texts have no words. Words of an item without item_id are hit like any, but no id is listed for
+    it. Repeated rows are scanned alike, and other
     columns ignored; an empty benchmark hits nothing."""
     windows = item_windows(benchmark, item_col, item_text_col, width)
     known = stage(windows.groupBy("n", "window").agg(F.sort_array(F.collect_set("item_id")).alias("items")), "windows")

@@ -77,3 +77,13 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert d.report(df, none).first()["contaminated"] is False
     assert d.report(df.where("false"), none).count() == 0
+
+
+@pytest.mark.parametrize("max_part", [500_000, 1])
+def test_words_of_an_item_without_id_are_hit(spark, max_part):
+    bench = spark.createDataFrame([(None, "some secret question here"), (1, "another one")], "item_id long, text string")
+    df = spark.createDataFrame([(1, "x some secret question here"), (2, "nothing"), (3, "another one")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in d.report(df, bench, max_part=max_part).collect()}
+    assert [(got[i]["n_hit"], got[i]["n_items"], got[i]["contaminated"]) for i in (1, 2, 3)] == [(4, 0, True), (0, 0, False), (2, 1, True)]
+    assert got[1]["items_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert sorted(r["doc_id"] for r in d.clean(df, bench, max_part=max_part).collect()) == [2]
