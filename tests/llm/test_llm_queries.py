@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_all_are_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in CATALOG)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(CATALOG) | {"pipeline"} <= set(entry.queries())
 
 

@@ -1,0 +1,97 @@
+import hashlib
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from defgrain.llm import suffix_dedup as sd
+
+
+def brute_force(texts):
+    """(n_removed, spans, kept) per text from a count of all 200-byte strings."""
+    raw = [(t or "").encode() for t in texts]
+    seen = Counter(r[i : i + 200] for r in raw for i in range(len(r) - 199))
+    out = []
+    for r in raw:
+        gone = bytearray(len(r))
+        for i in range(len(r) - 199):
+            if seen[r[i : i + 200]] > 1:
+                gone[i : i + 200] = b"\1" * 200
+        edges = [i for i in range(len(r) + 1) if (i < len(r) and gone[i]) != (i > 0 and bool(gone[i - 1]))]
+        out.append((list(zip(edges[::2], edges[1::2])), bytes(b for b, g in zip(r, gone) if not g)))
+    return out
+
+
+def text(rng, n):
+    return "".join(rng.choice("abcdefgh äß漢") for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(5)
+    shared = [text(rng, n) for n in (190, 200, 201, 260, 340, 900, 3000)]
+    out = [None, "", "x", "a" * 199, "b" * 200, "c" * 201, "d" * 5000, "ef" * 600]
+    for _ in range(60):
+        parts = [text(rng, rng.randrange(0, 300))]
+        for _ in range(rng.randrange(0, 3)):
+            s = rng.choice(shared)
+            a = rng.randrange(0, len(s) // 2)
+            parts += [s[a : a + rng.randrange(150, 1500)], text(rng, rng.randrange(0, 250))]
+        out.append("".join(parts))
+    long = text(rng, 30_000)
+    out += [long, long[:17_000] + "#" + long[17_001:], out[10], out[10], shared[-1], shared[-1][1:]]
+    return out
+
+
+def test_cover_holds_every_difference():
+    assert {(a - b) % sd.PERIOD for a in sd.COVER for b in sd.COVER} == set(range(sd.PERIOD))
+    assert sd.SHORT >= 8 and sd.PERIOD - 1 + sd.SHORT == sd.LENGTH
+    assert sd.REACH + sd.SHORT == 2 * sd.REACH + 2 == sd.LENGTH - sd.REACH
+
+
+@pytest.mark.parametrize("block", [2000, 1 << 20])
+def test_equals_brute_force(spark, texts, block, monkeypatch):
+    monkeypatch.setattr(sd, "BLOCK", block)
+    monkeypatch.setattr(sd, "MIN_BUCKETS", 7)
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, block string").repartition(3)
+    got = {r["doc_id"]: r for r in sd.remove_repeats(df).collect()}
+    assert len(got) == len(texts)
+    some = 0
+    for i, (spans, kept) in enumerate(brute_force(texts)):
+        assert [tuple(s) for s in got[i]["removed"]] == spans
+        assert bytes(got[i]["kept"]) == kept
+        assert got[i]["n_bytes"] == len((texts[i] or "").encode())
+        some += bool(spans)
+    assert 20 < some < len(texts)
+
+
+def test_every_alignment_of_one_string(spark):
+    """The same 200 bytes at every pair of residues, and 199 bytes that must stay."""
+    rng = random.Random(1)
+    same, less = text(rng, 400).encode()[:200].decode("utf-8", "ignore"), "q" + "".join(rng.choice("rstuv") for _ in range(198))
+    same = same + "z" * (200 - len(same.encode()))
+    rows = [(i, "".join(rng.choice("ABCDEFG") for _ in range(i)) + same + "." * (i % 7)) for i in range(sd.PERIOD)]
+    rows += [(1000 + i, "".join(rng.choice("HIJKLMN") for _ in range(i)) + less + "OP"[i]) for i in range(2)]
+    got = {r["doc_id"]: r for r in sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (spans, kept) in zip([r[0] for r in rows], brute_force([r[1] for r in rows])):
+        assert [tuple(s) for s in got[i]["removed"]] == spans
+        assert bool(spans) == (i < 1000)
+
+
+def test_odd_rows(spark):
+    schema = "doc_id long, text string"
+    assert sd.report(spark.createDataFrame([], schema)).count() == 0
+    same = "".join(random.Random(2).choice("klmno") for _ in range(250))
+    rows = spark.createDataFrame([(None, same), (1, same), (1, same), (2, None), (3, "")], schema)
+    got = sorted(sd.report(rows).collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
+    assert [(r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got] == [(250, 250, 1)] * 3 + [(0, 0, 0)] * 2
+    assert {r["kept_sha256"] for r in got} == {hashlib.sha256(b"").hexdigest()}
+
+
+def test_names_tell_places_apart():
+    data = np.random.default_rng(0).integers(97, 101, 5000, np.uint8).tobytes()
+    at = np.arange(4000)
+    for n in (8, 13, 68, 200):
+        own = sd.names(data, at, n).tolist()
+        assert len(set(own)) == len({data[i : i + n] for i in range(4000)})
