@@ -1,6 +1,8 @@
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from defgrain.llm import near_copies, simhash
 
@@ -68,3 +70,77 @@ def test_copies_beyond_the_radius_of_op2_go(spark):
     assert any(far) and all(similar(a[1], b[1]) for a, b in zip(docs[::2], docs[1::2]))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in one_of_each_group(spark, df, "").collect()) == list(range(0, 40, 2))
+
+
+def group(rng, n, words, share):
+    """Documents of one base in which every one has ``share`` of its words changed, apart from others."""
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    out = []
+    for i in range(n):
+        own = list(base)
+        for at in rng.sample(range(words), round(share * words)):
+            own[at] = f"x{i}y{at}"
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize("share, similarity", [(0.008, 0.86), (0.018, 0.74)])
+def test_rows_are_linear_in_a_group(spark, share, similarity, monkeypatch):
+    """2000 documents of one mutual similarity, above or below the limit."""
+    monkeypatch.setattr(near_copies, "CELL_ROWS", 700)
+    texts = group(random.Random(1), 2000, 250, share)
+    own = [near_copies.shingles(t) for t in texts[:40]]
+    seen = [len(np.intersect1d(a, b)) / len(np.union1d(a, b)) for a in own for b in own if a is not b]
+    assert abs(np.mean(seen) - similarity) < 0.03
+    made = []
+    links = near_copies._links
+    monkeypatch.setattr(near_copies, "_links", lambda groups, kind: made.append(links(groups, kind)) or made[-1])
+    got = near_copies.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count()
+    assert all(m.count() < 40 * len(texts) for m in made) and len(made) == 2
+    index = near_copies.Sets([near_copies.shingles(t).tobytes() for t in texts])
+    links = near_copies.forest(index, np.zeros(len(texts), bool))
+    assert got == len(texts) - len(links)
+    assert (got == 1) == (similarity > 0.8)
+
+
+def test_forest_connects_what_is_near():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 9, 40):
+        sets = [np.unique(rng.integers(0, 12, rng.integers(0, 9))).astype(np.uint64) for _ in range(n)]
+        main = rng.random(n) < 0.3
+        rows = near_copies.Sets([x.tobytes() for x in sets])
+        near = [[bool(10 * len(np.intersect1d(a, b)) >= 8 * len(np.union1d(a, b))) for b in sets] for a in sets]
+        assert [rows.near(i, np.arange(n)).tolist() for i in range(n)] == near
+        edges = [(i, j) for i in range(n) for j in range(n) if near[i][j]]
+
+        def parts(links):
+            part = list(range(n))
+            for i, j in [*zip(np.flatnonzero(main)[:-1].tolist(), np.flatnonzero(main)[1:].tolist()), *links]:
+                part = [part[i] if p == part[j] else p for p in part]
+            return {frozenset(k for k in range(n) if part[k] == p) for p in part}
+
+        found = near_copies.forest(rows, main)
+        assert all(near[i][j] for i, j in found) and len(found) < n
+        assert parts(found) == parts(edges)
+
+
+def test_cells_bring_all_others_together(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "CELL_ROWS", 3)
+    rows = [(k, k * 100 + i, 0, b"x", i == 0 or (k == 1 and i % 2 == 0)) for k in (1, 2) for i in range(20)]
+    met = spark.createDataFrame(rows, "key long, fp long, lead long, data binary, main boolean")
+    cells = near_copies._cells(met).groupBy("cell").agg(F.collect_list("fp").alias("fps")).collect()
+    main = {r[1]: r[4] for r in rows}
+    pairs = {(a, b) for c in cells for a in c["fps"] for b in c["fps"]}
+    for a in main:
+        for b in main:
+            if a // 100 == b // 100 and not (main[a] and main[b]) and a != b:
+                assert (a, b) in pairs
+    assert max(len(c["fps"]) for c in cells) < 20
+
+
+def test_long_and_clashing(spark):
+    rng = random.Random(2)
+    long = " ".join(str(rng.randrange(10**7)) for _ in range(120_000))
+    rows = [(1, long, 1, 1, 1), (2, long + " more", 2, 2, 2), (3, "a b c d e f", 3, 3, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp long, key long, data int")
+    assert sorted(r["doc_id"] for r in near_copies.keep_one(df).collect()) == [1, 3]
