@@ -316,11 +316,40 @@ def _runs(spark, sf_dir):
 
 
 def round_lineage(spark, sf_dir):
-    return rp.round_lineage(_runs(spark, sf_dir))
+    return rp.round_lineage(_runs(spark, sf_dir).drop("root_run_id")).drop("cyclic")
+
+
+# Customers as runs: chains of up to a hundred, every ninth with a recorded round; a loop of three of
+# which others hang.
+CHAINS = [
+    "c_custkey AS run_id",
+    "CASE WHEN c_custkey % 1000 = 500 THEN c_custkey + 2 WHEN c_custkey % 100 <> 0 THEN c_custkey - 1 END AS parent_run_id",
+    "CASE WHEN c_custkey % 9 = 4 AND c_custkey % 1000 < 500 THEN c_custkey % 7 END AS round",
+]
+
+
+def lineage_of_new_runs(spark, sf_dir):
+    return rp.round_lineage(table(spark, sf_dir, "customer").selectExpr(*CHAINS))
+
+
+CHAINS_SQL = f"""WITH RECURSIVE r AS (SELECT {", ".join(CHAINS)} FROM customer),
+  up AS (SELECT run_id, parent_run_id, parent_run_id AS up, 1 AS hops FROM r WHERE parent_run_id IS NOT NULL
+         UNION ALL
+         SELECT up.run_id, up.parent_run_id, r.parent_run_id, hops + 1 FROM up JOIN r ON r.run_id = up.up
+         WHERE r.parent_run_id IS NOT NULL AND hops < 200),
+  tops AS (SELECT run_id, max(hops) AS hops, arg_max(up, hops) AS top FROM up GROUP BY run_id),
+  near AS (SELECT up.run_id, min(hops) AS off, arg_min(r.round, hops) AS base FROM up JOIN r ON r.run_id = up.up
+           WHERE r.round IS NOT NULL GROUP BY up.run_id)
+  SELECT r.run_id, r.parent_run_id, CASE WHEN hops IS NULL THEN r.run_id WHEN hops < 200 THEN top END AS root_run_id,
+    CAST(CASE WHEN hops IS NULL THEN 0 WHEN base IS NOT NULL THEN base + off WHEN hops < 200 THEN hops END AS INTEGER) AS round,
+    coalesce(hops >= 200, FALSE) AS cyclic
+  FROM r LEFT JOIN tops USING (run_id) LEFT JOIN near USING (run_id)"""
 
 
 def round_trend(spark, sf_dir):
-    return rp.round_trend(_runs(spark, sf_dir), "retain_rate")
+    runs = _runs(spark, sf_dir)
+    lineage = rp.round_lineage(runs.drop("root_run_id")).select(RUN, "root_run_id", "round")
+    return rp.round_trend(runs.select(RUN, "retain_rate").join(lineage, RUN), "retain_rate")
 
 
 def latest_progress(spark, sf_dir):
@@ -566,8 +595,9 @@ CATALOG = {
     "round_lineage": (
         round_lineage,
         f"""SELECT DISTINCT source AS run_id, CASE WHEN n % 4 <> 0 THEN 'src' || (n - 1) END AS parent_run_id,
-          CAST(n % 4 AS INTEGER) AS round FROM (SELECT source, CAST(substr(source, 4) AS INT) AS n FROM documents)""",
+          'src' || (n - n % 4) AS root_run_id, CAST(n % 4 AS INTEGER) AS round FROM (SELECT source, CAST(substr(source, 4) AS INT) AS n FROM documents)""",
     ),
+    "lineage_of_new_runs": (lineage_of_new_runs, CHAINS_SQL),
     "round_trend": (
         round_trend,
         corpus_metrics_sql(

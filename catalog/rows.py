@@ -9,10 +9,11 @@ from defgrain.functions import numbers, text
 from defgrain.operators import augment as aug
 from defgrain.operators import dedup as dd
 from defgrain.operators import extract as ex
+from defgrain.operators import kept_index
 from defgrain.operators import pairs as pr
 from defgrain.operators import tags as tg
 from defgrain.operators.normalize import normalize_samples
-from defgrain.sources.staging import stage
+from defgrain.sources.staging import new_folder, stage
 
 from .common import (
     CODE_DOC,
@@ -264,6 +265,18 @@ def dedup_samples(spark, sf_dir):
     return tagged.select(F.col("_row_id").alias("id"), "drop_reason")
 
 
+def dedup_loads(spark, sf_dir):
+    """The same rows in three loads against a stored index."""
+    rows = stage(_parsed_copies(spark, sf_dir), "rows")
+    root, last = new_folder(spark, "kept"), rows.agg(F.max("_row_id")).first()[0] or 0
+    tagged = []
+    for k in range(3):
+        part = rows.where((F.col("_row_id") > last * k // 3 - (k == 0)) & (F.col("_row_id") <= last * (k + 1) // 3))
+        tagged.append(stage(kept_index.tag_load(part, CODE, root, f"load{k}", stage), "tagged"))
+    whole = tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
+    return whole.select(F.col("_row_id").alias("id"), "drop_reason")
+
+
 def dedup_counts(spark, sf_dir):
     return dd.dedup_counts(dd.tag_duplicates(_parsed_copies(spark, sf_dir), CODE))
 
@@ -479,6 +492,7 @@ CATALOG = {
         f"SELECT id, code FROM ({COPIES_SRC}) QUALIFY row_number() OVER (PARTITION BY tree ORDER BY id) = 1",
     ),
     "dedup_samples": (dedup_samples, COPIES_TAGGED),
+    "dedup_loads": (dedup_loads, COPIES_TAGGED),
     "dedup_counts": (
         dedup_counts,
         f"""SELECT count(drop_reason) AS dedup_removed_count,

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..config import as_list
 from ..functions.numbers import exact_round
+from ..sources.staging import stage
 
 Names = list[str] | str
 
@@ -317,13 +318,58 @@ def compare_panel(before: DataFrame, after: DataFrame, by: Names = ()) -> DataFr
 
 
 def round_lineage(runs: DataFrame) -> DataFrame:
-    """Round of each run from its parent's recorded round: a first run is 0, a child follows
-    its parent. ``runs`` has run_id, parent_run_id and round (the recorded value, may be NULL
-    for new runs)."""
-    parents = runs.select(F.col("run_id").alias("parent_run_id"), F.col("round").alias("parent_round"))
-    linked = runs.drop("round").join(parents, "parent_run_id", "left")
-    derived = F.when(F.col("parent_run_id").isNull(), 0).otherwise(F.coalesce("parent_round", F.lit(0)) + 1)
-    return linked.select("run_id", "parent_run_id", derived.cast("int").alias("round"))
+    """run_id, parent_run_id, root_run_id, round and cyclic of each run. A run without parent is a root
+    and round 0; a child's round is its parent's plus one, the parent's being its recorded ``round`` or,
+    where that is NULL, derived in turn, so chains of new runs of any depth come out right. A parent
+    that is not in the table counts as a root. Runs on a cycle, or below one, are flagged and have
+    neither root nor round, unless a recorded round stands between.
+
+    ``runs`` has run_id (unique), parent_run_id and round. Pointer doubling: in step k a run knows its
+    ancestor 2^k above and the nearest recorded round up to there, and asks that ancestor for the same,
+    so a chain of a million runs takes twenty narrow joins. Every step is a written table."""
+    parents = runs.select(F.col("run_id").alias("at"), F.col("round").alias("known"), F.col("parent_run_id").alias("above"))
+    first = runs.where(F.col("parent_run_id").isNotNull()).select("run_id", "parent_run_id").join(
+        parents, F.col("parent_run_id") == F.col("at"), "left"
+    )
+    # up: the ancestor reached; hops: steps to it; base, off: nearest recorded round and steps to it;
+    # more: whether the ancestor has a parent.
+    state = stage(
+        first.select(
+            "run_id",
+            "parent_run_id",
+            F.col("parent_run_id").alias("up"),
+            F.lit(1).cast("long").alias("hops"),
+            F.col("known").cast("long").alias("base"),
+            F.when(F.col("known").isNotNull(), F.lit(1)).cast("long").alias("off"),
+            F.col("above").isNotNull().alias("more"),
+        ),
+        "lineage",
+    )
+    total, reach = state.count(), 1
+    while reach <= total and not state.where("more").isEmpty():
+        next_hop = state.select(
+            F.col("run_id").alias("n_id"), *[F.col(c).alias(f"n_{c}") for c in ("up", "hops", "base", "off", "more")]
+        )
+        met = state.where("more").join(next_hop, F.col("up") == F.col("n_id"))
+        moved = met.select(
+            "run_id",
+            "parent_run_id",
+            F.col("n_up").alias("up"),
+            (F.col("hops") + F.col("n_hops")).alias("hops"),
+            F.coalesce("base", "n_base").alias("base"),
+            F.coalesce("off", F.col("hops") + F.col("n_off")).alias("off"),
+            F.col("n_more").alias("more"),
+        )
+        # Finished runs stay, as others may point to them.
+        state = stage(moved.unionByName(state.where("not more")), "lineage")
+        reach *= 2
+    cyclic = F.col("more")
+    known = F.when(F.col("base").isNotNull(), F.col("base") + F.col("off")).when(~cyclic, F.col("hops"))
+    below = state.select("run_id", "parent_run_id", F.when(~cyclic, F.col("up")).alias("root_run_id"), known.cast("int").alias("round"), cyclic.alias("cyclic"))
+    roots = runs.where(F.col("parent_run_id").isNull()).select(
+        "run_id", "parent_run_id", F.col("run_id").alias("root_run_id"), F.lit(0).alias("round"), F.lit(False).alias("cyclic")
+    )
+    return below.unionByName(roots)
 
 
 def round_trend(runs: DataFrame, metric: str, root: str = "root_run_id") -> DataFrame:

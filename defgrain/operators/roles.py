@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from ..config import INTERNAL, ROW_ID, ColumnRoles, PrepOptions, as_list
 from ..functions.numbers import safe_ratio
 from ..functions.text import char_length, is_blank, is_present, looks_like_functions, strip
+from ..sources.readers import first_rows
 
 # Known column names per role, in order of preference.
 ROLE_NAMES = {
@@ -140,10 +141,9 @@ def role_decision(candidates: DataFrame, roles: ColumnRoles | None = None) -> Da
 
 
 def sample_head(df: DataFrame, n: int = SAMPLE_ROWS, key: str = ROW_ID) -> DataFrame:
-    """The first rows in key order. The key column alone is searched for the ``n`` least keys; the
-    rows are then fetched by a broadcast of these, at most ``n``."""
-    first = df.select(F.col(key).alias("_first")).orderBy("_first").limit(n)
-    return df.join(F.broadcast(first.distinct()), F.col(key) == F.col("_first"), "left_semi").orderBy(key).limit(n)
+    """The first rows in key order: the narrow key is searched for the n-th least, and a filter up to
+    it is pushed into the wide scan."""
+    return first_rows(df, n, key)
 
 
 preview = sample_head

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import CORRUPT, ROW_ID
+from . import split_csv
 
 
 def with_row_id(df: DataFrame, key: str | Column | None = None) -> DataFrame:
@@ -69,12 +70,15 @@ def read_csv(
     key: str | None = None,
     columns: list[str] | None = None,
     multi_line: bool = True,
+    whole_files: bool = False,
 ) -> DataFrame:
-    """CSV with a header, every column a string. Quoted cells may span lines, for which **each file is
-    one task**, however large: cut large inputs into many files, or pass ``multi_line=False`` for a
-    corpus whose cells never span lines, so that files can be split. Empty
-    unquoted cells and the missing cells of short rows are NULL, which every rule treats like
-    the empty string. In a file with CRLF records, line ends inside cells become LF."""
+    """CSV with a header, every column a string. Quoted cells may span lines; files are split all the
+    same, by ``split_csv``, at the price of a first pass that counts quotes. That takes quotes to stand
+    at both ends of a cell and doubled inside it; files with stray quotes need ``whole_files=True``,
+    by which each file is one task, however large. ``multi_line=False`` spares the first pass where
+    cells never span lines. Empty unquoted cells and the missing cells of short rows are NULL, which
+    every rule treats like the empty string. In a file with CRLF records, line ends inside cells
+    become LF."""
     reader = (
         spark.read.option("header", True)
         .option("multiLine", multi_line)
@@ -85,6 +89,9 @@ def read_csv(
     if columns:
         reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
     df = reader.csv(path)
+    if multi_line and not whole_files:
+        rows = split_csv.read(spark, path, df.schema)
+        return with_row_id(rows.drop(ROW_ID), key) if key else rows
     return with_row_id(df, key) if key else _with_text_position(df)
 
 
@@ -97,13 +104,35 @@ def spread(df: DataFrame, key: str = ROW_ID) -> DataFrame:
 
 
 def read_head(spark: SparkSession, path: str, n: int, key: str | None = None) -> DataFrame:
-    """First ``n`` rows of a Parquet data set in file order, or in the order of ``key``. The places of
-    the first rows are found without reading any column, in one job; then only the files that hold
-    them, at most ``n``, are opened."""
+    """First ``n`` rows of a Parquet data set in file order, or in the order of ``key``. In file order
+    the row counts in the footers of the first files tell which hold them; at most ``n`` files with
+    rows are opened, and of these row indexes from ``n`` on are filtered in the scan."""
     if key is not None:
-        return read_parquet(spark, path, key).orderBy(ROW_ID).limit(n)
-    places = read_parquet(spark, path).select(ROW_ID).orderBy(ROW_ID).limit(n)
-    files = [r["file"] for r in places.select(F.col(f"{ROW_ID}.file").alias("file")).distinct().collect()]
-    if not files:
+        return first_rows(read_parquet(spark, path, key), n, ROW_ID)
+    files = sorted(spark.read.parquet(path).inputFiles(), key=str.encode)
+    seen, rows, step, holding = 0, 0, 8, []
+    while seen < len(files) and rows < n:
+        counts = spark.read.parquet(*files[seen : seen + step]).groupBy("_metadata.file_path").count()
+        for name, count in sorted(map(tuple, counts.collect()), key=lambda r: r[0].encode()):
+            if rows < n:
+                holding.append(name)
+                rows += count
+        seen, step = seen + step, 2 * step
+    if not holding:
         return read_parquet(spark, path).limit(0)
-    return read_parquet(spark, files).orderBy(ROW_ID).limit(n)
+    return read_parquet(spark, holding).where(F.col("_metadata.row_index") < n).orderBy(ROW_ID).limit(n)
+
+
+def first_rows(df: DataFrame, n: int, key: str) -> DataFrame:
+    """The first ``n`` rows in the order of ``key``. The narrow key is searched for its n-th least value
+    first; rows up to it are then filtered by a literal, which reaches the scan, so that row groups
+    whose statistics lie beyond it are not read. Keys that are structs are compared by a broadcast of
+    the ``n`` least."""
+    least = df.select(F.col(key).alias("_key")).orderBy("_key").limit(n)
+    if isinstance(df.schema[key].dataType, (T.StructType, T.ArrayType, T.MapType)):
+        return df.join(F.broadcast(least.distinct()), F.col(key) == F.col("_key"), "left_semi").orderBy(key).limit(n)
+    found = least.agg(F.max("_key").alias("last"), F.count("_key").alias("known"), F.count(F.lit(1)).alias("n")).first()
+    upto = F.lit(False) if found["last"] is None else F.col(key) <= F.lit(found["last"])
+    if found["known"] < found["n"]:  # null keys come first
+        upto = upto | F.col(key).isNull()
+    return df.where(upto).orderBy(key).limit(n)

@@ -161,10 +161,41 @@ def test_lineage_and_trend(spark):
     )
     rounds = rp.round_lineage(runs)
     assert {r.run_id: r["round"] for r in rounds.collect()} == {"a": 0, "b": 1, "c": 2, "d": 0}
-    trend = rp.round_trend(runs.drop("round").join(rounds.drop("parent_run_id"), "run_id"), "retain_rate")
+    trend = rp.round_trend(runs.select("run_id", "retain_rate").join(rounds, "run_id"), "retain_rate")
     assert {r.run_id: r.change for r in trend.collect()} == {"a": None, "b": 0.25, "c": -0.5, "d": None}
 
 
+def slow_lineage(rows):
+    parent, recorded = {r: p for r, p, _ in rows}, {r: n for r, _, n in rows}
+    out = {}
+    for run in parent:
+        at, hops, base, seen = run, 0, None, set()
+        while parent.get(at) is not None and at not in seen:
+            seen.add(at)
+            at, hops = parent[at], hops + 1
+            if base is None and recorded.get(at) is not None:
+                base = recorded[at] + hops
+        loop = parent.get(at) is not None
+        depth = None if loop else hops
+        out[run] = (None if loop else at, 0 if hops == 0 else depth if base is None else base, loop)
+    return out
+
+
+def test_lineage_of_any_shape(spark):
+    """A long chain, a star, recorded rounds in between, unknown parents, loops and what hangs below."""
+    rows = [(i, i - 1 if i else None, None) for i in range(300)]
+    rows += [(1000 + i, 0 if i % 2 else 299, 7 if i % 5 == 0 else None) for i in range(40)]
+    rows += [(2000 + i, 1000 + i, None) for i in range(40)]
+    rows += [(3000, 9999, None), (3001, 3000, None)]
+    rows += [(4000, 4002, None), (4001, 4000, 5), (4002, 4001, None), (4003, 4002, None), (4010, 4010, None), (4011, 4010, None)]
+    got = {}
+    for r in rp.round_lineage(spark.createDataFrame(rows, "run_id long, parent_run_id long, round int")).collect():
+        assert r["run_id"] not in got
+        got[r["run_id"]] = (r["root_run_id"], r["round"], r["cyclic"])
+    assert got == slow_lineage(rows)
+    assert rp.round_lineage(spark.createDataFrame([], "run_id long, parent_run_id long, round int")).count() == 0
+
+
 def test_progress(spark):
     steps = spark.range(12).select(rp.stage_progress(F.col("id"), F.lit(11)).alias("p"))
     assert [r.p for r in steps.collect()] == [10 + int(i / 11 * 85) for i in range(12)]

@@ -147,7 +147,21 @@ def test_samples_search_the_keys_alone(spark, tmp_path):
     head = rl.sample_head(df, 50)
     assert [r._row_id for r in head.collect()] == list(range(50))
     scans = [line for line in head._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in line]
-    assert any("ReadSchema: struct<_row_id:bigint>" in s for s in scans) and "BroadcastHashJoin" in head._jdf.queryExecution().executedPlan().toString()
+    assert len(scans) == 1 and "LessThanOrEqual(_row_id,49)" in scans[0]
+    # The filter follows from the n-th least key, which a scan of the key alone has found.
+    wide = rl.sample_head(df.withColumn("more", rl.F.upper("code")), 50)
+    assert "LessThanOrEqual(_row_id,49)" in wide._jdf.queryExecution().executedPlan().toString()
+
+
+def test_samples_under_odd_keys(spark):
+    rows = spark.createDataFrame([(None, "n"), (5, "b"), (3, "a"), (9, "c")], "k int, code string")
+    assert [r.code for r in rl.sample_head(rows, 2, "k").collect()] == ["n", "a"]
+    assert [r.code for r in rl.sample_head(rows, 9, "k").collect()] == ["n", "a", "b", "c"]
+    assert rl.sample_head(rows.where("k is null"), 2, "k").count() == 1
+    assert rl.sample_head(rows.where("false"), 2, "k").count() == 0
+    text = rows.selectExpr("struct(k, code) as s", "cast(k as string) as t", "code")
+    assert [r.code for r in rl.sample_head(text, 3, "s").collect()] == ["n", "a", "b"]
+    assert [r.code for r in rl.sample_head(text, 3, "t").collect()] == ["n", "a", "b"]
 
 
 def test_samples_with_equal_keys_are_cut(spark):

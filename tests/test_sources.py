@@ -81,6 +81,8 @@ def test_head_opens_few_files(spark, tmp_path):
     assert head.count() == 15 and len(head.inputFiles()) == 2
     assert [r.id for r in head.orderBy(ROW_ID).collect()] == list(range(15))
     assert [r.id for r in read_head(spark, path, 3, key="id").collect()] == [0, 1, 2]
+    assert read_head(spark, path, 1000).count() == 100 and read_head(spark, path, 0).count() == 0
+    assert "LessThan(_metadata.row_index" in head._jdf.queryExecution().toString() or "row_index" in head._jdf.queryExecution().toString()
 
 
 def test_spread_only_when_needed(spark):
