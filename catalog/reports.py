@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from defgrain.config import ColumnRoles, PrepOptions
+from defgrain.operators import kept_index
 from defgrain.operators import metrics as met
+from defgrain.operators import partial_metrics as parts
 from defgrain.operators import report as rp
 from defgrain.operators.extract import extract_functions
 from defgrain.operators.normalize import normalize_samples
-from defgrain.plans.prepare import prepare, refine
+from defgrain.plans.prepare import prepare, refine, tag_rows
 from defgrain.sources import runs
-from defgrain.sources.staging import new_folder
+from defgrain.sources.staging import new_folder, stage
 from defgrain.streaming import stages as st
+from defgrain.streaming import stateful
 
 from .common import (
     CODE_DOC,
@@ -395,6 +398,34 @@ def stream_dedup(spark, sf_dir):
     return _drain(spark, unique, "append").select("code")
 
 
+def stream_live_progress(spark, sf_dir):
+    """As above with state that expires; all events are within the delay."""
+    events = _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    live = stateful.stream_live_progress(events, "user_id", "ts", "event_id", ["event_type", "value"], "3650 days", "3650 days")
+    last = rp.latest_progress(_drain(spark, live, "update"), "user_id", ["ts", "event_id"], ["event_type", "value"])
+    return last.select("user_id", "event_id", "event_type", "value")
+
+
+def stream_first_copies(spark, sf_dir):
+    """The event that comes first by id for each text, whatever order they arrive in."""
+    events = _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    text = F.concat_ws("|", "user_id", "event_type", "props")
+    updates = stateful.stream_first_copies(events.withColumn("code", text), "code", "event_id", "ts", "3650 days")
+    return stateful.last_updates(_drain(spark, updates, "update"), "first_key")
+
+
+def metrics_in_parts(spark, sf_dir):
+    """Run metrics of the corpus loaded in three parts, the last of them twice, from stored counts."""
+    rows = corpus_rows(spark, sf_dir)
+    third = (rows.agg(F.max("_row_id")).first()[0] or 0) // 3 + 1
+    counts, index = new_folder(spark, "counts"), new_folder(spark, "index")
+    for k in (0, 1, 2, 2):
+        part = stage(tag_rows(rows.where(F.col("_row_id").between(third * k, third * (k + 1) - 1)), CODE_DOC, PrepOptions()), "part")
+        tagged = kept_index.tag_load(part, CODE_DOC, index, f"part{k}", stage, by=RUN)
+        parts.add_part(tagged, CODE_DOC, counts, f"part{k}", PrepOptions(), RUN)
+    return met.run_metrics(parts.merged_metrics(spark, counts, RUN), RUN)
+
+
 def stream_tags(spark, sf_dir):
     docs = _stream(spark, sf_dir, "documents")
     rows = docs.select(
@@ -617,6 +648,12 @@ CATALOG = {
         stream_dedup,
         "SELECT DISTINCT user_id || '|' || event_type || '|' || props AS code FROM events",
     ),
+    "stream_live_progress": (stream_live_progress, LATEST),
+    "stream_first_copies": (
+        stream_first_copies,
+        "SELECT sha256(user_id || '|' || event_type || '|' || props) AS text_hash, min(event_id) AS first_key FROM events GROUP BY 1",
+    ),
+    "metrics_in_parts": (metrics_in_parts, corpus_metrics_sql(f"SELECT run_id, {', '.join(met.RUN_METRICS)} FROM m")),
     "stream_tags": (stream_tags, stream_tags_sql()),
     "border_by_run": (
         border_by_run,

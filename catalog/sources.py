@@ -122,7 +122,7 @@ LOG_COLUMNS = ["ord", "stage", "status", "input_n", "output_n", "removed_n"]
 
 def run_log_append(spark, sf_dir):
     root = _history(spark, sf_dir)
-    return spark.read.parquet(f"{root}/{runs.STAGE_LOG}").select("run_id", *LOG_COLUMNS)
+    return runs.read_all(spark, root, runs.STAGE_LOG).select("run_id", *LOG_COLUMNS)
 
 
 def run_log_read(spark, sf_dir):

@@ -139,12 +139,27 @@ def row_facts(df: DataFrame, roles: ColumnRoles) -> Column:
     )
 
 
-def tag_metrics(
-    tagged: DataFrame, roles: ColumnRoles, opts: PrepOptions = PrepOptions(), by: list[str] | str = ()
-) -> DataFrame:
-    """Every count and rate a run reports: one map-side combined aggregate over the tagged
-    rows, grouped by data set if ``by`` is given."""
-    by = as_list(by)
+# name -> (numerator, denominator, digits)
+_RATIOS = {
+    "retain_rate": ("final_sample_count", "raw_sample_count", 4),
+    "avg_code_length": ("_code_chars", "_code_n", 2),
+    "avg_docstring_length": ("_doc_chars", "_doc_n", 2),
+    "docstring_coverage": ("_documented", "final_sample_count", 4),
+    "syntax_pass_rate": ("_parsed", "final_sample_count", 4),
+    "function_name_match_rate": ("_named", "final_sample_count", 4),
+    "return_annotation_rate": ("_annotated", "final_sample_count", 4),
+}
+_SUMS = {
+    "augmentation_failed_count": "augmentation_attempt_count - augmentation_success_count "
+    "- augmentation_duplicate_dropped_count",
+    "instruction_pair_count": " + ".join(f"{t}_count" for t in PAIR_TYPES),
+}
+
+
+def _counted(
+    tagged: DataFrame, roles: ColumnRoles, opts: PrepOptions, by: list[str]
+) -> tuple[DataFrame, dict[str, Column]]:
+    """The narrow rows that the metrics read, and the aggregates over them; all can be added up."""
     columns = [*by, DROP_STAGE, DROP_REASON]
     narrow = tagged.select(
         *columns,
@@ -168,7 +183,7 @@ def tag_metrics(
     passed = f"({kept} OR {DROP_REASON} = '{JUDGED_LOW}' OR {DROP_STAGE} NOT IN ('{INVALID_STAGE}', '{LOW_QUALITY_STAGE}'))"
     paired = kept if opts.enable_instruction_pairs else "false"
     made = [f"{FACTS}.{t}" for t in PAIR_TYPES]
-    totals = {
+    return narrow, {
         "raw_sample_count": count("NOT new AND first"),
         "expanded_sample_count": count("NOT new"),
         "final_sample_count": count(kept),
@@ -201,21 +216,33 @@ def tag_metrics(
         "_named": count(f"{kept} AND {FACTS}.named"),
         "_annotated": count(f"{kept} AND {FACTS}.annotated"),
     }
-    ratios = {
-        "retain_rate": ("final_sample_count", "raw_sample_count", 4),
-        "avg_code_length": ("_code_chars", "_code_n", 2),
-        "avg_docstring_length": ("_doc_chars", "_doc_n", 2),
-        "docstring_coverage": ("_documented", "final_sample_count", 4),
-        "syntax_pass_rate": ("_parsed", "final_sample_count", 4),
-        "function_name_match_rate": ("_named", "final_sample_count", 4),
-        "return_annotation_rate": ("_annotated", "final_sample_count", 4),
-    }
-    sums = {
-        "augmentation_failed_count": "augmentation_attempt_count - augmentation_success_count "
-        "- augmentation_duplicate_dropped_count",
-        "instruction_pair_count": " + ".join(f"{t}_count" for t in PAIR_TYPES),
-    }
-    return with_ratios(narrow, by, totals, ratios).withColumns({n: F.expr(e) for n, e in sums.items()})
+
+
+def tag_metrics(
+    tagged: DataFrame, roles: ColumnRoles, opts: PrepOptions = PrepOptions(), by: list[str] | str = ()
+) -> DataFrame:
+    """Every count and rate a run reports: one map-side combined aggregate over the tagged
+    rows, grouped by data set if ``by`` is given."""
+    by = as_list(by)
+    narrow, totals = _counted(tagged, roles, opts, by)
+    return with_ratios(narrow, by, totals, _RATIOS).withColumns({n: F.expr(e) for n, e in _SUMS.items()})
+
+
+def metric_counts(
+    tagged: DataFrame, roles: ColumnRoles, opts: PrepOptions = PrepOptions(), by: list[str] | str = ()
+) -> DataFrame:
+    """What ``tag_metrics`` counts, before it divides: counts of parts of a data set may be stored and
+    added up later."""
+    by = as_list(by)
+    narrow, totals = _counted(tagged, roles, opts, by)
+    return narrow.groupBy(*by).agg(*[c.alias(n) for n, c in totals.items()])
+
+
+def metrics_of_counts(counts: DataFrame, by: list[str] | str = ()) -> DataFrame:
+    """``tag_metrics`` of the whole from the ``metric_counts`` of its parts."""
+    by = as_list(by)
+    totals = {n: F.coalesce(F.sum(n), F.lit(0)) for n in counts.columns if n not in by}
+    return with_ratios(counts, by, totals, _RATIOS).withColumns({n: F.expr(e) for n, e in _SUMS.items()})
 
 
 def dataset_profile(metrics: DataFrame, by: list[str] | str = ()) -> DataFrame:
