@@ -9,6 +9,7 @@ one beyond its end if need be. So each record has one owner and no index is need
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -77,17 +78,16 @@ def parse(raw: bytes) -> tuple | None:
     for line in head.split(b"\r\n")[1:]:
         name, _, value = line.partition(b":")
         fields[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
-    try:
-        length = int(fields["content-length"])
-    except (KeyError, ValueError):
+    if not re.fullmatch("[0-9]{1,18}", fields.get("content-length", "")):
         return None
+    length = int(fields["content-length"])
     if len(rest) != length + 4 or not rest.endswith(b"\r\n\r\n"):
         return None
     block, payload, full = rest[:length], rest[:length], length
     if fields.get("content-type", "").startswith("application/http"):
         http, mark, payload = block.partition(b"\r\n\r\n")
-        sizes = [int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-        full = sizes[0] if sizes else len(payload)
+        sizes = [x.partition(b":")[2].strip() for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+        full = int(sizes[0]) if sizes and re.fullmatch(rb"[0-9]{1,18}", sizes[0]) else len(payload)
     kind = fields.get("warc-type", "")
     digest = fields.get("warc-payload-digest", "").rpartition(":")[2] or None
     if kind != "revisit":
