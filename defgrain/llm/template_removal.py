@@ -22,6 +22,7 @@ from .common import slices, stage
 
 MIN_PAGES = 5  # a template occurs on so many pages of its host at least
 MIN_SHARE = 0.05  # and on this share of them
+TEASER = 0.1  # declared main content with less than this share of the remaining text is no article
 MAX_BROADCAST = 1_000_000  # templates of all hosts that may be sent to every task
 
 # HTML elements by how they behave.
@@ -90,10 +91,19 @@ class Page:
         self._read(text or "")
 
     def _read(self, text: str) -> None:
+        # Beside the stack of open elements: the depths at which each tag and any block is open, and how
+        # many elements above the last block are named as boilerplate. They keep a token's work the same
+        # however many elements are open.
         stack, parts, buffer = [0], [[]], []
+        depths: dict[str, list[int]] = {}
+        blocks, soft = [0], [0]
         where = 0  # the element that owns the text in the buffer
         lower = None
 
+        def top(tag):
+            held = depths.get(tag)
+            return held[-1] if held else 0
+
         def flush():
             nonlocal where
             if buffer:
@@ -105,26 +115,23 @@ class Page:
         def write(raw):
             nonlocal where
             piece = html_lib.unescape(raw) if "&" in raw else raw
-            inline, owner = [], 0
-            for e in reversed(stack):
-                if self.tag[e] in BLOCK:
-                    owner = e
-                    break
-                inline.append(e)
-            if not (self.dropped[stack[-1]] or any(self.weak[e] for e in inline)):
+            if not (self.dropped[stack[-1]] or soft[-1]):
                 if not buffer:
-                    where = owner
+                    where = stack[blocks[-1]]
                 buffer.append(piece)
             short = " ".join(piece.split())
             if short:
                 parts[-1].append(short)
                 self.size[stack[-1]] += len(short)
-                if any(self.tag[e] == "a" for e in stack):
+                if top("a"):
                     self.linked[stack[-1]] += len(short)
 
         def close():
             element, own = stack.pop(), parts.pop()
+            depths[self.tag[element]].pop()
+            soft.pop()
             if self.tag[element] in BLOCK:
+                blocks.pop()
                 flush()
             digest = xxhash.xxh64_intdigest("\x00".join([self.tag[element], *own]).encode("utf-8", "surrogatepass"))
             self.hash[element] = digest
@@ -142,37 +149,39 @@ class Page:
                 continue
             name = m[2].lower()
             if m[1]:
-                if name in ("p",) and not any(self.tag[e] == name for e in stack):
+                depth = top(name)
+                if name == "p" and not depth:
                     flush()
                 elif name == "br":
                     buffer.append(" ")
-                elif any(self.tag[e] == name for e in stack[1:]) and name not in ("html", "body"):
+                elif depth and name not in ("html", "body"):
                     # A stray end tag of an inline element does not end a block around it.
-                    depth = next(d for d in range(len(stack) - 1, 0, -1) if self.tag[stack[d]] == name)
-                    if name in BLOCK or not any(self.tag[e] in BLOCK for e in stack[depth:]):
+                    if name in BLOCK or blocks[-1] < depth:
                         while len(stack) > depth:
                             close()
                 continue
             for open_tag, starters in CLOSED_BY.items():
                 if name in starters:
-                    for depth in range(len(stack) - 1, 0, -1):
-                        tag = self.tag[stack[depth]]
-                        if tag == open_tag:
-                            while len(stack) > depth:
-                                close()
-                            break
-                        if tag in FENCE[open_tag]:
-                            break
+                    depth = top(open_tag)
+                    if depth and all(top(fence) < depth for fence in FENCE[open_tag]):
+                        while len(stack) > depth:
+                            close()
             if name in VOID:
                 if name == "hr":
                     flush()
                 buffer.append(" ")
                 continue
-            if name in ("html", "body") and any(self.tag[e] == name for e in stack):
+            if name in ("html", "body") and top(name):
                 continue
             if name in BLOCK:
                 flush()
-            self._open(name, m[3], stack)
+            self._open(name, m[3], stack[-1], top("article") or top("main"))
+            depths.setdefault(name, []).append(len(stack))
+            if name in BLOCK:
+                blocks.append(len(stack))
+                soft.append(0)
+            else:
+                soft.append(soft[-1] + (self.weak[-1] > 0))
             stack.append(len(self.tag) - 1)
             parts.append([])
             if name in RAW:
@@ -186,8 +195,7 @@ class Page:
             close()
         flush()
 
-    def _open(self, name: str, attributes: str, stack: list[int]) -> None:
-        up = stack[-1]
+    def _open(self, name: str, attributes: str, up: int, in_content: int) -> None:
         dropped = name in DROPPED_TAGS
         weak, words = 0, set()
         role = ""
@@ -209,7 +217,7 @@ class Page:
             elif words & DROPPED_WORDS or ("header" in words and not inside and not named):
                 weak = GUARDED
         is_main = (name in ("article", "main") or role == "main") and not dropped and not weak
-        if name == "header" and not inside and not any(self.tag[e] in ("article", "main") for e in stack):
+        if name == "header" and not inside and not in_content:
             dropped = True
         if name in ("html", "body") or (weak and name == "main"):
             weak = 0
@@ -235,8 +243,8 @@ class Page:
         }
 
     def main_text(self, templates: set[int]) -> str:
-        """The blocks that remain, in page order. Declared main content counts alone if any of it
-        remains; else the whole body does."""
+        """The blocks that remain, in page order. Declared main content counts alone unless it is only a
+        teaser, with less than ``TEASER`` of the text that remains; then the whole body does."""
         half, gone = self.size[0] / 2, [False] * len(self.tag)
         for e in range(1, len(self.tag)):
             main = self.main[e]
@@ -247,11 +255,11 @@ class Page:
             )
             named = self.weak[e] == SURE or (self.weak[e] == GUARDED and self.size[e] <= half)
             gone[e] = gone[self.parent[e]] or self.dropped[e] or template or named
-        for wanted in (True, False):
-            kept = [text for e, text in self.blocks if not gone[e] and (self.main[e] or not wanted)]
-            if kept:
-                return "\n".join(kept)
-        return ""
+        kept = [(self.main[e], text) for e, text in self.blocks if not gone[e]]
+        main = [text for inside, text in kept if inside]
+        if main and sum(map(len, main)) >= TEASER * sum(len(text) for _, text in kept):
+            return "\n".join(main)
+        return "\n".join(text for _, text in kept)
 
 
 def _host(url: str):

@@ -90,3 +90,14 @@ def test_parse():
     assert warc.parse(b"WARC/1.0\r\n\r\n") is None and warc.parse(b"") is None
     kind, *_, payload = warc.parse(b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 2\r\n\r\nab\r\n\r\n")
     assert (kind, payload) == ("resource", b"ab")
+
+
+def test_odd_headers_of_foreign_records_stop_nothing():
+    def member(http, length=None):
+        block = http + b"\r\n\r\nbody"
+        head = b"WARC/1.0\r\nWARC-Type: revisit\r\nContent-Type: application/http\r\nContent-Length: %s\r\n\r\n"
+        return head % (length or b"%d" % len(block)) + block + b"\r\n\r\n"
+
+    for value, full in ((b"abc", 4), (b"", 4), (b"-7", 4), (b"1_0", 4), (b"9" * 30, 4), ("٣".encode(), 4), (b" 12 ", 12)):
+        assert warc.parse(member(b"HTTP/1.1 200 OK\r\nContent-Length:" + value))[5] == full
+    assert warc.parse(member(b"HTTP/1.1 200 OK", b"x")) is None and warc.parse(member(b"HTTP/1.1 200 OK", b"-4")) is None
