@@ -11,6 +11,7 @@ from defgrain.operators import dedup as dd
 from defgrain.operators import extract as ex
 from defgrain.operators import kept_index
 from defgrain.operators import pairs as pr
+from defgrain.operators import parse_store as ps
 from defgrain.operators import tags as tg
 from defgrain.operators.normalize import normalize_samples
 from defgrain.sources.staging import new_folder, stage
@@ -144,6 +145,22 @@ def extract_distinct(spark, sf_dir):
 INVENTORY = ["function_name", "return_annotation", "docstring_in_code", "body_without_docstring", "is_async"]
 
 
+def extract_stored(spark, sf_dir):
+    """The whole table against a store that has the first half of its texts from an earlier load."""
+    rows = stage(outcome_rows(spark, sf_dir), "rows")
+    root, last = new_folder(spark, "parsed"), rows.agg(F.max("_row_id")).first()[0] or 0
+    ps.extract_stored(rows.where(F.col("_row_id") <= last // 2), CODE, root, "first")
+    rows = ps.extract_stored(rows, CODE, root, "second")
+    return rows.select(
+        F.col("_row_id").alias("id"),
+        F.col("_fn_ord").alias("fn_ord"),
+        "code",
+        "function_name",
+        "parse_ok",
+        F.substring_index("error_message", ":", 1).alias("error"),
+    )
+
+
 def function_inventory(spark, sf_dir):
     rows = ex.function_inventory(_extracted(spark, sf_dir))
     return _ids(rows, *INVENTORY, F.array_join("parameters", ",").alias("parameters"))
@@ -415,6 +432,10 @@ CATALOG = {
         extract_functions,
         f"{OUTCOME_FX} SELECT id, fn_ord, code, function_name, parse_ok, error FROM fx",
     ),
+    "extract_stored": (
+        extract_stored,
+        f"{OUTCOME_FX} SELECT id, fn_ord, code, function_name, parse_ok, error FROM fx",
+    ),
     "extract_distinct": (
         extract_distinct,
         f"SELECT id, 0 AS fn_ord, code, 'part_' || tree AS function_name, TRUE AS parse_ok FROM ({COPIES_SRC})",

@@ -72,45 +72,53 @@ def extract_functions(
         return df.withColumns({FN_ORD: F.lit(0), **blanks})
     df = set_aside(df, [*DERIVED, FN_ORD], roles)
     if parse_distinct:
-        parsed = _parse_each_text_once(df, roles.code)
+        keyed, texts = texts_of(df, roles.code)
+        parsed = join_parsed(keyed, texts, texts.select("_code_hash", parse_functions("_text").alias("_functions")))
     else:
         parsed = df.withColumn("_functions", parse_functions(roles.code))
+    return expand_functions(parsed, df.columns, roles)
+
+
+def expand_functions(parsed: DataFrame, columns: list[str], roles: ColumnRoles) -> DataFrame:
+    """One row per entry of ``_functions`` with ``columns`` and the derived columns."""
     # The outer form: every array has an entry, and the inner form would add a size filter
     # that evaluates the UDF a second time.
-    kept = [F.col(f"`{c}`") for c in df.columns]
+    kept = [F.col(f"`{c}`") for c in columns]
     rows = parsed.select(*kept, F.posexplode_outer("_functions").alias(FN_ORD, "_fn"))
     return rows.select(
-        *[F.coalesce("_fn.code", F.col(c)).alias(c) if c == roles.code else F.col(c) for c in df.columns],
+        *[F.coalesce("_fn.code", F.col(f"`{c}`")).alias(c) if c == roles.code else F.col(f"`{c}`") for c in columns],
         FN_ORD,
         *[engine(column, name) for name, column in derived_columns("_fn").items()],
     )
 
 
-def _parse_each_text_once(df: DataFrame, code: str) -> DataFrame:
-    """Parse one copy per hash and join the result back.
+def texts_of(df: DataFrame, code: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with the hash of their code, and one copy per hash with its number of rows.
 
-    The map side keeps a single copy of a popular text per task. The distinct texts are staged
-    with their row counts, because three reads follow. A text with more rows than a join partition
-    should hold is salted on both sides, in proportion to its rows; there are fewer such texts than
-    partitions, which bounds the broadcast list of their hashes whatever the corpus. Rows without
-    code join nothing and go past the join."""
+    The map side keeps a single copy of a popular text per task. The distinct texts are staged,
+    because several reads follow."""
     keyed = df.withColumn("_code_hash", F.when(is_present(code), sha256_bin(code)))
     texts = keyed.where(F.col("_code_hash").isNotNull()).groupBy("_code_hash")
-    texts = stage(texts.agg(F.any_value(code).alias("_text"), F.count(F.lit(1)).alias("_n")), "texts")
-    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * SALTED_SHARE
+    return keyed, stage(texts.agg(F.any_value(code).alias("_text"), F.count(F.lit(1)).alias("_n")), "texts")
+
+
+def join_parsed(keyed: DataFrame, texts: DataFrame, results: DataFrame) -> DataFrame:
+    """The rows with the ``_functions`` of their text from ``results`` (_code_hash, _functions).
+
+    A text with more rows than a join partition should hold is salted on both sides, in proportion to
+    its rows; there are fewer such texts than partitions, which bounds the broadcast list of their
+    hashes whatever the corpus. Rows without code join nothing and go past the join."""
+    wanted = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")) * SALTED_SHARE
     per_salt = F.greatest(F.ceil(F.lit(texts.agg(F.sum("_n")).first()[0] or 0) / wanted), F.lit(1))
     salts = F.ceil(F.col("_n") / per_salt).cast("int")
     hot = F.broadcast(texts.where(salts > 1).select("_code_hash", salts.alias("_salts")))
-    parsed = texts.select(
-        "_code_hash",
-        parse_functions("_text").alias("_functions"),
-        F.sequence(F.lit(0), salts - 1).alias("_copies"),
-    ).select("_code_hash", "_functions", F.explode("_copies").alias("_salt"))
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)).alias("_salt")
+    parsed = results.join(hot, "_code_hash", "left").select("_code_hash", "_functions", copies)
     with_code = keyed.where(F.col("_code_hash").isNotNull()).join(hot, "_code_hash", "left")
-    place = F.pmod(F.xxhash64(*key_columns(df)), F.coalesce("_salts", F.lit(1))).cast("int")
+    place = F.pmod(F.xxhash64(*key_columns(keyed)), F.coalesce("_salts", F.lit(1))).cast("int")
     joined = with_code.withColumn("_salt", place).drop("_salts").join(parsed, ["_code_hash", "_salt"])
     blank = keyed.where(F.col("_code_hash").isNull()).select("*", F.lit(0).alias("_salt"), F.array(_empty_entry()).alias("_functions"))
-    return joined.select(*blank.columns).unionByName(blank)
+    return joined.select(*[F.col(f"`{c}`") for c in blank.columns]).unionByName(blank)
 
 
 # A text is salted from one part in so many of an even join partition.

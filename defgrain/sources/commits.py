@@ -17,6 +17,11 @@ _MERGED = "merged-"
 _FOLDER = "_commit="  # how folders of commits begin
 
 
+def folder(root: str, commit: str) -> str:
+    """Where the rows of one commit lie."""
+    return f"{root}/{_FOLDER}{commit}"
+
+
 def _fs(spark: SparkSession, path: str):
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
