@@ -28,12 +28,17 @@ WINDOW = 20
 STEP = 6
 _IS_WINDOW = 1 << 62
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_UNIT = re.compile(r"[^\n]*?(?:\n|[.!?]+[^\s\w]*[ \t]+|\Z)")
+# A run of marks is taken whole even if no blank follows; the empty group then tells that nothing ends.
+_END = re.compile(r"\n|[.!?][^\s\w]*+(?:[ \t]++|())")
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def units(text: str) -> list[tuple[int, int]]:
     """(start, end) of each unit; together they are the text."""
-    ends = [m.end() for m in _UNIT.finditer(text) if m.end() > m.start()]
+    ends = [m.end() for m in _END.finditer(text) if m.lastindex is None]
+    if text and (not ends or ends[-1] < len(text)):
+        ends.append(len(text))
     return list(zip([0, *ends], ends))
 
 
@@ -43,21 +48,44 @@ def digest(unit: str) -> tuple[int, int]:
     return xxhash.xxh3_64_intdigest(b" ".join(words)), len(words)
 
 
-def windows(text: str) -> list[tuple[int, int]]:
-    """(hash, first word) of the chosen windows, in order."""
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
+    out = np.full(n, base)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def windows(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and first words of the chosen windows, in order."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if len(words) < WINDOW + STEP - 1:
-        return []
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    n = len(words) - WINDOW + 1
-    sums = np.zeros(n, np.uint64)
-    for k in range(WINDOW):
-        sums = sums * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]
+    # The polynomial of each window from running sums: words times inverse powers, scaled back.
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(hashes * _powers(_INVERSE, len(words)), out=sums[1:])
+    sums = (sums[WINDOW:] - sums[:-WINDOW]) * _powers(_BASE, len(words))[WINDOW - 1 :]
     sums = (sums ^ (sums >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     sums ^= sums >> np.uint64(30)
-    least = np.lib.stride_tricks.sliding_window_view(sums, STEP).argmin(axis=1)
-    places = np.unique(least + np.arange(len(least)))
-    return list(zip(sums[places].tolist(), places.tolist()))
+    n = len(sums) - STEP + 1
+    least, places = sums[:n].copy(), np.arange(n)
+    for k in range(1, STEP):
+        less = sums[k : k + n] < least
+        np.copyto(least, sums[k : k + n], where=less)
+        np.copyto(places, np.arange(k, k + n), where=less)
+    # The first least window never moves back, so equal places are neighbours.
+    places = places[np.append(True, places[1:] != places[:-1])]
+    return sums[places], places
+
+
+def _window_units(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and packed numbers of the windows. One that overlaps its first like is no copy of it."""
+    hashes, places = windows(text)
+    packed = _IS_WINDOW | places << 21 | WINDOW
+    if len(set(hashes.tolist())) < len(hashes):
+        _, first, like = np.unique(hashes, return_index=True, return_inverse=True)
+        packed |= (places - places[first[like]] >= WINDOW).astype(np.int64) << 20
+    return hashes, packed
 
 
 def unit_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -68,29 +96,24 @@ def unit_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batch):
         digests, packed, lengths = [], [], []
         for text in batch.column(2).to_pylist():
-            seen, n = set(), 0
+            seen, own, hashes = set(), [], []
             for k, (a, b) in enumerate(units(text)):
                 h, words = digest(text[a:b])
                 if words:
-                    digests.append(h)
-                    packed.append(k << 21 | (h in seen) << 20 | min(words, (1 << 20) - 1))
+                    hashes.append(h)
+                    own.append(k << 21 | (h in seen) << 20 | min(words, (1 << 20) - 1))
                     seen.add(h)
-                    n += 1
-            first = {}
-            for h, i in windows(text):
-                # A window that overlaps its first like is no copy of it.
-                again = i - first.setdefault(h, i) >= WINDOW
-                digests.append(h)
-                packed.append(_IS_WINDOW | i << 21 | again << 20 | WINDOW)
-                n += 1
-            lengths.append(n)
+            more, places = _window_units(text)
+            digests += [np.array(hashes, np.uint64), more]
+            packed += [np.array(own, np.int64), places]
+            lengths.append(len(own) + len(places))
         repeat = np.repeat(np.arange(len(lengths)), lengths)
         return pa.record_batch(
             [
-                pa.array(signed(np.array(digests, dtype=np.uint64))),
+                pa.array(signed(np.concatenate(digests))),
                 batch.column(0).take(pa.array(repeat)),
                 batch.column(1).take(pa.array(repeat)),
-                pa.array(packed, pa.int64()),
+                pa.array(np.concatenate(packed)),
             ],
             names=["digest", "doc_id", "row_key", "unit"],
         )

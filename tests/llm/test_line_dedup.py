@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import pytest
+import xxhash
 
 from defgrain.llm import line_dedup as ld
 
@@ -52,6 +53,31 @@ def test_units_are_the_text():
         assert "".join(text[a:b] for a, b in ld.units(text)) == text
 
 
+def test_long_runs_of_marks_end_units_only_before_blanks():
+    marks = "!.,?" * 50000
+    assert ld.units(f"a{marks} b {marks}c\nd") == [(0, 200002), (200002, 400006), (400006, 400007)]
+
+
+def test_windows_equal_their_definition():
+    rng = random.Random(6)
+    for n in (0, 24, 25, 26, 90, 400):
+        words = [rng.choice(["a", "b", f"w{rng.randrange(99)}"]) for _ in range(n)]
+        sums = []
+        for k in range(len(words) - ld.WINDOW + 1):
+            value = 0
+            for w in words[k : k + ld.WINDOW]:
+                value = (value * 0x9E3779B97F4A7C15 + xxhash.xxh3_64_intdigest(w)) % 2**64
+            value = (value ^ value >> 31) * 0xBF58476D1CE4E5B9 % 2**64
+            sums.append(value ^ value >> 30)
+        blocks = [sums[k : k + ld.STEP] for k in range(len(sums) - ld.STEP + 1)]
+        places = sorted({k + block.index(min(block)) for k, block in enumerate(blocks)})
+        hashes, got = ld.windows(" ".join(words).upper())
+        assert got.tolist() == places and hashes.tolist() == [sums[p] for p in places]
+        first = {}
+        want = [ld._IS_WINDOW | p << 21 | (p - first.setdefault(sums[p], p) >= ld.WINDOW) << 20 | ld.WINDOW for p in places]
+        assert ld._window_units(" ".join(words))[1].tolist() == want
+
+
 def test_equals_brute_force(spark, rows):
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, removed int, digest string").repartition(4)
     got = ld.dedup(df, min_words=40).collect()
