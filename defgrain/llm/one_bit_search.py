@@ -128,6 +128,15 @@ def encoded(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "vec_id long, vec array<double>, dim int, code binary, c double")
 
 
+def blocked(queries: DataFrame, rows: DataFrame, chunks: int, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Each query once a chunk of rows, and each row once a block of queries, dealt by ``place``."""
+    every_chunk = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")
+    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    chunk = F.pmod("place", F.lit(chunks)).cast("int").alias("chunk")
+    block = F.pmod("place", F.lit(blocks)).cast("int").alias("block")
+    return queries.select("dim", every_chunk, block, "vec_id", "vec"), rows.select("dim", chunk, every_block, "vec_id", "vec", "code", "c")
+
+
 def search(
     vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, k: int = K
 ) -> DataFrame:
@@ -138,30 +147,15 @@ def search(
     without id. Vectors of different length are not compared. A repeated vec_id is one candidate
     with its best score, and one query. Ties go to the smaller vec_id; other columns are ignored; an
     empty table gives an empty result."""
-    rows = stage(encoded(usable(vectors, id_col, vec_col)), "codes")
-    is_query = F.pmod("vec_id", F.lit(every)) == 0
-    sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q")).first()
+    # A written number spreads the rows, whatever their ids and vectors are; it stays if a task runs again.
+    rows = encoded(usable(vectors, id_col, vec_col)).withColumn("place", F.xxhash64(F.monotonically_increasing_id()))
+    rows = stage(rows, "codes")
+    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("dim", "vec_id", "vec").agg(F.min("place").alias("place"))
+    queries = stage(queries, "queries")
     # As many blocks as there are cores, for small tables; blocks of bounded size for large ones.
-    cores = vectors.sparkSession.sparkContext.defaultParallelism
-    chunks = max(1, -(-sizes["n"] // CHUNK), min(cores, sizes["n"] // 1024))
-    blocks = max(1, -(-sizes["q"] // QUERY_BLOCK))
-    place = F.xxhash64("vec_id")
-    queries = rows.where(is_query).select(
-        "dim",
-        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"),
-        F.pmod(place, F.lit(blocks)).cast("int").alias("block"),
-        "vec_id",
-        "vec",
-    )
-    targets = rows.select(
-        "dim",
-        F.pmod(place, F.lit(chunks)).cast("int").alias("chunk"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-        "vec_id",
-        "vec",
-        "code",
-        "c",
-    )
+    n, cores = rows.count(), vectors.sparkSession.sparkContext.defaultParallelism
+    chunks = max(1, -(-n // CHUNK), min(cores, n // 1024))
+    queries, targets = blocked(queries, rows, chunks, max(1, -(-queries.count() // QUERY_BLOCK)))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []

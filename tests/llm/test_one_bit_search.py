@@ -7,16 +7,14 @@ from defgrain.llm import one_bit_search as s
 
 
 def slow(rows, k, every=20):
-    out = {}
+    found = defaultdict(dict)  # rows that repeat an id are one query
     for q, x in rows:
         if q % every == 0:
-            scores = {}
+            scores = found[q]
             for v, y in rows:
                 if v != q and len(x) == len(y):
                     scores[v] = max(scores.get(v, -np.inf), float(np.dot(np.float64(x), np.float64(y))))
-            best = sorted(scores.items(), key=lambda p: (-p[1], p[0]))[:k]
-            out[q] = best
-    return out
+    return {q: sorted(scores.items(), key=lambda p: (-p[1], p[0]))[:k] for q, scores in found.items()}
 
 
 def search(spark, rows, k=20, **more):
@@ -88,3 +86,24 @@ def test_an_id_in_a_third_of_the_rows(spark):
     assert [v for v, _ in got[0]] == [v for v, _ in want[0]]
     hits = sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want)
     assert hits / sum(map(len, want.values())) > 0.99
+
+
+def test_chunks_and_blocks_are_even_whatever_the_ids(spark, monkeypatch):
+    """An id divisible by 20 in a third of the rows, with equal and with different vectors."""
+    seen, deal = {}, s.blocked
+    monkeypatch.setattr(s, "CHUNK", 500)
+    monkeypatch.setattr(s, "QUERY_BLOCK", 100)
+    monkeypatch.setattr(s, "blocked", lambda *a: seen.setdefault("dealt", deal(*a)))
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((3000, 8)).astype(np.float32)
+    rows = list(enumerate(x[:2000].tolist())) + [(40, v) for v in x[2000:2500].tolist()] + [(40, x[2500].tolist())] * 500
+    got, want = search(spark, rows), slow(rows, 20)
+    queries, targets = seen["dealt"]
+    per_chunk = [r["count"] for r in targets.where("block = 0").groupBy("chunk").count().collect()]
+    per_block = [r["count"] for r in queries.where("chunk = 0").groupBy("block").count().collect()]
+    assert sum(per_chunk) == 3000 and len(per_chunk) >= 6 and max(per_chunk) < 1.5 * 3000 / len(per_chunk)
+    assert sum(per_block) == 601 and len(per_block) == 7 and max(per_block) < 2 * 601 / 7
+    assert set(got) == set(want)
+    hits = sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want)
+    assert hits / sum(map(len, want.values())) > 0.99
+    assert len({v for v, _ in got[40]} & {v for v, _ in want[40]}) > 17
