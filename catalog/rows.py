@@ -337,6 +337,12 @@ def _augmented(spark, sf_dir):
     return base, stage(aug.augment_rename(base, CODE), "renamed")
 
 
+def augment_rename_fresh(spark, sf_dir):
+    """Every function with a plain local name gives a row, also where ``var_n`` is taken."""
+    rows = aug.augment_rename(_parsed_renames(spark, sf_dir), CODE, fresh=True)
+    return rows.select(F.col("_row_id").alias("id"), "code", F.array_join("local_names", ",").alias("names"))
+
+
 def augment_antijoin(spark, sf_dir):
     base, new = _augmented(spark, sf_dir)
     return aug.augment_antijoin(base, new, CODE).select(F.col("_row_id").alias("id"), "code")
@@ -536,6 +542,12 @@ CATALOG = {
         f"""SELECT id, {NEW_CODE} AS code, 'var_2 = a + b' || {NL} || 'var_1 = var_2 * 2' || {NL} || 'return var_1'
             AS body_without_docstring, 'var_1,var_2' AS names FROM ({RENAME_SRC}) WHERE k = 0""",
     ),
+    "augment_rename_fresh": (
+        augment_rename_fresh,
+        f"""SELECT id, 'var_1,var_2' AS names, CASE k WHEN 0 THEN {NEW_CODE} ELSE 'def v_' || id || '():' || {NL}
+            || '    var_2 = 1' || {NL} || '    var_1 = 2' || {NL} || '    return var_2 + var_1' END AS code
+            FROM ({RENAME_SRC}) WHERE k <> 1""",
+    ),
     "augment_antijoin": (
         augment_antijoin,
         f"SELECT min(id) AS id, {NEW_CODE} AS code FROM ({RENAME_SRC}) WHERE k = 0 GROUP BY h",

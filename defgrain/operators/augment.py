@@ -41,16 +41,28 @@ def rename_entries(names: str | Column = "local_names") -> Column:
     return F.filter(numbered, lambda e: ~F.rlike(e["name"], F.lit(GENERATED_NAME)))
 
 
+def fresh_entries(names: str | Column = "local_names", parameters: str | Column = "parameters") -> Column:
+    """As ``rename_entries``, but the n-th name gets the n-th generated name that is free: names that the
+    function has as locals or parameters are passed over, so that none of them is merged with another."""
+    names, parameters = (F.col(c) if isinstance(c, str) else c for c in (names, parameters))
+    used = F.array_union(names, F.coalesce(parameters, F.array().cast("array<string>")))
+    numbers = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(names) + F.size(used)))
+    free = F.array_except(F.transform(numbers, lambda n: F.concat(F.lit(NAME_PREFIX), n)), used)
+    own = F.filter(F.array_sort(names), lambda x: ~F.rlike(x, F.lit(GENERATED_NAME)))
+    return F.transform(own, lambda x, i: F.struct(x.alias("name"), F.get(free, i).alias("new_name")))
+
+
 def rename_map(extracted: DataFrame) -> DataFrame:
     return extracted.select(*key_columns(extracted), F.inline(rename_entries()))
 
 
-def augment_attempts(df: DataFrame, roles: ColumnRoles) -> DataFrame:
+def augment_attempts(df: DataFrame, roles: ColumnRoles, fresh: bool = False) -> DataFrame:
     """Every row with ``aug_status``: renamed, no_locals, unsafe, failed or not_applicable,
     and the rewritten function in ``_renamed``. Renames that would merge two variables or
-    reach names bound outside plain Name nodes are ``unsafe`` and give no new row."""
+    reach names bound outside plain Name nodes are ``unsafe`` and give no new row. ``fresh`` numbers
+    past the names that are taken (``fresh_entries``), so that fewer are."""
     applicable = F.col("parse_ok").eqNullSafe(True) & is_present("function_name") & is_present(roles.code)
-    entries = F.when(applicable, rename_entries())
+    entries = F.when(applicable, fresh_entries() if fresh else rename_entries())
     # Marked so that a filter on the status is not pushed below the projection, where it would
     # rename every row a second time.
     udf = F.arrow_udf(pysource.rename_batches, pysource.RENAME_DDL).asNondeterministic()
@@ -80,8 +92,8 @@ def renamed_rows(attempts: DataFrame, roles: ColumnRoles) -> DataFrame:
     )
 
 
-def augment_rename(df: DataFrame, roles: ColumnRoles) -> DataFrame:
-    return renamed_rows(augment_attempts(df, roles), roles)
+def augment_rename(df: DataFrame, roles: ColumnRoles, fresh: bool = False) -> DataFrame:
+    return renamed_rows(augment_attempts(df, roles, fresh), roles)
 
 
 def tag_augmented(base: DataFrame, new: DataFrame, roles: ColumnRoles, by: list[str] | str = ()) -> DataFrame:

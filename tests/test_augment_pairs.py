@@ -177,3 +177,33 @@ def test_counts_equal_built_pairs(samples):
     assert {t: counts[f"{t}_count"] for t in pr.PAIR_TYPES} == built
     assert counts["instruction_pair_count"] == sum(built.values())
     assert counts["skipped_instruction_pair_count"] == 8
+
+
+FRESH = {
+    "def f():\n    var_2 = 1\n    x = 2\n    return var_2 + x": "var_1",
+    "def f(var_1=5):\n    x = var_1 + 1\n    return x * var_1": "var_2",
+    "def f(a=3):\n    var_1 = a; y = 2; var_3 = 4; z = 8\n    return var_1 - y * var_3 + z": "var_2,var_4",
+    "def f(a=3):\n    b = a\n    return b": "var_1",
+}
+
+
+def test_fresh_names_pass_over_taken_ones_and_run_alike(samples):
+    texts = [*FRESH, "def f():\n    var_1 = 1\n    return var_1", "def f(): pass", "def broken(:", "", None]
+    rows = extract_functions(samples(list(enumerate(texts))), CODE)
+    got = {r["_row_id"]: r for r in aug.augment_rename(rows, CODE, fresh=True).collect()}
+    assert sorted(got) == list(range(len(FRESH)))
+    for i, (source, names) in enumerate(FRESH.items()):
+        before, after = {}, {}
+        exec(source, before)
+        exec(got[i]["code"], after)
+        assert before["f"]() == after["f"]()
+        made = set(got[i]["local_names"]) - {n for n in ("var_1", "var_2", "var_3") if f"{n} =" in source}
+        assert ",".join(sorted(made)) == names
+    plain = {r["_row_id"] for r in aug.augment_rename(rows, CODE).collect()}
+    assert plain < set(got)
+
+
+def test_fresh_names_still_skip_what_stands_outside(samples):
+    texts = ["def f():\n    global g\n    g = 1", "def f():\n    x = 1\n    return x + var_1"]
+    attempts = aug.augment_attempts(extract_functions(samples(list(enumerate(texts))), CODE), CODE, fresh=True)
+    assert {r["aug_status"] for r in attempts.select("aug_status").collect()} == {"unsafe"}
