@@ -1,12 +1,13 @@
 """Streaming operators with state that expires.
 
-Both keep one narrow row of state per key and drop it by an event-time timer, so state is bounded by
+Both keep a narrow entry of state per key and drop it by an event-time timer, so state is bounded by
 the keys that are active, not by all that were ever seen. Both give in update mode what the batch
 operator gives on the same rows, whatever order rows arrive in within the watermark. Output may
 repeat after a restart; readers take the last row of a key (``last_updates``)."""
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,6 +20,8 @@ from ..functions.text import is_present, sha256_bin
 
 _JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 _LEAST = -(2**63)
+_TEXT = "<32sqq"  # hash, first key, last seen in milliseconds
+PLACES = 1 << 12  # rows of state that share the texts; a call into Python costs as much as some thousand texts in it
 
 
 def _arm(state: GroupState, last_ms: int, idle_ms: int) -> None:
@@ -74,14 +77,16 @@ def stream_live_progress(
     return held.select(F.from_json("_row", schema, _JSON).alias("_row")).select("_row.*")
 
 
-def stream_first_copies(stream: DataFrame, code: str, key: str, event_time: str, delay: str) -> DataFrame:
+def stream_first_copies(stream: DataFrame, code: str, key: str, event_time: str, delay: str, places: int = PLACES) -> DataFrame:
     """(text_hash, first_key, instead_of): the least key of each text, whenever a text is new or an
     earlier row of it comes late; then ``instead_of`` is the key that was first until now. Run in ``update``
     mode. ``last_updates(..., "first_key")`` of the output are the rows that batch deduplication keeps.
 
-    ``key`` is a whole number without nulls. State is a hash and a key, dropped once a text was not seen
-    for ``delay``. Rows without code or time are left out. A batch's rows of a text are reduced to one a task
-    before they meet, so a popular text is no hot key."""
+    ``key`` is a whole number without nulls. State is 48 bytes a text, a hash, a key and a time, dropped once
+    a text was not seen for ``delay``. Texts are dealt by their hash to ``places`` rows of state, so that a call
+    into Python serves all texts of a place; a batch rewrites the places it meets, so some thousand active texts
+    a place suit. A running stream must keep its number. Rows without code or time are left out. A batch's
+    rows of a text are reduced to one a task before they meet, so a popular text is no hot key."""
     rows = stream.where(is_present(code) & F.col(event_time).isNotNull()).select(
         sha256_bin(code).alias("text_hash"), F.col(key).cast("long").alias("_key"), F.col(event_time).cast("timestamp").alias("_at")
     )
@@ -92,31 +97,41 @@ def stream_first_copies(stream: DataFrame, code: str, key: str, event_time: str,
             met = pa.Table.from_batches([batch]).group_by("text_hash").aggregate([("_key", "min"), ("_at", "max")])
             yield from met.rename_columns(["text_hash", "_key", "_at"]).combine_chunks().to_batches()
 
-    def first(place, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+    def first(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {text: (least, seen) for text, least, seen in struct.iter_unpack(_TEXT, state.get[0])} if state.exists else {}
+        met, news = set(), {}
+        for frame in () if state.hasTimedOut else frames:
+            for text, least, seen in zip(frame["text_hash"], frame["_key"].tolist(), frame["_ms"].tolist()):
+                met.add(text)
+                old = held.get(text)
+                if old is None or least < old[0]:
+                    news.setdefault(text, old and old[0])
+                held[text] = (least, seen) if old is None else (min(least, old[0]), max(seen, old[1]))
+        mark = state.getCurrentWatermarkMs()
+        held = {text: known for text, known in held.items() if text in met or known[1] + delay_ms >= mark}
+        if not held:
             state.remove()
             return
-        old, seen = state.get if state.exists else (None, 0)
-        best = old
-        for frame in frames:
-            least = int(frame["_key"].min())
-            best = least if best is None else min(best, least)
-            seen = max(seen, int(frame["_at"].max().value // 10**6))
-        state.update((best, seen))
-        _arm(state, seen, delay_ms)
-        if best != old:
-            yield pd.DataFrame({"text_hash": [place[0]], "first_key": [best], "instead_of": pd.array([old], dtype="Int64")})
+        state.update((b"".join(struct.pack(_TEXT, text, *known) for text, known in held.items()),))
+        _arm(state, min(seen for _, seen in held.values()), delay_ms)
+        if news:
+            yield pd.DataFrame(
+                {
+                    "text_hash": [text.hex() for text in news],
+                    "first_key": [held[text][0] for text in news],
+                    "instead_of": pd.array(list(news.values()), dtype="Int64"),
+                }
+            )
 
     narrow = rows.mapInArrow(reduce, "text_hash binary, _key long, _at timestamp").withWatermark("_at", delay)
-    hexed = narrow.select(F.hex("text_hash").alias("text_hash"), "_key", "_at")
-    held = hexed.groupBy("text_hash").applyInPandasWithState(
+    dealt = narrow.select(F.pmod(F.xxhash64("text_hash"), F.lit(places)).alias("_place"), "text_hash", "_key", F.unix_millis("_at").alias("_ms"), "_at")
+    return dealt.groupBy("_place").applyInPandasWithState(
         first,
         "text_hash string, first_key long, instead_of long",
-        "first_key long, seen long",
+        "texts binary",
         "update",
         GroupStateTimeout.EventTimeTimeout,
     )
-    return held.withColumn("text_hash", F.lower("text_hash"))
 
 
 def last_updates(updates: DataFrame, least: str, key: str = "text_hash") -> DataFrame:

@@ -1,5 +1,6 @@
 """Streams with expiring state against their batch forms."""
 
+import hashlib
 import random
 
 import pytest
@@ -101,3 +102,27 @@ def test_texts_not_seen_for_the_delay_are_forgotten(spark, tmp_path):
     stream = stream_of(spark, batches, TEXTS, tmp_path)
     _, state = drain(spark, stateful.stream_first_copies(stream, "code", "id", "at", "10 seconds"))
     assert max(state) == 30 and state[-1] == 1
+
+
+@pytest.mark.parametrize("places", [1, 4])
+def test_texts_that_share_a_row_of_state(spark, tmp_path, places):
+    """A call into Python serves all texts of a place; each is reported and forgotten on its own."""
+
+    def rows(*found):
+        return [(i, t, spark.sql(f"SELECT timestamp_seconds({s})").first()[0]) for i, t, s in found]
+
+    batches = [
+        rows(*[(50 + i, f"t{i}", 1000) for i in range(40)]),
+        rows((7, "t3", 1001), (60, "t10", 1004), (200, "new", 1005)),
+        rows((8, "t3", 1030), (300, "other", 1030)),  # the watermark is 995 still: nothing is forgotten
+        rows((6, "t3", 1031)),
+        rows((5, "t3", 1032), (301, "t0", 1032)),
+    ]
+    stream = stream_of(spark, batches, TEXTS, tmp_path)
+    got, state = drain(spark, stateful.stream_first_copies(stream, "code", "id", "at", "10 seconds", places))
+    name = {hashlib.sha256(t.encode()).hexdigest(): t for t in ["new", "other", *[f"t{i}" for i in range(40)]]}
+    changes = [(name[t], first, instead) for _, t, first, instead in got]
+    assert sorted(changes[:40]) == sorted((f"t{i}", 50 + i, None) for i in range(40))
+    assert sorted(changes[40:42]) == [("new", 200, None), ("t3", 7, 53)]
+    assert changes[42:] == [("other", 300, None), ("t3", 6, 7), *sorted([("t0", 301, None), ("t3", 5, 6)], key=lambda c: changes.index(c))]
+    assert max(state) <= places
