@@ -326,10 +326,11 @@ def round_lineage(runs: DataFrame) -> DataFrame:
 
     ``runs`` has run_id (unique), parent_run_id and round. Pointer doubling: in step k a run knows its
     ancestor 2^k above and the nearest recorded round up to there, and asks that ancestor for the same,
-    so a chain of a million runs takes twenty narrow joins. Every step is a written table."""
+    so a chain of a million runs takes twenty narrow joins. Every step is a written table. Joins are
+    shuffled: small tables that Spark would broadcast add up on the driver, step by step."""
     parents = runs.select(F.col("run_id").alias("at"), F.col("round").alias("known"), F.col("parent_run_id").alias("above"))
     first = runs.where(F.col("parent_run_id").isNotNull()).select("run_id", "parent_run_id").join(
-        parents, F.col("parent_run_id") == F.col("at"), "left"
+        parents.hint("shuffle_merge"), F.col("parent_run_id") == F.col("at"), "left"
     )
     # up: the ancestor reached; hops: steps to it; base, off: nearest recorded round and steps to it;
     # more: whether the ancestor has a parent.
@@ -350,7 +351,7 @@ def round_lineage(runs: DataFrame) -> DataFrame:
         next_hop = state.select(
             F.col("run_id").alias("n_id"), *[F.col(c).alias(f"n_{c}") for c in ("up", "hops", "base", "off", "more")]
         )
-        met = state.where("more").join(next_hop, F.col("up") == F.col("n_id"))
+        met = state.where("more").join(next_hop.hint("shuffle_merge"), F.col("up") == F.col("n_id"))
         moved = met.select(
             "run_id",
             "parent_run_id",

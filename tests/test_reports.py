@@ -214,3 +214,17 @@ def test_profile_rules(samples):
     assert met.function_name_rate(df).first()[0] == 0.5
     assert met.return_annotation_rate(df).first()[0] == 0.0
     assert met.avg_text_length(df.where("false"), "doc").first()[0] == 0.0
+
+
+def test_lineage_broadcasts_no_runs(spark, monkeypatch):
+    """Tables under the broadcast limit would go through the driver at every step."""
+    plans, stage = [], rp.stage
+
+    def watched(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df, name)
+
+    monkeypatch.setattr(rp, "stage", watched)
+    runs = spark.range(40).selectExpr("id AS run_id", "IF(id % 20 = 0, NULL, id - 1) AS parent_run_id", "CAST(NULL AS INT) AS round")
+    assert {(r["run_id"], r["root_run_id"], r["round"]) for r in rp.round_lineage(runs).collect()} == {(i, i - i % 20, i % 20) for i in range(40)}
+    assert len(plans) > 4 and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
