@@ -1,5 +1,6 @@
 """Renaming keeps meaning or is skipped; pairs follow the fall-through rules."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,3 +208,19 @@ def test_fresh_names_still_skip_what_stands_outside(samples):
     texts = ["def f():\n    global g\n    g = 1", "def f():\n    x = 1\n    return x + var_1"]
     attempts = aug.augment_attempts(extract_functions(samples(list(enumerate(texts))), CODE), CODE, fresh=True)
     assert {r["aug_status"] for r in attempts.select("aug_status").collect()} == {"unsafe"}
+
+
+def test_few_rows_are_objects_at_once(monkeypatch):
+    """A worker makes objects of a slice of a batch at a time, with the results of whole batches."""
+    n = 2 * pysource.SLICE_ROWS + 7
+    codes = [[f"def f{i}(a):\n    t = a\n    return t", f"x{i} = 1", None][i % 3] for i in range(n)]
+    old, new = ([[name] if i % 3 == 0 else None for i in range(n)] for name in ("t", "var_1"))
+    columns = pa.array(codes), pa.array(old, pa.list_(pa.string())), pa.array(new, pa.list_(pa.string()))
+    sizes, make = [], pysource._struct_array
+    monkeypatch.setattr(pysource, "_struct_array", lambda entries: sizes.append(len(out := make(entries))) or out)
+    parsed, renamed = next(pysource.parse_batches(iter([columns[0]]))), next(pysource.rename_batches(iter([columns])))
+    assert max(sizes) <= pysource.SLICE_ROWS and len(parsed) == len(renamed) == n
+    assert [r["status"] for r in renamed.to_pylist()] == ["renamed" if i % 3 == 0 else "no_locals" for i in range(n)]
+    assert [[f["function_name"] for f in r] for r in parsed.to_pylist()] == [[f"f{i}"] if i % 3 == 0 else [None] for i in range(n)]
+    empty = [c.slice(0, 0) for c in columns]
+    assert len(next(pysource.parse_batches(iter(empty[:1])))) == len(next(pysource.rename_batches(iter([empty])))) == 0
