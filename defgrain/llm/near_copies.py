@@ -1,9 +1,11 @@
 """Near copies by the Jaccard similarity of five-word shingles, 0.8 or more, checked exactly.
 
-Candidates meet by min-hashes: ``BANDS`` bands of ``ROWS`` each, so a pair of similarity 0.8 shares
+Candidates meet in two ways. The SimHash operator (simhash.py, with its own words, bits and radius) links texts
+whose fingerprints are close, all of them, which stands for a similarity of about 0.96. Down to 0.8 they meet by
+min-hashes: ``BANDS`` bands of ``ROWS`` each, so a pair of similarity 0.8 shares
 no band with probability (1 - 0.8^5)^30, under 1 in 100,000, and a closer pair less. Candidates whose
-min-hashes agree in ``LEAST`` places are gathered into neighbourhoods, and inside a neighbourhood
-shingle sets are compared exactly, each shipped once.
+min-hashes agree in ``LEAST`` places, and those that SimHash links, are gathered into neighbourhoods, and
+inside a neighbourhood shingle sets are compared exactly, each shipped once.
 
 Both steps emit links that connect what is connected, never all pairs: members of a group are first
 compared with its least one; what that leaves over is compared with all in cells of bounded size,
@@ -18,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import list_array, long_key, map_batches, signed, slices, space_words, stage
 from .components import components
 
@@ -256,6 +259,17 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
     return wanted.join(map_batches(source, run, "row_key long, data binary"), "row_key").select("key", "fp", "data")
 
 
+def _simhash_links(docs: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Links (u, v) between the classes of ``first`` (fp, doc_id, row_key) that connect those whose SimHash
+    fingerprints are within the operator's radius."""
+    prints = simhash.fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col).withColumnRenamed("fp", "print")
+    prints = prints.join(first, ["doc_id", "row_key"]).groupBy("fp").agg(F.min("print").alias("print"))
+    prints = stage(prints, "prints")
+    nodes = stage(prints.groupBy("print").agg(F.min("fp").alias("node")), "nodes")
+    same = prints.join(nodes, "print").where("fp <> node").select(F.col("node").alias("u"), F.col("fp").alias("v"))
+    return simhash.links(nodes.select(F.col("print").alias("fp"), "node")).unionByName(same)
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input with one document of each group that links of similarity 0.8 or more connect: the one
     with the least doc_id. All columns stay.
@@ -278,7 +292,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     members = members.join(stage(shared, "shared"), "key")
     members = stage(members.join(classes.select("fp", F.col("sketch").alias("data")), "fp"), "buckets")
-    near = components(_links(members, Sketches)).select(F.col("node").alias("fp"), F.col("root").alias("key"))
+    met = _links(members, Sketches).unionByName(_simhash_links(docs, first, id_col, text_col))
+    near = components(met).select(F.col("node").alias("fp"), F.col("root").alias("key"))
     wanted = stage(near.join(first, "fp").select("key", "fp", "row_key"), "wanted")
     sets = shingle_sets(docs, wanted, id_col, text_col)
     found = _links(stage(sets.dropDuplicates(["key", "fp"]) if repeats else sets, "sets"), Sets)

@@ -144,3 +144,27 @@ def test_long_and_clashing(spark):
     rows = [(1, long, 1, 1, 1), (2, long + " more", 2, 2, 2), (3, "a b c d e f", 3, 3, 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, fp long, key long, data int")
     assert sorted(r["doc_id"] for r in near_copies.keep_one(df).collect()) == [1, 3]
+
+
+def test_simhash_brings_candidates_that_are_checked(spark, monkeypatch):
+    """Without min-hashes the SimHash operator's links alone lead to the exact comparison."""
+    from corpus_pipeline import one_of_each_group
+
+    links = near_copies._links
+    monkeypatch.setattr(near_copies, "_links", lambda groups, kind: links(groups, kind).where("false" if kind is near_copies.Sketches else "true"))
+    rng, docs = random.Random(4), []
+    for k in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:-1], "changed"]))]
+    words = [f"w{rng.randrange(5000)}" for _ in range(30)]
+    loop = " ".join(words * 40)  # shingles repeat: alike to SimHash with 8 of 44 distinct ones beside them
+    docs += [(100, loop), (101, loop + " " + " ".join(f"y{i}" for i in range(10)))]
+
+    def linked(a, b):
+        return (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() <= simhash.RADIUS
+
+    pairs = list(zip(docs[::2], docs[1::2]))
+    near = [b[0] for a, b in pairs if linked(a[1], b[1]) and similar(a[1], b[1])]
+    assert len(near) > 8 and linked(*[t for _, t in docs[-2:]]) and 101 not in near
+    got = one_of_each_group(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()
+    assert sorted(r["doc_id"] for r in got) == sorted({i for i, _ in docs} - set(near))
