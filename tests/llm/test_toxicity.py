@@ -176,3 +176,108 @@ def test_equals_a_dictionary_model(spark, small, source, monkeypatch):
         assert g == pytest.approx(want(x), rel=1e-9, abs=1e-6)
     assert any(abs(g) > 1 for g in got)
 
+
+
+def kneser_ney_model(rows):
+    """The models of the module's docstring with plain dictionaries and sets: a function from texts to the
+    log-likelihood ratios of the words by themselves and of the whole, and the distributions of class c."""
+    from collections import Counter, defaultdict
+    from math import log
+
+    held, twos, lefts, total = Counter(), Counter(), defaultdict(set), Counter()
+    for text, toxic in rows:
+        words = t.word_codes(text).tolist()
+        total[toxic] += 1
+        held.update((toxic, w) for w in set(words))
+        for a, b in set(zip(["start", *words], words)):
+            twos[toxic, a, b] += 1
+            for group in (toxic, "all"):
+                lefts[group, b].add(a)
+
+    vocabulary = {w for _, w in held}
+    every = {(a, b) for _, a, b in twos}
+    share = {c: total[c] / sum(total.values()) for c in (0, 1)}
+
+    def telling(n):
+        return 2 * sum(n[c] * log(n[c] / (sum(n) * share[c])) for c in (0, 1) if n[c]) >= t.LEAST_G
+
+    def discount(values):
+        one, two = (sum(v == k for v in values) for k in (1, 2))
+        return min(0.95, max(0.1, one / (one + 2 * two))) if one else 0.5
+
+    m = {c: {w: len(lefts[c, w]) for w in vocabulary if lefts[c, w]} for c in (0, 1, "all")}
+    kept_words = {w for w in vocabulary if telling((held[0, w], held[1, w]))}
+    kept = {(a, b) for a, b in every if telling((twos[0, a, b], twos[1, a, b]))}
+    size = {c: sum(m[c].values()) for c in m}
+    d1 = {c: discount(m[c].values()) for c in (0, 1)}
+    d2 = {c: discount([n for (k, _, _), n in twos.items() if k == c]) for c in (0, 1)}
+    begun, used = Counter(), Counter()
+    for (c, a, b), n in twos.items():
+        begun[c, a] += n
+        used[c, a] += max(n - d2[c], 0) if (a, b) in kept else 0
+
+    def own(c, w):
+        return max(m[c].get(w, 0) - d1[c], 0) / size[c] if w in kept_words else 0.0
+
+    left = {c: 1 - sum(own(c, w) for w in vocabulary) for c in (0, 1)}
+
+    def word(c, w):  # a word never seen has the share of any: it cancels
+        return own(c, w) + left[c] * m["all"].get(w, 1) / size["all"]
+
+    def pair(c, a, b):
+        if not begun[c, a]:
+            return word(c, b)
+        got = max(twos[c, a, b] - d2[c], 0) / begun[c, a] if (a, b) in kept else 0.0
+        return got + (1 - used[c, a] / begun[c, a]) * word(c, b)
+
+    def ratios(text):
+        words = t.word_codes(text).tolist()
+        whole = sum(log(pair(1, a, b) / pair(0, a, b)) for a, b in zip(["start", *words], words))
+        return sum(log(word(1, w) / word(0, w)) for w in words), whole
+
+    return ratios, word, pair, vocabulary
+
+
+@pytest.mark.parametrize("source", ["small", "table"])
+def test_equals_a_dictionary_kneser_ney(spark, small, source):
+    if source == "small":
+        docs, labels = small[0].drop("toxic"), small[1]
+    else:
+        docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    known = t.training_labels(labels, "doc_id", "toxic")
+    train = t.stage(docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic"), "train")
+    table = t.stage(t.kneser_ney(train), "weights")
+    want, word, pair, vocabulary = kneser_ney_model([(r["text"], r["toxic"]) for r in train.collect()])
+    for c in (0, 1):  # pruned or not, the models are distributions
+        assert sum(word(c, w) for w in vocabulary) == pytest.approx(1)
+        for a in ["start", *sorted(vocabulary)[:3]]:
+            assert sum(pair(c, a, w) for w in vocabulary) == pytest.approx(1)
+    texts = docs.select("text").limit(400).union(spark.createDataFrame([("nasty w1 vile unknown awful",), ("vile",), ("",), (None,)], "text string"))
+    texts = t.stage(texts.selectExpr("monotonically_increasing_id() as doc_id", "text"), "texts")
+    by = {r["doc_id"]: want(r["text"]) for r in texts.collect()}
+    for limit in (t.MAX_WEIGHTS, 0):  # broadcast and joined
+        got = t.ratios(texts, table, limit).collect()
+        assert len(got) == len(by)
+        for r in got:
+            assert (r["alone"], r["ratio"]) == pytest.approx(by[r["doc_id"]], rel=1e-9, abs=1e-6)
+    assert any(abs(whole) > 1 and abs(whole - alone) > 1e-3 for alone, whole in by.values())
+
+
+def test_words_count_by_left_contexts_and_rare_ones_back_off(spark):
+    """Both words are in all toxic rows, but one follows a single word and the other a different one in each:
+    equal by rows, not by continuation. Words of one row, and unknown ones, weigh what backing off weighs."""
+    rows = [(f"x{i} y{i} z{i}", 0) for i in range(60)]
+    rows += [(f"same fixed q{i} free", 1) for i in range(12)]
+    table = t.kneser_ney(spark.createDataFrame(rows, "text string, toxic int"))
+    model = t.Weights(table.toArrow())
+    fixed, free, rare, unknown = (model.parts(t.word_codes(w))[0] for w in ("fixed", "free", "q3", "unknown"))
+    assert free > fixed + 1
+    assert rare == unknown == model.every != 0
+
+
+def test_scores_come_from_the_continuation_counts(spark, small, monkeypatch):
+    made = []
+    real = t.kneser_ney
+    monkeypatch.setattr(t, "kneser_ney", lambda train: made.append(1) or real(train))
+    monkeypatch.setattr(t, "weights", None)
+    assert t.score(*small).count() == small[0].count() and made == [1]
